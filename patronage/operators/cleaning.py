@@ -76,13 +76,13 @@ def cleaning_waterfall(log: DataFrame) -> DataFrame:
     totals = log.agg(
         F.count(F.lit(1)).alias("n0"), F.count_if(c1).alias("n1"), F.count_if(c2).alias("n2"),
         F.count_if(c3).alias("n3"), F.count_if(c4).alias("n4"))
-    steps = F.array(
-        F.struct(F.lit(1).alias("step"), F.lit("cancelled").alias("name"),
-                 F.col("n0").alias("before"), F.col("n1").alias("after")),
-        F.struct(F.lit(2), F.lit("non_positive_quantity"), F.col("n1"), F.col("n2")),
-        F.struct(F.lit(3), F.lit("non_positive_price"), F.col("n2"), F.col("n3")),
-        F.struct(F.lit(4), F.lit("missing_customer"), F.col("n3"), F.col("n4")),
-    )
+    def step(i: int, name: str, before: str, after: str) -> Column:
+        return F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"),
+                        F.col(before).alias("before"), F.col(after).alias("after"))
+
+    steps = F.array(step(1, "cancelled", "n0", "n1"), step(2, "non_positive_quantity", "n1", "n2"),
+                    step(3, "non_positive_price", "n2", "n3"),
+                    step(4, "missing_customer", "n3", "n4"))
     out = totals.select(F.inline(steps), F.col("n0"), F.col("n4"))
     return out.select(
         F.col("step").cast("int").alias("step"), F.col("name"),

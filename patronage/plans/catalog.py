@@ -55,4 +55,4 @@ def ts_out(col: str):
 
 
 # import the query modules so they register themselves
-from patronage.plans import q_core  # noqa: E402,F401
+from patronage.plans import q_core, q_profile  # noqa: E402,F401

@@ -127,7 +127,10 @@ def compose(final: str, needs: list[str]) -> str:
     if not order:
         return final
     ctes = ",\n".join(f"{n} AS ({FRAGMENTS[n][1].strip()})" for n in order)
-    return f"WITH {ctes}\n{final.strip()}"
+    body = final.strip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {ctes},\n{body[4:].strip()}"
+    return f"WITH {ctes}\n{body}"
 
 
 def np_round_sql(expr: str, decimals: int = 2) -> str:
@@ -146,3 +149,8 @@ def segment_case(score: str) -> str:
 
 def quart(r: str, n: str) -> str:
     return _quart(r, n)
+
+
+fragment("logd", ["logx"], """
+SELECT g.*, p.p_name AS Description FROM logx g LEFT JOIN part p ON CAST(g.StockCode AS BIGINT) = p.p_partkey
+""")
