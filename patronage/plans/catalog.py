@@ -56,3 +56,49 @@ def ts_out(col: str):
 
 # import the query modules so they register themselves
 from patronage.plans import q_core, q_profile  # noqa: E402,F401
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.customers import customer_features
+    return customer_features(clean(spark, sf_dir))
+
+
+def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.clv_historical import historical_clv
+    return historical_clv(features(spark, sf_dir))
+
+
+def standin_scores(spark: SparkSession, sf_dir: str):
+    """Deterministic stand-ins for the model-based CLVs (oracle checks of the
+    comparison / ensemble arithmetic; the real models are in q_models)."""
+    from patronage.operators.binning import qcut, tier_cut
+    feat = features(spark, sf_dir)
+    hist = historical_clv_cached(spark, sf_dir, feat)
+    ml = feat.filter(F.col("CustomerID") % 10 != 0).select(
+        "CustomerID", (F.col("TotalMonetary") * F.lit(0.5)
+                       + F.col("Actual_Future_Spend") * (F.lit(365.0) / F.lit(90.0))).alias("CLV_ML"))
+    ml = tier_cut(ml, "CLV_ML", "CLV_Tier_ML")
+    prob = hist.filter(F.col("TransactionCount") > 1).select(
+        "CustomerID", (F.col("CLV_DailyAvg") * F.lit(0.5)).alias("CLV_Probabilistic"))
+    prob = qcut(prob, "CLV_Probabilistic", 3, ["Low", "Medium", "High"], "CLV_Tier_Prob")
+    return feat, hist, ml, prob
+
+
+def historical_clv_cached(spark, sf_dir, feat):
+    from patronage.operators.clv_historical import historical_clv
+    return historical_clv(feat)
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.ensemble import assemble_clv
+    feat, hist, ml, prob = standin_scores(spark, sf_dir)
+    return assemble_clv(feat, hist, ml, prob)
+
+
+def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.ensemble import assemble_clv, ensemble_clv
+    feat, hist, ml, prob = standin_scores(spark, sf_dir)
+    return ensemble_clv(assemble_clv(feat, hist, ml, prob), feat)
+
+
+from patronage.plans import q_clv  # noqa: E402,F401

@@ -154,3 +154,107 @@ def quart(r: str, n: str) -> str:
 fragment("logd", ["logx"], """
 SELECT g.*, p.p_name AS Description FROM logx g LEFT JOIN part p ON CAST(g.StockCode AS BIGINT) = p.p_partkey
 """)
+
+
+_DAYS = ", ".join(f"count(*) FILTER (WHERE Weekday = {i}) AS Day_{i}_Purchases" for i in range(7))
+_HOURS = ", ".join(f"count(*) FILTER (WHERE Hour = {i}) AS Hour_{i}_Purchases" for i in range(24))
+
+fragment("feat0", ["clean", "snap"], f"""
+SELECT CustomerID, min(InvoiceDate) AS FirstPurchase, max(InvoiceDate) AS LastPurchase,
+  count(*) AS PurchaseCount, CAST(sum(spend_cents) AS BIGINT) AS monetary_cents,
+  CAST(sum(Quantity) AS BIGINT) AS TotalQuantity, count(DISTINCT StockCode) AS UniqueProducts,
+  count(DISTINCT InvoiceNo) AS TransactionCount,
+  arg_min(Country, CASE WHEN Country IS NOT NULL
+          THEN {{'d': InvoiceDate, 'i': InvoiceNo, 'l': line}} END) AS Country,
+  CAST(sum(CASE WHEN InvoiceDate >= snapshot - INTERVAL 90 DAY THEN spend_cents ELSE 0 END) AS BIGINT) AS recent_cents,
+  count(DISTINCT CASE WHEN InvoiceDate >= snapshot - INTERVAL 90 DAY THEN InvoiceNo END) AS Recent90DayTransactions,
+  CAST(sum(CASE WHEN InvoiceDate BETWEEN snapshot - INTERVAL 90 DAY AND snapshot - INTERVAL 1 DAY
+           THEN spend_cents ELSE 0 END) AS BIGINT) AS target_cents,
+  {_DAYS}, {_HOURS}, max(snapshot) AS snapshot
+FROM clean, snap GROUP BY CustomerID
+""")
+
+fragment("feat", ["feat0"], f"""
+SELECT CustomerID, FirstPurchase, LastPurchase, PurchaseCount, monetary_cents / 100.0 AS TotalMonetary,
+  TotalQuantity, UniqueProducts, TransactionCount, Country,
+  (epoch_us(LastPurchase) - epoch_us(FirstPurchase)) // {DAY_US} + 1 AS CustomerLifespan,
+  (monetary_cents / 100.0) / CAST(TransactionCount AS DOUBLE) AS AvgTransactionValue,
+  CAST(TotalQuantity AS DOUBLE) / CAST(TransactionCount AS DOUBLE) AS AvgItemsPerTransaction,
+  CAST(TransactionCount AS DOUBLE) / CAST((epoch_us(LastPurchase) - epoch_us(FirstPurchase)) // {DAY_US} + 1 AS DOUBLE)
+    AS PurchaseFrequency,
+  (epoch_us(snapshot) - epoch_us(LastPurchase)) // {DAY_US} AS Recency,
+  {", ".join(f"Day_{i}_Purchases" for i in range(7))},
+  {", ".join(f"Hour_{i}_Purchases" for i in range(24))},
+  recent_cents / 100.0 AS Recent90DaySpend, Recent90DayTransactions,
+  target_cents / 100.0 AS Actual_Future_Spend, monetary_cents, recent_cents, target_cents
+FROM feat0
+""")
+
+fragment("hist0", ["feat"], """
+SELECT CustomerID, TotalMonetary, TransactionCount, CustomerLifespan, AvgTransactionValue,
+  Recent90DaySpend, Recent90DayTransactions,
+  TotalMonetary / CAST(CustomerLifespan AS DOUBLE) AS DailySpend,
+  TotalMonetary / CAST(CustomerLifespan AS DOUBLE) * CAST(365 AS DOUBLE) AS CLV_DailyAvg,
+  CAST(TransactionCount AS DOUBLE) / CAST(CustomerLifespan AS DOUBLE) * CAST(365 AS DOUBLE)
+    * AvgTransactionValue AS CLV_FrequencyBased,
+  Recent90DaySpend * CAST(4 AS DOUBLE) AS CLV_RecentBased
+FROM feat
+""")
+
+fragment("hist1", ["hist0"], """
+SELECT *, CLV_DailyAvg * CAST(0.3 AS DOUBLE) + CLV_FrequencyBased * CAST(0.4 AS DOUBLE)
+          + CLV_RecentBased * CAST(0.3 AS DOUBLE) AS CLV_Historical FROM hist0
+""")
+
+
+def tier_sql(src: str, col: str, out: str, lo: float = 0.33, hi: float = 0.66) -> str:
+    return f"""
+SELECT s.*, CASE WHEN s.{col} IS NULL THEN NULL WHEN s.{col} <= q.lo THEN 'Low'
+                 WHEN s.{col} <= q.hi THEN 'Medium' ELSE 'High' END AS {out}
+FROM {src} s, (SELECT quantile_cont({col}, {lo}) AS lo, quantile_cont({col}, {hi}) AS hi FROM {src}) q"""
+
+
+fragment("hist", ["hist1"], tier_sql("hist1", "CLV_Historical", "CLV_Tier"))
+
+# Stand-in scores: the ML and probabilistic CLVs come from fitted models that
+# SQL cannot reproduce, so the ensemble arithmetic is cross-checked on
+# deterministic stand-ins derived from the same customers.
+fragment("ml_s0", ["feat"], """
+SELECT CustomerID, TotalMonetary * CAST(0.5 AS DOUBLE)
+  + Actual_Future_Spend * (CAST(365 AS DOUBLE) / CAST(90 AS DOUBLE)) AS CLV_ML
+FROM feat WHERE CustomerID % 10 <> 0
+""")
+fragment("ml_s", ["ml_s0"], tier_sql("ml_s0", "CLV_ML", "CLV_Tier_ML"))
+fragment("prob_s0", ["hist"], """
+SELECT CustomerID, CLV_DailyAvg * CAST(0.5 AS DOUBLE) AS CLV_Probabilistic
+FROM hist WHERE TransactionCount > 1
+""")
+fragment("prob_s", ["prob_s0"], tier_sql("prob_s0", "CLV_Probabilistic", "CLV_Tier_Prob",
+                                         1 / 3, 2 / 3))
+fragment("cmp", ["feat", "hist", "ml_s", "prob_s"], """
+SELECT f.CustomerID, h.CLV_Historical, h.CLV_Tier, m.CLV_ML, m.CLV_Tier_ML,
+       p.CLV_Probabilistic, p.CLV_Tier_Prob
+FROM feat f LEFT JOIN hist h ON f.CustomerID = h.CustomerID
+LEFT JOIN ml_s m ON f.CustomerID = m.CustomerID LEFT JOIN prob_s p ON f.CustomerID = p.CustomerID
+""")
+fragment("ens0", ["cmp", "feat"], """
+SELECT c.CustomerID, coalesce(TRY_CAST(c.CLV_Historical AS DOUBLE), 0) AS CLV_Historical,
+  coalesce(TRY_CAST(c.CLV_ML AS DOUBLE), 0) AS CLV_ML,
+  coalesce(TRY_CAST(c.CLV_Probabilistic AS DOUBLE), 0) AS CLV_Probabilistic,
+  coalesce(CAST(f.TransactionCount AS DOUBLE), 0) AS TransactionCount
+FROM cmp c LEFT JOIN feat f ON c.CustomerID = f.CustomerID
+""")
+fragment("ens1", ["ens0"], """
+SELECT *, greatest(0.0, least(TransactionCount / CAST(20 AS DOUBLE), CAST(0.6 AS DOUBLE))) AS wh,
+  greatest(0.0, least(CAST(1 AS DOUBLE) - TransactionCount / CAST(20 AS DOUBLE), CAST(0.6 AS DOUBLE))) AS wp,
+  CAST(0.4 AS DOUBLE) AS wm FROM ens0
+""")
+fragment("ens2", ["ens1"], """
+SELECT CustomerID, CLV_Historical, CLV_ML, CLV_Probabilistic, TransactionCount,
+  wh / (wh + wp + wm) AS weight_historical, wp / (wh + wp + wm) AS weight_probabilistic,
+  wm / (wh + wp + wm) AS weight_ml,
+  wh / (wh + wp + wm) * CLV_Historical + wp / (wh + wp + wm) * CLV_Probabilistic
+    + wm / (wh + wp + wm) * CLV_ML AS CLV_Final
+FROM ens1
+""")
+fragment("ens", ["ens2"], tier_sql("ens2", "CLV_Final", "CLV_Tier_Final"))
