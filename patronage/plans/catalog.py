@@ -102,3 +102,30 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from patronage.plans import q_clv  # noqa: E402,F401
+
+
+def lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.clv_prob import lifetimes_summary
+    from patronage.operators.cleaning import snapshot_value
+    lines = clean(spark, sf_dir)
+    return lifetimes_summary(lines, snapshot_value(lines))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage into ``spark.checkpoint.dir`` (survives executor loss)."""
+    from patronage.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def prob_model(spark: SparkSession, sf_dir: str):
+    """Summary (materialised), fitted BG/NBD and Gamma-Gamma, scored customers."""
+    from patronage.operators.clv_prob import bgnbd_fit, gamma_gamma_fit, probabilistic_clv
+    summary = materialize(lifetimes(spark, sf_dir))
+    bg = bgnbd_fit(summary)
+    gg = gamma_gamma_fit(summary)
+    scored = materialize(probabilistic_clv(summary, bg, gg))
+    return summary, bg, gg, scored
+
+
+from patronage.plans import q_prob  # noqa: E402,F401

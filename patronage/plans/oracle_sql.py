@@ -258,3 +258,57 @@ SELECT CustomerID, CLV_Historical, CLV_ML, CLV_Probabilistic, TransactionCount,
 FROM ens1
 """)
 fragment("ens", ["ens2"], tier_sql("ens2", "CLV_Final", "CLV_Tier_Final"))
+
+
+fragment("lt_daily", ["clean", "snap"], """
+SELECT CustomerID, CAST(InvoiceDate AS DATE) AS d, sum(spend_cents) AS cents
+FROM clean, snap WHERE InvoiceDate <= snapshot GROUP BY 1, 2
+""")
+fragment("lt", ["lt_daily", "snap"], """
+SELECT CustomerID, CAST(count(*) - 1 AS BIGINT) AS frequency, CAST(max(d) - min(d) AS DOUBLE) AS recency,
+  CAST(CAST(max(snapshot) AS DATE) - min(d) AS DOUBLE) AS T,
+  CASE WHEN count(*) > 1 THEN CAST(sum(cents) - arg_min(cents, d) AS DOUBLE) / 100.0
+       / CAST(count(*) - 1 AS DOUBLE) ELSE 0.0 END AS monetary_value
+FROM lt_daily, snap GROUP BY CustomerID
+""")
+fragment("calh", ["clean", "snap"], """
+WITH ce AS (SELECT snapshot - INTERVAL 90 DAY AS cal_end, snapshot FROM snap),
+cd AS (SELECT CustomerID, CAST(InvoiceDate AS DATE) AS d, sum(spend_cents) AS cents
+       FROM clean, ce WHERE InvoiceDate <= cal_end GROUP BY 1, 2),
+cs AS (SELECT CustomerID, CAST(count(*) - 1 AS BIGINT) AS frequency_cal,
+         CAST(max(d) - min(d) AS DOUBLE) AS recency_cal,
+         CAST(CAST(max(cal_end) AS DATE) - min(d) AS DOUBLE) AS T_cal,
+         CASE WHEN count(*) > 1 THEN CAST(sum(cents) - arg_min(cents, d) AS DOUBLE) / 100.0
+              / CAST(count(*) - 1 AS DOUBLE) ELSE 0.0 END AS monetary_value_cal
+       FROM cd, ce GROUP BY CustomerID),
+hd AS (SELECT CustomerID, CAST(InvoiceDate AS DATE) AS d, sum(spend_cents) AS cents
+       FROM clean, ce WHERE InvoiceDate > cal_end AND InvoiceDate <= snapshot GROUP BY 1, 2),
+hs AS (SELECT CustomerID, count(*) AS frequency_holdout,
+         CAST(sum(cents) AS DOUBLE) / 100.0 / CAST(count(*) AS DOUBLE) AS monetary_value_holdout
+       FROM hd GROUP BY CustomerID)
+SELECT cs.*, coalesce(CAST(hs.frequency_holdout AS DOUBLE), 0.0) AS frequency_holdout,
+  coalesce(hs.monetary_value_holdout, 0.0) AS monetary_value_holdout,
+  CAST(CAST(ce.snapshot AS DATE) - CAST(ce.cal_end AS DATE) AS DOUBLE) AS duration_holdout
+FROM cs LEFT JOIN hs ON cs.CustomerID = hs.CustomerID, ce
+""")
+
+
+def p_alive_sql(r, alpha, a, b, x="frequency", tx="recency", T="T") -> str:
+    return (f"CASE WHEN {x} = 0 THEN 1.0 ELSE 1.0 / (1.0 + exp(({r} + CAST({x} AS DOUBLE)) "
+            f"* ln(({alpha} + {T}) / ({alpha} + {tx})) + ln({a} / ({b} + greatest(CAST({x} AS DOUBLE), 1.0) - 1))))"
+            " END")
+
+
+def gg_value_sql(p, q, v, x="frequency", m="monetary_value") -> str:
+    w = f"({p} * CAST({x} AS DOUBLE) / ({p} * CAST({x} AS DOUBLE) + {q} - 1))"
+    return f"((1.0 - {w}) * ({v} * {p} / ({q} - 1)) + {w} * {m})"
+
+
+def bgnbd_ll_sql(r, alpha, a, b, x="frequency", tx="recency", T="T") -> str:
+    xd = f"CAST({x} AS DOUBLE)"
+    a3 = f"(-({r} + {xd}) * ln({alpha} + {T}))"
+    a4 = (f"(ln({a}) - ln({b} + greatest({xd}, 1.0) - 1) - ({r} + {xd}) * ln({alpha} + {tx}))")
+    lse = f"(greatest({a3}, {a4}) + ln(1 + exp(-abs({a3} - {a4}))))"
+    return (f"(lgamma({r} + {xd}) - lgamma({r}) + {r} * ln({alpha}) + lgamma({a} + {b}) "
+            f"+ lgamma({b} + {xd}) - lgamma({b}) - lgamma({a} + {b} + {xd}) "
+            f"+ CASE WHEN {x} > 0 THEN {lse} ELSE {a3} END)")
