@@ -129,3 +129,19 @@ def prob_model(spark: SparkSession, sf_dir: str):
 
 
 from patronage.plans import q_prob  # noqa: E402,F401
+
+
+def quartile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.clustering import rfm_quartile_clusters
+    return rfm_quartile_clusters(customers(spark, sf_dir))
+
+
+def clusters_with_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-means style clusters left-joined with the RFM segments."""
+    cl = quartile_clusters(spark, sf_dir).select(
+        "CustomerID", "Recency", "Frequency", "Monetary", "Cluster", "Cluster_Name")
+    seg = segmented(spark, sf_dir).select("CustomerID", "Segment", "RFM_Sum")
+    return cl.join(seg, "CustomerID", "left")
+
+
+from patronage.plans import q_cluster  # noqa: E402,F401

@@ -312,3 +312,56 @@ def bgnbd_ll_sql(r, alpha, a, b, x="frequency", tx="recency", T="T") -> str:
     return (f"(lgamma({r} + {xd}) - lgamma({r}) + {r} * ln({alpha}) + lgamma({a} + {b}) "
             f"+ lgamma({b} + {xd}) - lgamma({b}) - lgamma({a} + {b} + {xd}) "
             f"+ CASE WHEN {x} > 0 THEN {lse} ELSE {a3} END)")
+
+
+from patronage.functions.lookups import CLUSTER_NAMES  # noqa: E402
+
+
+def cluster_name_case(col: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = {k} THEN '{v}'" for k, v in CLUSTER_NAMES.items()) + " END"
+
+
+fragment("zbase", ["cust"], """
+SELECT CustomerID, Recency, Frequency, Monetary, monetary_cents, TotalQuantity, UniqueProducts,
+  ln(1 + CAST(Recency AS DOUBLE)) AS Recency_log, ln(1 + CAST(Frequency AS DOUBLE)) AS Frequency_log,
+  ln(1 + CAST(Monetary AS DOUBLE)) AS Monetary_log FROM cust
+""")
+fragment("z", ["zbase"], """
+SELECT b.*, CASE WHEN s.sr > 0 THEN (Recency_log - s.mr) / s.sr ELSE 0.0 END AS Recency_log_z,
+  CASE WHEN s.sf > 0 THEN (Frequency_log - s.mf) / s.sf ELSE 0.0 END AS Frequency_log_z,
+  CASE WHEN s.sm > 0 THEN (Monetary_log - s.mm) / s.sm ELSE 0.0 END AS Monetary_log_z
+FROM zbase b, (SELECT avg(Recency_log) AS mr, stddev_pop(Recency_log) AS sr, avg(Frequency_log) AS mf,
+  stddev_pop(Frequency_log) AS sf, avg(Monetary_log) AS mm, stddev_pop(Monetary_log) AS sm FROM zbase) s
+""")
+fragment("zr", ["z"], """
+SELECT z.*, CAST(5 - (1 + CAST(z.Recency > e.e1 AS INTEGER) + CAST(z.Recency > e.e2 AS INTEGER)
+            + CAST(z.Recency > e.e3 AS INTEGER)) AS INTEGER) AS R_Score
+FROM z, (SELECT quantile_cont(Recency, 0.25) AS e1, quantile_cont(Recency, 0.5) AS e2,
+         quantile_cont(Recency, 0.75) AS e3 FROM z) e
+""")
+fragment("cent", ["zr"], """
+SELECT R_Score - 1 AS cluster, avg(Recency_log_z) AS c0, avg(Frequency_log_z) AS c1,
+       avg(Monetary_log_z) AS c2 FROM zr GROUP BY 1
+""")
+fragment("clus", ["zr", "cent"], f"""
+SELECT zr.*, a.Cluster, {cluster_name_case('a.Cluster')} AS Cluster_Name FROM zr JOIN (
+  SELECT zr.CustomerID, CAST(arg_min(c.cluster, {{'d': (zr.Recency_log_z - c.c0) * (zr.Recency_log_z - c.c0)
+        + (zr.Frequency_log_z - c.c1) * (zr.Frequency_log_z - c.c1)
+        + (zr.Monetary_log_z - c.c2) * (zr.Monetary_log_z - c.c2), 'c': c.cluster}}) AS INTEGER) AS Cluster
+  FROM zr, cent c GROUP BY zr.CustomerID) a ON zr.CustomerID = a.CustomerID
+""")
+fragment("cprof", ["clus"], f"""
+SELECT Cluster, count(*) AS CustomerID, {np_round_sql('avg(CAST(Recency AS DOUBLE))')} AS Recency,
+  {np_round_sql('avg(CAST(Frequency AS DOUBLE))')} AS Frequency,
+  {np_round_sql('sum(monetary_cents) / 100.0 / CAST(count(*) AS DOUBLE)')} AS Monetary,
+  {np_round_sql('avg(CAST(TotalQuantity AS DOUBLE))')} AS TotalQuantity,
+  {np_round_sql('avg(CAST(UniqueProducts AS DOUBLE))')} AS UniqueProducts,
+  {np_round_sql('CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM clus) AS DOUBLE) * 100.0', 1)} AS pct_customers,
+  CAST(sum(monetary_cents) AS DOUBLE) / 100.0 AS Total_Revenue,
+  {np_round_sql('CAST(sum(monetary_cents) AS DOUBLE) / CAST((SELECT sum(monetary_cents) FROM clus) AS DOUBLE) * 100.0', 1)} AS pct_revenue
+FROM clus GROUP BY Cluster
+""")
+fragment("cmpseg", ["clus", "seg"], """
+SELECT c.CustomerID, c.Recency, c.Frequency, c.Monetary, c.Cluster, c.Cluster_Name, s.Segment, s.RFM_Sum
+FROM clus c LEFT JOIN seg s ON c.CustomerID = s.CustomerID
+""")
