@@ -145,3 +145,11 @@ def clusters_with_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from patronage.plans import q_cluster  # noqa: E402,F401
+
+
+def ml_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from patronage.operators.clv_ml import ml_dataset
+    return ml_dataset(features(spark, sf_dir))
+
+
+from patronage.plans import q_ml  # noqa: E402,F401

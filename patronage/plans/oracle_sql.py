@@ -365,3 +365,20 @@ fragment("cmpseg", ["clus", "seg"], """
 SELECT c.CustomerID, c.Recency, c.Frequency, c.Monetary, c.Cluster, c.Cluster_Name, s.Segment, s.RFM_Sum
 FROM clus c LEFT JOIN seg s ON c.CustomerID = s.CustomerID
 """)
+
+
+_MLF = (["TransactionCount", "TotalMonetary", "TotalQuantity", "UniqueProducts", "CustomerLifespan",
+         "AvgTransactionValue", "AvgItemsPerTransaction", "PurchaseFrequency", "Recency"]
+        + [f"Day_{i}_Purchases" for i in range(7)]
+        + [f"Hour_{i}_Purchases" for i in (9, 10, 11, 12, 13, 14, 15)])
+
+fragment("mlds", ["feat"], "SELECT CustomerID, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _MLF)
+         + ", coalesce(Actual_Future_Spend, 0.0) AS Actual_Future_Spend, "
+         "CAST(('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8)) AS UBIGINT) % 100 < 80 AS is_train, "
+         "CAST(TotalMonetary AS DOUBLE) / CAST(CustomerLifespan AS DOUBLE) * CAST(90 AS DOUBLE) AS baseline_90d "
+         "FROM feat")
+fragment("mlpred0", ["mlds"], """
+SELECT CustomerID, baseline_90d AS Predicted_90Day_Spend,
+       baseline_90d * (CAST(365 AS DOUBLE) / CAST(90 AS DOUBLE)) AS Predicted_CLV_1Year FROM mlds
+""")
+fragment("mlpred", ["mlpred0"], tier_sql("mlpred0", "Predicted_CLV_1Year", "CLV_Tier_ML"))
