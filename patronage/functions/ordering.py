@@ -8,9 +8,10 @@ These helpers keep the work spread out:
    shuffle; the composite key with a unique id splits a hot value over many
    partitions);
 2. number rows (or accumulate weights) inside each partition;
-3. materialise with ``checkpoint()`` into ``spark.checkpoint.dir`` so the
-   partition layout is fixed (re-computation after an executor loss would
-   otherwise re-sample the range bounds);
+3. store the partition id and in-partition position as columns and
+   materialise them (Parquet under ``spark.checkpoint.dir``), so a
+   re-computation after an executor loss cannot re-sample the range bounds
+   and renumber rows inconsistently;
 4. add per-partition offsets from a table with one row per partition
    (bounded by the partition count, so broadcasting it is safe).
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.session import ensure_checkpoint_dir
+from patronage.session import ensure_checkpoint_dir, materialize
 
 _PID, _LOCAL, _OFF = "_ord_pid", "_ord_local", "_ord_off"
 
@@ -60,12 +61,12 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
     """
     ensure_checkpoint_dir(df.sparkSession)
     keys = _cols(order)
-    staged = (df.repartitionByRange(_partitions(df, num_partitions), *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_LOCAL, F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-              .checkpoint(eager=True))
+    staged = materialize(
+        df.repartitionByRange(_partitions(df, num_partitions), *keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_LOCAL, F.monotonically_increasing_id()
+                    - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "rank")
     sized = staged.withColumn("_ord_one", F.lit(1).cast("long"))
     offsets = _offsets(sized, "_ord_one")
     out = staged.join(F.broadcast(offsets), _PID, "inner")
@@ -96,12 +97,11 @@ def weighted_cumulative(values: DataFrame, value_col: str, weight_col: str,
     schema = T.StructType([T.StructField("_ord_v", vtype), T.StructField("_ord_w", T.LongType()),
                            T.StructField("_ord_cum", T.LongType()),
                            T.StructField(_PID, T.IntegerType())])
-    staged = (values.select(F.col(value_col).alias("_ord_v"),
-                            F.col(weight_col).cast("long").alias("_ord_w"))
-              .repartitionByRange(_partitions(values, num_partitions), "_ord_v")
-              .sortWithinPartitions("_ord_v")
-              .mapInPandas(_local_cumsum, schema)
-              .checkpoint(eager=True))
+    staged = materialize(
+        values.select(F.col(value_col).alias("_ord_v"), F.col(weight_col).cast("long").alias("_ord_w"))
+        .repartitionByRange(_partitions(values, num_partitions), "_ord_v")
+        .sortWithinPartitions("_ord_v")
+        .mapInPandas(_local_cumsum, schema), "cumulative")
     offsets = _offsets(staged, "_ord_w")
     return (staged.join(F.broadcast(offsets), _PID, "inner")
             .select(F.col("_ord_v").alias(value_col), F.col("_ord_w").alias(weight_col),

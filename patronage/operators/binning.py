@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from patronage.functions.ordering import exact_quantiles, global_row_number, quartile_of_rank
 
 
-def _edges(df: DataFrame, col: str, probs: Sequence[float]) -> list[Column]:
+def _edges(df: DataFrame, col: str, probs: Sequence[float], method: str = "rank") -> list[Column]:
+    """Exact interpolated quantiles as scalar-subquery columns.
+
+    ``method='rank'`` uses the distributed order statistics (any column);
+    ``'percentile'`` uses Spark's exact ``percentile`` aggregate, whose
+    buffer holds one entry per DISTINCT value - only for columns with a
+    bounded number of values, such as whole days of recency."""
+    if method == "percentile":
+        arr = df.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
+                     .alias("q"))
+        return [arr.select(F.col("q")[i]).scalar() for i in range(len(probs))]
     names = [f"e{i}" for i in range(len(probs))]
     q = exact_quantiles(df, col, probs, names)
     return [q.select(n).scalar() for n in names]
@@ -25,13 +35,13 @@ def _check_increasing(edges: list[Column], what: str) -> Column:
 
 
 def qcut(df: DataFrame, col: str, q: int, labels: Sequence, out: str,
-         duplicates: str = "raise") -> DataFrame:
+         duplicates: str = "raise", method: str = "rank") -> DataFrame:
     """pandas ``qcut(x, q, labels)``: edges are interpolated quantiles
     0, 1/q, ..., 1; bins are right-closed and the lowest value is included.
     ``duplicates='raise'`` fails like pandas when two edges coincide;
     ``'allow'`` keeps the labels and skips the check."""
     probs = [i / q for i in range(q + 1)]
-    edges = _edges(df, col, probs)
+    edges = _edges(df, col, probs, method)
     idx = F.lit(1)
     for e in edges[1:-1]:
         idx = idx + F.when(F.col(col) > e, 1).otherwise(0)

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from patronage.functions.columns import weekday_mon0
 
-ONE_DAY = F.expr("INTERVAL 1 DAY")
+
+
+def one_day() -> Column:
+    return F.make_dt_interval(F.lit(1))
 
 
 def is_cancelled(col: str = "InvoiceNo") -> Column:
@@ -97,7 +100,7 @@ def cleaning_waterfall(log: DataFrame) -> DataFrame:
 
 def snapshot_date(lines: DataFrame) -> DataFrame:
     """C8 as a 1-row DataFrame: max(InvoiceDate) + 1 day over the given lines."""
-    return lines.agg((F.max("InvoiceDate") + ONE_DAY).alias("snapshot"))
+    return lines.agg((F.max("InvoiceDate") + one_day()).alias("snapshot"))
 
 
 def snapshot_value(lines: DataFrame) -> Column:

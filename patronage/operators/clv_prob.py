@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from patronage.functions.ordering import exact_quantiles
 from patronage.functions.special import lgamma, lgamma_np, log_add_exp, scaled_hyp2f1
 from patronage.operators.binning import qcut
-from patronage.session import ensure_checkpoint_dir
+from patronage.session import materialize
 
 
 # ------------------------------------------------------------------ summaries (H2-H4)
@@ -177,10 +177,9 @@ class GammaGammaParams:
 
 
 def _compress(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Collapse identical likelihood inputs to weighted rows and pin them
-    (checkpoint) so every optimiser step re-reads a small table."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    """Collapse identical likelihood inputs to weighted rows and materialise
+    them, so every optimiser step re-reads a small table."""
+    return materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w")), "likelihood-input")
 
 
 def bgnbd_loglik_np(x, tx, T, r, alpha, a, b):

@@ -13,7 +13,9 @@ from patronage.operators.binning import qcut, qcut_of_rank
 def rfm_scores(customers: DataFrame) -> DataFrame:
     """R (quartile of Recency, labels 4..1), F and M (quartile of the
     first-rank of Frequency and Monetary), RFM_Score and RFM_Sum."""
-    scored = qcut(customers, "Recency", 4, [4, 3, 2, 1], "R_Score")
+    # Recency is whole days: few distinct values, so Spark's exact percentile
+    # aggregate is bounded; the two rank-based scores use the distributed rank
+    scored = qcut(customers, "Recency", 4, [4, 3, 2, 1], "R_Score", method="percentile")
     scored = qcut_of_rank(scored, "Frequency", "F_Score")
     money = "monetary_cents" if "monetary_cents" in customers.columns else "Monetary"
     scored = qcut_of_rank(scored, money, "M_Score")

@@ -29,6 +29,12 @@ def register(key: str, sql: str | None = None):
 
 # ----------------------------------------------------------------------- shared inputs
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage into ``spark.checkpoint.dir`` (survives executor loss)."""
+    from patronage.session import materialize as _m
+    return _m(df, "hub")
+
+
 def log(spark: SparkSession, sf_dir: str, with_description: bool = False) -> DataFrame:
     from patronage.sources import load_log
     return load_log(spark, sf_dir, with_description)
@@ -39,9 +45,30 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(log(spark, sf_dir))
 
 
+_SNAPSHOT: dict = {}
+
+
+def snapshot(spark: SparkSession, sf_dir: str):
+    """The snapshot date (max clean InvoiceDate + 1 day) as a literal column.
+
+    Computed once per (session, data set) - one scalar, like the published
+    global - so every later plan uses a constant: no second scan of the fact
+    join per query, and time-window filters become plain predicates."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPSHOT:
+        from patronage.operators.cleaning import snapshot_date
+        micros = snapshot_date(clean(spark, sf_dir)).select(
+            F.unix_micros("snapshot").alias("us")).first()["us"]
+        _SNAPSHOT[key] = micros
+    return F.timestamp_micros(F.lit(_SNAPSHOT[key]))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer hub table, materialised once per query: every rank,
+    quantile and report downstream re-reads it instead of re-running the
+    scan, joins and group-by of the lines."""
     from patronage.operators.customers import customer_rfm
-    return customer_rfm(clean(spark, sf_dir))
+    return materialize(customer_rfm(clean(spark, sf_dir), snapshot(spark, sf_dir)))
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +87,7 @@ from patronage.plans import q_core, q_profile  # noqa: E402,F401
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.customers import customer_features
-    return customer_features(clean(spark, sf_dir))
+    return materialize(customer_features(clean(spark, sf_dir), snapshot(spark, sf_dir)))
 
 
 def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,24 +133,28 @@ from patronage.plans import q_clv  # noqa: E402,F401
 
 def lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.clv_prob import lifetimes_summary
-    from patronage.operators.cleaning import snapshot_value
-    lines = clean(spark, sf_dir)
-    return lifetimes_summary(lines, snapshot_value(lines))
+    return lifetimes_summary(clean(spark, sf_dir), snapshot(spark, sf_dir))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage into ``spark.checkpoint.dir`` (survives executor loss)."""
-    from patronage.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_PROB: dict = {}
+
+
+def prob_fits(spark: SparkSession, sf_dir: str):
+    """Summary (materialised) and the fitted BG/NBD and Gamma-Gamma
+    parameters, once per (session, data set)."""
+    from patronage.operators.clv_prob import bgnbd_fit, gamma_gamma_fit
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PROB:
+        summary = materialize(lifetimes(spark, sf_dir))
+        _PROB[key] = (summary, bgnbd_fit(summary), gamma_gamma_fit(summary))
+    return _PROB[key]
 
 
 def prob_model(spark: SparkSession, sf_dir: str):
-    """Summary (materialised), fitted BG/NBD and Gamma-Gamma, scored customers."""
-    from patronage.operators.clv_prob import bgnbd_fit, gamma_gamma_fit, probabilistic_clv
-    summary = materialize(lifetimes(spark, sf_dir))
-    bg = bgnbd_fit(summary)
-    gg = gamma_gamma_fit(summary)
+    """Summary, fits and the scored customers (materialised: the Arrow UDFs
+    run once)."""
+    from patronage.operators.clv_prob import probabilistic_clv
+    summary, bg, gg = prob_fits(spark, sf_dir)
     scored = materialize(probabilistic_clv(summary, bg, gg))
     return summary, bg, gg, scored
 

@@ -35,8 +35,8 @@ WHERE InvoiceDate BETWEEN snapshot - INTERVAL 90 DAY AND snapshot - INTERVAL 1 D
                                         ["clean", "snap"]))
 def e23(spark, sf):
     from patronage.operators.customers import future_spend
-    from patronage.plans.catalog import clean
-    return future_spend(clean(spark, sf))
+    from patronage.plans.catalog import clean, snapshot
+    return future_spend(clean(spark, sf), snapshot(spark, sf))
 
 
 @register("E24_target_summary", O.compose("""

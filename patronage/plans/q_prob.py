@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators import clv_prob as P
 from patronage.plans import oracle_sql as O
-from patronage.plans.catalog import clean, lifetimes, prob_model, register
+from patronage.plans.catalog import clean, lifetimes, materialize, prob_model, register
 
 BG = P.PUBLISHED_BGNBD
 GG = P.PUBLISHED_GAMMA_GAMMA
@@ -20,10 +20,9 @@ def h2(spark, sf):
 
 @register("H3_calibration_holdout", O.compose("SELECT * FROM calh", ["calh"]))
 def h3(spark, sf):
-    from patronage.operators.cleaning import snapshot_value
-    lines = clean(spark, sf)
-    snap = snapshot_value(lines)
-    return P.calibration_holdout(lines, snap - F.make_dt_interval(F.lit(90)), snap)
+    from patronage.plans.catalog import snapshot
+    snap = snapshot(spark, sf)
+    return P.calibration_holdout(clean(spark, sf), snap - F.make_dt_interval(F.lit(90)), snap)
 
 
 @register("H4_repeat_customers", O.compose(
@@ -43,14 +42,12 @@ def h5ll(spark, sf):
 
 @register("H5_bgnbd_fit")
 def h5(spark, sf):
-    summary, bg, gg, scored = prob_model(spark, sf)
-    return P.params_frame(spark, bg)
+    return P.params_frame(spark, P.bgnbd_fit(materialize(lifetimes(spark, sf))))
 
 
 @register("H6_gamma_gamma_fit")
 def h6(spark, sf):
-    summary, bg, gg, scored = prob_model(spark, sf)
-    return P.params_frame(spark, gg)
+    return P.params_frame(spark, P.gamma_gamma_fit(materialize(lifetimes(spark, sf))))
 
 
 @register("H7_expected_purchases_fixed")

@@ -75,3 +75,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                                       dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as Parquet under the checkpoint directory and
+    read it back.
+
+    One job (a reliable RDD checkpoint computes its input twice unless it is
+    also cached), columnar storage, and the re-read supports column pruning
+    and filter pushdown.  The folder is the shared ``spark.checkpoint.dir``
+    on a cluster, so the result survives the loss of any executor.
+    """
+    import uuid
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/patronage-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
