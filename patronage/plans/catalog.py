@@ -184,3 +184,4 @@ def ml_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from patronage.plans import q_ml  # noqa: E402,F401
+from patronage.plans import q_extra  # noqa: E402,F401
