@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The analysed workload reads one static transaction log; it has no streams,
+watermarks, windows over event time or stateful operators.  The only
+append-style flow (the model-metric history) is a batch append sink in
+``patronage.sources.sinks``.
+"""
