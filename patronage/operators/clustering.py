@@ -49,15 +49,24 @@ def scaled_vectors(customers: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
 
 
-def _fit_best(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int, tol: float):
-    best = None
-    for s in range(seed, seed + n_init):
+def _fit_best(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int, tol: float,
+              parallelism: int = 4):
+    """Best of ``n_init`` k-means starts (seeds seed, seed+1, ...).
+
+    The starts are independent Spark jobs submitted from a small thread pool
+    (as MLlib's tuning estimators do with ``parallelism``), so the cluster
+    overlaps them; the winner is the lowest cost, ties to the lower seed."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(s):
         model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features",
                        predictionCol="Cluster").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
-    return best
+        return model.summary.trainingCost, s, model
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
+        results = list(pool.map(fit, range(seed, seed + n_init)))
+    cost, _, model = min(results, key=lambda r: (r[0], r[1]))
+    return model, cost
 
 
 def kmeans_sweep(customers: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42,
@@ -66,11 +75,14 @@ def kmeans_sweep(customers: DataFrame, ks: Sequence[int] = range(2, 11), seed: i
     ``n_init`` starts).  Silhouette is MLlib's squared-Euclidean silhouette."""
     vectors = scaled_vectors(customers).select("CustomerID", "features").cache()
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster")
-    rows = []
-    for k in ks:
-        model, cost = _fit_best(vectors, k, seed, n_init, max_iter, tol)
-        sil = evaluator.evaluate(model.transform(vectors))
-        rows.append((int(k), float(cost), float(sil)))
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(k):
+        model, cost = _fit_best(vectors, k, seed, n_init, max_iter, tol, parallelism=2)
+        return int(k), float(cost), float(evaluator.evaluate(model.transform(vectors)))
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        rows = list(pool.map(one, ks))
     vectors.unpersist()
     return customers.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 

@@ -73,7 +73,8 @@ def regression_metrics(pred: DataFrame, label: str = TARGET,
         (F.lit(1.0) - F.sum(err * err) / (F.var_pop(label) * F.count(label))).alias("r2"))
 
 
-def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed: int = 42):
+def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed: int = 42,
+                 parallelism: int = 3):
     """Fit each model on the train split, score the test split.
 
     Returns (metrics DataFrame sorted by R^2, dict of fitted models)."""
@@ -83,12 +84,19 @@ def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed:
     n_train = train.count()
     presets = model_presets(n_train, seed)
     chosen = models or list(presets)
-    fitted, rows = {}, None
-    for name in chosen:
+
+    def fit(name):
         est = presets[name].setFeaturesCol("features").setLabelCol(TARGET)
-        model = est.fit(train)
-        fitted[name] = model
-        m = regression_metrics(model.transform(test)).select(F.lit(name).alias("model"), "*")
+        return name, est.fit(train)
+
+    # independent estimators: submit their jobs concurrently (MLlib tuning's
+    # ``parallelism`` pattern); results are keyed by name, so order is fixed
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(chosen)))) as pool:
+        fitted = dict(pool.map(fit, chosen))
+    rows = None
+    for name in chosen:
+        m = regression_metrics(fitted[name].transform(test)).select(F.lit(name).alias("model"), "*")
         rows = m if rows is None else rows.unionByName(m)
     return rows.orderBy(F.col("r2").desc()), fitted
 
