@@ -32,8 +32,9 @@ def assemble_clv(base: DataFrame, historical: DataFrame | None, ml: DataFrame |
         if df is None:
             out = out.withColumns({value: F.lit(None).cast("double"),
                                    tier: F.lit(None).cast("string")})
-        else:
-            out = out.join(df.select("CustomerID", value, tier), "CustomerID", "left")
+            continue
+        tier_col = F.col(tier) if tier in df.columns else F.lit(None).cast("string").alias(tier)
+        out = out.join(df.select("CustomerID", value, tier_col), "CustomerID", "left")
     return out
 
 

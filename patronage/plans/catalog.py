@@ -63,12 +63,14 @@ def snapshot(spark: SparkSession, sf_dir: str):
     return F.timestamp_micros(F.lit(_SNAPSHOT[key]))
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customer hub table, materialised once per query: every rank,
-    quantile and report downstream re-reads it instead of re-running the
-    scan, joins and group-by of the lines."""
+def customers(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
+    """The customer hub table.  With ``hub=True`` it is materialised once per
+    query, so every rank, quantile and report downstream re-reads it instead
+    of re-running the scan, joins and group-by of the lines; a query that
+    only returns the table itself uses ``hub=False`` (one pass, no write)."""
     from patronage.operators.customers import customer_rfm
-    return materialize(customer_rfm(clean(spark, sf_dir), snapshot(spark, sf_dir)))
+    table = customer_rfm(clean(spark, sf_dir), snapshot(spark, sf_dir))
+    return materialize(table) if hub else table
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +87,10 @@ def ts_out(col: str):
 from patronage.plans import q_core, q_profile  # noqa: E402,F401
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def features(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
     from patronage.operators.customers import customer_features
-    return materialize(customer_features(clean(spark, sf_dir), snapshot(spark, sf_dir)))
+    table = customer_features(clean(spark, sf_dir), snapshot(spark, sf_dir))
+    return materialize(table) if hub else table
 
 
 def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,27 +98,26 @@ def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return historical_clv(features(spark, sf_dir))
 
 
-def standin_scores(spark: SparkSession, sf_dir: str):
+def standin_scores(spark: SparkSession, sf_dir: str, tiers: bool = True):
     """Deterministic stand-ins for the model-based CLVs (oracle checks of the
-    comparison / ensemble arithmetic; the real models are in q_models)."""
+    comparison / ensemble arithmetic; the real models are in q_ml / q_prob).
+    ``tiers=False`` skips the per-method tier cuts (their quantile passes)
+    when only the values are needed."""
     from patronage.operators.binning import qcut, tier_cut
+    from patronage.operators.clv_historical import historical_clv
     feat = features(spark, sf_dir)
-    hist = historical_clv_cached(spark, sf_dir, feat)
+    hist = historical_clv(feat, tier=tiers)
     ml = feat.filter(F.col("CustomerID") % 10 != 0).select(
         "CustomerID", (F.col("TotalMonetary") * F.lit(0.5)
                        + F.col("Actual_Future_Spend") * (F.lit(365.0) / F.lit(90.0))).alias("CLV_ML"))
-    ml = tier_cut(ml, "CLV_ML", "CLV_Tier_ML")
     prob = hist.filter(F.col("TransactionCount") > 1).select(
         "CustomerID", (F.col("CLV_DailyAvg") * F.lit(0.5)).alias("CLV_Probabilistic"))
-    prob = qcut(prob, "CLV_Probabilistic", 3, ["Low", "Medium", "High"], "CLV_Tier_Prob")
+    if tiers:
+        ml = tier_cut(ml, "CLV_ML", "CLV_Tier_ML")
+        prob = qcut(prob, "CLV_Probabilistic", 3, ["Low", "Medium", "High"], "CLV_Tier_Prob")
     return feat, hist, ml, prob
 
 
-def historical_clv_cached(spark, sf_dir, feat):
-    from patronage.operators.clv_historical import historical_clv
-    return historical_clv(feat)
-
-
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.ensemble import assemble_clv
     feat, hist, ml, prob = standin_scores(spark, sf_dir)
@@ -124,7 +126,7 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.ensemble import assemble_clv, ensemble_clv
-    feat, hist, ml, prob = standin_scores(spark, sf_dir)
+    feat, hist, ml, prob = standin_scores(spark, sf_dir, tiers=False)
     return ensemble_clv(assemble_clv(feat, hist, ml, prob), feat)
 
 

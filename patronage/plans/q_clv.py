@@ -20,13 +20,15 @@ FEAT_OUT = (["CustomerID"] + ["PurchaseCount", "TotalMonetary", "TotalQuantity",
 @register("E18_customer_features", O.compose(
     f"SELECT FirstPurchase, LastPurchase, {', '.join(FEAT_OUT)} FROM feat", ["feat"]))
 def e18(spark, sf):
-    return features(spark, sf).select(ts_out("FirstPurchase"), ts_out("LastPurchase"), *FEAT_OUT)
+    return features(spark, sf, hub=False).select(ts_out("FirstPurchase"), ts_out("LastPurchase"),
+                                                 *FEAT_OUT)
 
 
 @register("E22_recent_activity", O.compose(
     "SELECT CustomerID, Recent90DaySpend, Recent90DayTransactions FROM feat", ["feat"]))
 def e22(spark, sf):
-    return features(spark, sf).select("CustomerID", "Recent90DaySpend", "Recent90DayTransactions")
+    return features(spark, sf, hub=False).select("CustomerID", "Recent90DaySpend",
+                                                 "Recent90DayTransactions")
 
 
 @register("E23_future_spend", O.compose("""

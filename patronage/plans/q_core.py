@@ -44,7 +44,7 @@ def c8(spark, sf):
 
 @register("E1_customer_rfm", O.compose(f"SELECT {', '.join(CUST_OUT)} FROM cust", ["cust"]))
 def e1(spark, sf):
-    return customers(spark, sf).select(*CUST_OUT)
+    return customers(spark, sf, hub=False).select(*CUST_OUT)
 
 
 @register("G5_rfm_segments", O.compose(
