@@ -99,20 +99,22 @@ def gamma_gamma_loglik(x: Column, m: Column, p, q, v) -> Column:
 
 
 def _bfgs(fbatch, x0, h=1e-5, max_iter=300, gtol=1e-8, ftol=1e-13, max_step=5.0):
-    """Quasi-Newton minimiser where ``fbatch(points)`` returns f at several
-    points in ONE Spark job (central-difference gradient = 2d+1 points, line
-    search = 8 step lengths)."""
+    """Quasi-Newton minimiser where ``fbatch(points)`` returns f at many points
+    in ONE Spark job.  Each iteration sends the line-search points together
+    with the central-difference stencil around the full step, so an accepted
+    full step costs a single job; a shorter step costs one more."""
     x = np.asarray(x0, dtype="float64")
     d = x.size
     eye = np.eye(d)
 
-    def fg(pt):
-        pts = [pt] + [pt + s * h * eye[i] for i in range(d) for s in (1.0, -1.0)]
-        vals = fbatch(pts)
-        g = np.array([(vals[1 + 2 * i] - vals[2 + 2 * i]) / (2 * h) for i in range(d)])
-        return vals[0], g
+    def stencil(pt):
+        return [pt + s * h * eye[i] for i in range(d) for s in (1.0, -1.0)]
 
-    f, g = fg(x)
+    def grad(vals):
+        return np.array([(vals[2 * i] - vals[2 * i + 1]) / (2 * h) for i in range(d)])
+
+    vals = fbatch([x] + stencil(x))
+    f, g = vals[0], grad(vals[1:])
     H = eye.copy()
     steps = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4]
     it = 0
@@ -125,9 +127,9 @@ def _bfgs(fbatch, x0, h=1e-5, max_iter=300, gtol=1e-8, ftol=1e-13, max_step=5.0)
         longest = np.max(np.abs(p))
         if longest > max_step:          # log-parameters: at most e^5 per step
             p = p * (max_step / longest)
-        vals = fbatch([x + s * p for s in steps])
+        vals = fbatch([x + s * p for s in steps] + stencil(x + p))
         chosen = None
-        for s, fv in zip(steps, vals):
+        for s, fv in zip(steps, vals[:len(steps)]):
             if np.isfinite(fv) and fv <= f + 1e-4 * s * (g @ p):
                 chosen = s
                 break
@@ -137,7 +139,11 @@ def _bfgs(fbatch, x0, h=1e-5, max_iter=300, gtol=1e-8, ftol=1e-13, max_step=5.0)
             H = eye.copy()
             continue
         x_new = x + chosen * p
-        f_new, g_new = fg(x_new)
+        if chosen == 1.0:
+            f_new, g_new = vals[0], grad(vals[len(steps):])
+        else:
+            nv = fbatch([x_new] + stencil(x_new))
+            f_new, g_new = nv[0], grad(nv[1:])
         sv, yv = x_new - x, g_new - g
         sy = sv @ yv
         if sy > 1e-12:
