@@ -40,9 +40,33 @@ def build_session(master: str | None = None, app: str = "patronage",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``patronage`` importable in the Python workers.
+
+    The Arrow UDFs and ``mapInPandas`` functions live in this package; a
+    deployment normally ships it with ``--py-files``.  When the workers
+    cannot see it yet, the package is zipped once and added with
+    ``addPyFile`` (Spark distributes it to every executor)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="patronage-pyfiles-")
+    archive = shutil.make_archive(os.path.join(staging, "patronage"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="patronage")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def pin_utc(spark: SparkSession) -> None:
     """Timestamps are interpreted as UTC wall clock throughout."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
