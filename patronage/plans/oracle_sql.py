@@ -382,3 +382,28 @@ SELECT CustomerID, baseline_90d AS Predicted_90Day_Spend,
        baseline_90d * (CAST(365 AS DOUBLE) / CAST(90 AS DOUBLE)) AS Predicted_CLV_1Year FROM mlds
 """)
 fragment("mlpred", ["mlpred0"], tier_sql("mlpred0", "Predicted_CLV_1Year", "CLV_Tier_ML"))
+
+
+# the same customer plans over the second log: purchase events (one event =
+# one invoice of quantity 1)
+fragment("elog", [], """
+SELECT CAST(event_id AS VARCHAR) AS InvoiceNo, 'event' AS StockCode, CAST(1 AS BIGINT) AS Quantity,
+  CAST(ts AS TIMESTAMP) AS InvoiceDate, CAST(round(value * 100) AS BIGINT) AS unit_cents,
+  CAST(user_id AS BIGINT) AS CustomerID, CAST(NULL AS VARCHAR) AS Country, CAST(1 AS BIGINT) AS line
+FROM events WHERE event_type = 'purchase'
+""")
+
+
+def _retarget(name: str, new: str, mapping: dict[str, str]) -> None:
+    deps, sql = FRAGMENTS[name]
+    for old, repl in mapping.items():
+        sql = sql.replace(f"FROM {old}", f"FROM {repl}").replace(f", {old} ", f", {repl} ") \
+                 .replace(f"FROM {old},", f"FROM {repl},").replace(f"SELECT snapshot FROM {old}",
+                                                                     f"SELECT snapshot FROM {repl}")
+    fragment(new, [mapping.get(d, d) for d in deps], sql)
+
+
+_EV = {"log": "elog", "clean": "eclean", "snap": "esnap", "lt_daily": "elt_daily", "cust": "ecust"}
+for _src, _dst in [("clean", "eclean"), ("snap", "esnap"), ("cust", "ecust"),
+                   ("lt_daily", "elt_daily"), ("lt", "elt")]:
+    _retarget(_src, _dst, _EV)

@@ -102,3 +102,28 @@ SELECT g.bin, mm.lo + g.bin * ((mm.hi - mm.lo) / 50.0) AS lo,
 FROM g CROSS JOIN mm LEFT JOIN c ON g.bin = c.bin)""", ["cust"]))
 def b11r(spark, sf):
     return PR.histogram(customers(spark, sf), "Recency", 50)
+
+
+def _events_clean(spark, sf):
+    from patronage.sources import read_table, transactions_from_events
+    return CL.clean_lines(transactions_from_events(read_table(spark, sf, "events")))
+
+
+@register("A3_events_customer_rfm", O.compose(
+    "SELECT CustomerID, Recency, Frequency, Monetary, TotalQuantity, UniqueProducts, Country, "
+    "AvgTransactionValue, AvgItemsPerTransaction FROM ecust", ["ecust"]))
+def a3e(spark, sf):
+    """Second source: purchase events as the log, then the customer table."""
+    from patronage.operators.customers import customer_rfm
+    return customer_rfm(_events_clean(spark, sf)).select(
+        "CustomerID", "Recency", "Frequency", "Monetary", "TotalQuantity", "UniqueProducts",
+        "Country", "AvgTransactionValue", "AvgItemsPerTransaction")
+
+
+@register("H2_events_lifetimes_summary", O.compose(
+    "SELECT CustomerID, frequency, recency, T, monetary_value FROM elt", ["elt"]))
+def h2e(spark, sf):
+    from patronage.operators.clv_prob import lifetimes_summary
+    lines = _events_clean(spark, sf)
+    return lifetimes_summary(lines, CL.snapshot_value(lines)).select(
+        "CustomerID", "frequency", "recency", "T", "monetary_value")
