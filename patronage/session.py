@@ -116,3 +116,36 @@ def materialize(df, name: str = "stage"):
     path = f"{base}/patronage-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cluster_conf(input_bytes: float, total_cores: int, shuffle_fraction: float = 0.25,
+                 target_partition_bytes: int = 256 * 1024 * 1024,
+                 max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Sizing for a large cluster (pass to ``build_session(conf=...)``).
+
+    * scan splits of ~256 MB (``maxPartitionBytes``) keep a task's input in
+      memory with room for the join / aggregation buffers;
+    * the initial shuffle partition count targets ~256 MB per partition of
+      the largest shuffle, estimated as ``shuffle_fraction`` of the input (the
+      fact join ships projected columns; the customer aggregate ships partial
+      aggregates), at least 3 waves over the cores and at most
+      ``max_shuffle_partitions`` (map-status size grows with maps x reducers);
+      AQE then coalesces small partitions and splits skewed ones;
+    * generous task / stage retries, so lost executors cost re-runs of their
+      tasks only.
+    """
+    wanted = int(input_bytes * shuffle_fraction / target_partition_bytes)
+    shuffle = min(max(wanted, 3 * total_cores, 200), max_shuffle_partitions)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.task.maxFailures": "8",
+        "spark.stage.maxConsecutiveAttempts": "8",
+    }
