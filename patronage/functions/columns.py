@@ -56,3 +56,12 @@ def cents_to_money(cents: Column) -> Column:
 def non_null_distinct_count(*cols: Column) -> Column:
     """Number of distinct non-null values among the given columns of one row."""
     return F.size(F.array_distinct(F.array_compact(F.array(*cols))))
+
+
+def scalars(row_df, names=None) -> list[Column]:
+    """Columns of a 1-row DataFrame as scalar-subquery columns, packed into ONE
+    subquery (a struct) so Spark evaluates the row once however many of the
+    values a plan uses."""
+    names = list(names or row_df.columns)
+    packed = row_df.select(F.struct(*[F.col(n) for n in names]).alias("_s")).scalar()
+    return [packed[n] for n in names]

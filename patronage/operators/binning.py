@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.functions.columns import scalars
 from patronage.functions.ordering import exact_quantiles, global_row_number, quartile_of_rank
 
 
@@ -19,11 +20,10 @@ def _edges(df: DataFrame, col: str, probs: Sequence[float], method: str = "rank"
     bounded number of values, such as whole days of recency."""
     if method == "percentile":
         arr = df.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
-                     .alias("q"))
-        return [arr.select(F.col("q")[i]).scalar() for i in range(len(probs))]
+                     .alias("q")).scalar()
+        return [arr[i] for i in range(len(probs))]
     names = [f"e{i}" for i in range(len(probs))]
-    q = exact_quantiles(df, col, probs, names)
-    return [q.select(n).scalar() for n in names]
+    return scalars(exact_quantiles(df, col, probs, names), names)
 
 
 def _check_increasing(edges: list[Column], what: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import np_round
+from patronage.functions.columns import np_round, scalars
 from patronage.functions.lookups import cluster_name
 
 RFM = ("Recency", "Frequency", "Monetary")
@@ -34,10 +34,10 @@ def standardize(df: DataFrame, cols: Sequence[str] = LOG_COLS, suffix: str = "_z
     are computed here as scalar subqueries (one small aggregation)."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
                    *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    values = dict(zip(stats.columns, scalars(stats)))
     out = df
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
+        m, s = values[f"m_{c}"], values[f"s_{c}"]
         out = out.withColumn(f"{c}{suffix}", F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0)))
     return out
 
@@ -163,8 +163,8 @@ def cluster_profile(clustered: DataFrame, decimals: int | None = 2) -> DataFrame
     """Size, mean R/F/M/TotalQuantity/UniqueProducts, % customers,
     revenue and % revenue per cluster, sorted by mean Monetary."""
     rnd = (lambda c: np_round(c, decimals)) if decimals is not None else (lambda c: c)
-    n_all = clustered.agg(F.count(F.lit(1))).scalar()
-    rev_all = clustered.agg(F.sum("monetary_cents")).scalar()
+    n_all, rev_all = scalars(clustered.agg(F.count(F.lit(1)).alias("n"),
+                                           F.sum("monetary_cents").alias("rev")))
     per = clustered.groupBy("Cluster").agg(
         F.count(F.lit(1)).alias("CustomerID"),
         *[rnd(F.avg(F.col(c).cast("double"))).alias(c) for c in ("Recency", "Frequency")],

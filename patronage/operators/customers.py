@@ -15,7 +15,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import elapsed_days, safe_div
+from patronage.functions.columns import elapsed_days, safe_div, scalars
 from patronage.functions.ordering import exact_quantiles, global_row_number
 from patronage.operators.cleaning import snapshot_value
 
@@ -161,8 +161,7 @@ def overall_kpis(customers: DataFrame) -> DataFrame:
         "frequency_mean",
         F.col("_fq")[0].alias("frequency_median"), F.col("_fq")[1].alias("frequency_p90"),
         (rev / F.col("customers").cast("double")).alias("monetary_mean"),
-        mq.select("monetary_median").scalar().alias("monetary_median"),
-        mq.select("monetary_p90").scalar().alias("monetary_p90"),
+        *[v.alias(n) for v, n in zip(scalars(mq), ["monetary_median", "monetary_p90"])],
     )
 
 
@@ -251,9 +250,7 @@ def repeat_buyers(customers: DataFrame) -> DataFrame:
 
 def value_groups(customers: DataFrame, high_q: float = 0.75, low_q: float = 0.25) -> DataFrame:
     """High (Monetary >= p75) and low (<= p25) groups; ties join both sides."""
-    q = exact_quantiles(customers, "Monetary", [high_q, low_q], ["hi", "lo"])
-    hi_t = q.select("hi").scalar()
-    lo_t = q.select("lo").scalar()
+    hi_t, lo_t = scalars(exact_quantiles(customers, "Monetary", [high_q, low_q], ["hi", "lo"]))
     groups = F.array(
         F.struct(F.lit("high").alias("grp"), (F.col("Monetary") >= hi_t).alias("hit")),
         F.struct(F.lit("low").alias("grp"), (F.col("Monetary") <= lo_t).alias("hit")))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import elapsed_days
+from patronage.functions.columns import elapsed_days, scalars
 from patronage.functions.ordering import exact_quantiles
 from patronage.operators.cleaning import is_cancelled
 
@@ -89,11 +89,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
                       F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
                       F.max(x).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+        p25, p50, p75 = scalars(exact_quantiles(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
         parts.append(base.select(
             F.lit(c).alias("column"), F.col("count").cast("long").alias("count"), "mean", "std",
-            "min", q.select("p25").scalar().alias("p25"), q.select("p50").scalar().alias("p50"),
-            q.select("p75").scalar().alias("p75"), "max"))
+            "min", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "max"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -105,8 +104,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     empty bins present: (bin, lo, hi, count)."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    lo = vals.agg(F.min("_x")).scalar()
-    hi = vals.agg(F.max("_x")).scalar()
+    lo, hi = scalars(vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
     width = (hi - lo) / F.lit(float(bins))
     idx = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((F.col("_x") - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)))
