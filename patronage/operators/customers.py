@@ -24,11 +24,18 @@ CUSTOMER_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "TotalQuan
                     "AvgItemsPerTransaction"]
 
 
-def first_country() -> Column:
-    """pandas ``first``: the first non-null Country in time order (tie-break
-    invoice number, then line)."""
-    key = F.struct(F.col("InvoiceDate"), F.col("InvoiceNo"), F.col("line"))
-    return F.min_by(F.col("Country"), F.when(F.col("Country").isNotNull(), key))
+def first_country_table(lines: DataFrame) -> DataFrame:
+    """pandas ``first`` of Country per customer: the first non-null Country in
+    time order (ties at the same instant: the smaller country name).
+
+    Kept out of the main customer aggregate on purpose: a string-valued
+    aggregation buffer forces Spark into a sort-based aggregation of every
+    (expanded) line.  Here the lines collapse in a hash aggregation to one row
+    per (customer, country); only that small table is reduced per customer."""
+    per = (lines.filter(F.col("Country").isNotNull())
+           .groupBy("CustomerID", "Country").agg(F.min("InvoiceDate").alias("_t")))
+    return per.groupBy("CustomerID").agg(
+        F.min_by("Country", F.struct(F.col("_t"), F.col("Country"))).alias("Country"))
 
 
 def customer_rfm(lines: DataFrame, snapshot: Column | None = None) -> DataFrame:
@@ -46,8 +53,8 @@ def customer_rfm(lines: DataFrame, snapshot: Column | None = None) -> DataFrame:
         F.sum(F.col("Quantity") * F.col("unit_cents")).alias("monetary_cents"),
         F.sum("Quantity").alias("TotalQuantity"),
         F.count_distinct("StockCode").alias("UniqueProducts"),
-        first_country().alias("Country"),
     )
+    agg = agg.join(first_country_table(lines), "CustomerID", "left")
     money = F.col("monetary_cents").cast("double") / F.lit(100.0)
     return agg.select(
         F.col("CustomerID"),
@@ -91,7 +98,6 @@ def customer_features(lines: DataFrame, snapshot: Column | None = None,
         F.sum("Quantity").alias("TotalQuantity"),
         F.count_distinct("StockCode").alias("UniqueProducts"),
         F.count_distinct("InvoiceNo").alias("TransactionCount"),
-        first_country().alias("Country"),
         F.sum(F.when(recent, cents).otherwise(0)).alias("recent_cents"),
         F.count_distinct(F.when(recent, F.col("InvoiceNo"))).alias("Recent90DayTransactions"),
         F.sum(F.when(target, cents).otherwise(0)).alias("target_cents"),
@@ -99,6 +105,7 @@ def customer_features(lines: DataFrame, snapshot: Column | None = None,
     aggs += [F.count_if(wd == i).alias(f"Day_{i}_Purchases") for i in range(7)]
     aggs += [F.count_if(hr == i).alias(f"Hour_{i}_Purchases") for i in range(24)]
     agg = lines.groupBy("CustomerID").agg(*aggs)
+    agg = agg.join(first_country_table(lines), "CustomerID", "left")
     money = F.col("monetary_cents").cast("double") / F.lit(100.0)
     lifespan = elapsed_days(F.col("LastPurchase"), F.col("FirstPurchase")) + 1
     tx = F.col("TransactionCount").cast("double")

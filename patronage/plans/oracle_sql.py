@@ -83,7 +83,7 @@ SELECT CustomerID,
   CAST(sum(Quantity) AS BIGINT) AS TotalQuantity,
   count(DISTINCT StockCode) AS UniqueProducts,
   arg_min(Country, CASE WHEN Country IS NOT NULL
-          THEN {{'d': InvoiceDate, 'i': InvoiceNo, 'l': line}} END) AS Country,
+          THEN {{'d': InvoiceDate, 'c': Country}} END) AS Country,
   (CAST(sum(spend_cents) AS BIGINT) / 100.0) / CAST(count(DISTINCT InvoiceNo) AS DOUBLE)
     AS AvgTransactionValue,
   CAST(sum(Quantity) AS DOUBLE) / CAST(count(DISTINCT InvoiceNo) AS DOUBLE) AS AvgItemsPerTransaction
@@ -165,7 +165,7 @@ SELECT CustomerID, min(InvoiceDate) AS FirstPurchase, max(InvoiceDate) AS LastPu
   CAST(sum(Quantity) AS BIGINT) AS TotalQuantity, count(DISTINCT StockCode) AS UniqueProducts,
   count(DISTINCT InvoiceNo) AS TransactionCount,
   arg_min(Country, CASE WHEN Country IS NOT NULL
-          THEN {{'d': InvoiceDate, 'i': InvoiceNo, 'l': line}} END) AS Country,
+          THEN {{'d': InvoiceDate, 'c': Country}} END) AS Country,
   CAST(sum(CASE WHEN InvoiceDate >= snapshot - INTERVAL 90 DAY THEN spend_cents ELSE 0 END) AS BIGINT) AS recent_cents,
   count(DISTINCT CASE WHEN InvoiceDate >= snapshot - INTERVAL 90 DAY THEN InvoiceNo END) AS Recent90DayTransactions,
   CAST(sum(CASE WHEN InvoiceDate BETWEEN snapshot - INTERVAL 90 DAY AND snapshot - INTERVAL 1 DAY
