@@ -50,7 +50,7 @@ def scaled_vectors(customers: DataFrame) -> DataFrame:
 
 
 def _fit_best(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int, tol: float,
-              parallelism: int = 4):
+              parallelism: int = 8):
     """Best of ``n_init`` k-means starts (seeds seed, seed+1, ...).
 
     The starts are independent Spark jobs submitted from a small thread pool

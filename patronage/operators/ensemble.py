@@ -39,7 +39,8 @@ def assemble_clv(base: DataFrame, historical: DataFrame | None, ml: DataFrame |
 
 
 def ensemble_clv(comparison: DataFrame, transactions: DataFrame | None = None,
-                 cap: float = 0.6, ml_weight: float = 0.4, scale: float = 20.0) -> DataFrame:
+                 cap: float = 0.6, ml_weight: float = 0.4, scale: float = 20.0,
+                 stage: bool = True) -> DataFrame:
     """Weighted blend of the three CLVs.
 
     w_h = clip(n/20, 0, .6), w_p = clip(1 - n/20, 0, .6), w_ml = .4, each
@@ -64,6 +65,11 @@ def ensemble_clv(comparison: DataFrame, transactions: DataFrame | None = None,
                          F.col("weight_historical") * F.col("CLV_Historical")
                          + F.col("weight_probabilistic") * F.col("CLV_Probabilistic")
                          + F.col("weight_ml") * F.col("CLV_ML"))
+    if stage:
+        # the tier cut reads the blend twice (quantiles, then labels): pin the
+        # joined result once instead of re-running the four-way join
+        from patronage.session import materialize
+        ens = materialize(ens, "ensemble")
     return tier_cut(ens, "CLV_Final", "CLV_Tier_Final")
 
 
