@@ -127,3 +127,102 @@ def h2e(spark, sf):
     lines = _events_clean(spark, sf)
     return lifetimes_summary(lines, CL.snapshot_value(lines)).select(
         "CustomerID", "frequency", "recency", "T", "monetary_value")
+
+
+# ------------------------------------------------------------ explicit inventory rows
+# (each of these is also part of a larger query above; registered on its own
+# so every inventory id has a runnable, checkable entry)
+
+from patronage.plans.catalog import features, quartile_clusters, segmented  # noqa: E402
+
+
+@register("C6_total_spend", O.compose("""
+SELECT Country, CAST(sum(spend_cents) AS BIGINT) / 100.0 AS TotalSpend, count(*) AS lines
+FROM clean GROUP BY Country""", ["clean"]))
+def c6(spark, sf):
+    return clean(spark, sf).groupBy("Country").agg(
+        (F.sum("spend_cents").cast("double") / 100.0).alias("TotalSpend"),
+        F.count(F.lit(1)).alias("lines"))
+
+
+@register("C7_date_parts", O.compose("""
+SELECT Year, Month, Weekday, Hour, count(*) AS lines FROM clean GROUP BY 1, 2, 3, 4""", ["clean"]))
+def c7(spark, sf):
+    return clean(spark, sf).groupBy("Year", "Month", "Weekday", "Hour").agg(
+        F.count(F.lit(1)).alias("lines"))
+
+
+@register("E2_transaction_averages", O.compose(
+    "SELECT CustomerID, AvgTransactionValue, AvgItemsPerTransaction FROM cust", ["cust"]))
+def e2(spark, sf):
+    return customers(spark, sf, hub=False).select(
+        "CustomerID", "AvgTransactionValue", "AvgItemsPerTransaction")
+
+
+@register("E19_lifespan_frequency", O.compose(
+    "SELECT CustomerID, CustomerLifespan, PurchaseFrequency, Recency FROM feat", ["feat"]))
+def e19(spark, sf):
+    return features(spark, sf, hub=False).select(
+        "CustomerID", "CustomerLifespan", "PurchaseFrequency", "Recency")
+
+
+_DAYS = [f"Day_{i}_Purchases" for i in range(7)]
+_HOURS = [f"Hour_{i}_Purchases" for i in range(24)]
+
+
+@register("E20_weekday_pivot", O.compose(f"SELECT CustomerID, {', '.join(_DAYS)} FROM feat", ["feat"]))
+def e20(spark, sf):
+    return features(spark, sf, hub=False).select("CustomerID", *_DAYS)
+
+
+@register("E21_hour_pivot", O.compose(f"SELECT CustomerID, {', '.join(_HOURS)} FROM feat", ["feat"]))
+def e21(spark, sf):
+    return features(spark, sf, hub=False).select("CustomerID", *_HOURS)
+
+
+@register("F1_recency_quartile_edges", O.compose("""
+SELECT quantile_cont(Recency, 0.0) AS e0, quantile_cont(Recency, 0.25) AS e1,
+       quantile_cont(Recency, 0.5) AS e2, quantile_cont(Recency, 0.75) AS e3,
+       quantile_cont(Recency, 1.0) AS e4 FROM cust""", ["cust"]))
+def f1(spark, sf):
+    return BN.scalar_quantiles(customers(spark, sf), "Recency", [0.0, 0.25, 0.5, 0.75, 1.0],
+                               ["e0", "e1", "e2", "e3", "e4"])
+
+
+@register("F3_frequency_monetary_scores", O.compose(
+    "SELECT CustomerID, F_Score, M_Score FROM rfm", ["rfm"]))
+def f3(spark, sf):
+    from patronage.operators.binning import qcut_of_rank
+    c = customers(spark, sf)
+    c = qcut_of_rank(c, "Frequency", "F_Score")
+    return qcut_of_rank(c, "monetary_cents", "M_Score").select("CustomerID", "F_Score", "M_Score")
+
+
+@register("G4_segment_of_score", O.compose(
+    "SELECT RFM_Score, Segment, count(*) AS customers FROM seg GROUP BY 1, 2", ["seg"]))
+def g4(spark, sf):
+    return segmented(spark, sf).groupBy("RFM_Score", "Segment").agg(
+        F.count(F.lit(1)).alias("customers"))
+
+
+@register("J5_cluster_names", O.compose(
+    "SELECT Cluster, Cluster_Name, count(*) AS customers FROM clus GROUP BY 1, 2", ["clus"]))
+def j5(spark, sf):
+    return quartile_clusters(spark, sf).groupBy("Cluster", "Cluster_Name").agg(
+        F.count(F.lit(1)).alias("customers"))
+
+
+@register("H11_discounted_clv")
+def h11(spark, sf):
+    from patronage.plans.catalog import prob_model
+    return prob_model(spark, sf)[3].select("CustomerID", "CLV_365d", "CLV_3y_discounted")
+
+
+@register("G10_segment_actions")
+def g10(spark, sf):
+    from patronage.operators.clv_prob import bgnbd_quadrants
+    from patronage.operators.outputs import segment_action
+    from patronage.plans.catalog import prob_model
+    q = bgnbd_quadrants(prob_model(spark, sf)[3])
+    return q.groupBy("segment").agg(F.count(F.lit(1)).alias("customers")).withColumn(
+        "action", segment_action(F.col("segment")))
