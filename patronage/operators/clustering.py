@@ -153,7 +153,7 @@ def rfm_quartile_clusters(customers: DataFrame) -> DataFrame:
     deterministic, so the assignment is checkable in SQL."""
     from patronage.operators.binning import qcut
     z = standardize(log_features(customers))
-    z = qcut(z, "Recency", 4, [4, 3, 2, 1], "R_Score")
+    z = qcut(z, "Recency", 4, [4, 3, 2, 1], "R_Score", method="percentile")
     cols = [f"{c}_z" for c in LOG_COLS]
     cent = centres_by(z, F.col("R_Score") - 1, cols)
     return assign_nearest(z, cent, cols).withColumn("Cluster_Name", cluster_name(F.col("Cluster")))
