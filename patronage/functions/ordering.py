@@ -35,9 +35,15 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: the session's shuffle partitions, but at most two
+    waves over the cluster's cores.  A cluster sized for a 100 TB line-level
+    shuffle may set ~10^5 shuffle partitions; the ordered tables here are at
+    customer grain and would otherwise become that many tiny files."""
     if num_partitions:
         return num_partitions
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(shuffle, 2 * cores))
 
 
 def _offsets(staged: DataFrame, size_col: str) -> DataFrame:
