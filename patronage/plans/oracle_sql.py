@@ -407,3 +407,19 @@ _EV = {"log": "elog", "clean": "eclean", "snap": "esnap", "lt_daily": "elt_daily
 for _src, _dst in [("clean", "eclean"), ("snap", "esnap"), ("cust", "ecust"),
                    ("lt_daily", "elt_daily"), ("lt", "elt")]:
     _retarget(_src, _dst, _EV)
+
+
+def expected_purchases_sql(r, alpha, a, b, t, x="frequency", tx="recency", T="T",
+                           terms: int = 4000) -> str:
+    """DuckDB twin of the BG/NBD conditional expectation: the Gauss series is
+    summed term by term (lgamma form) in a correlated subquery."""
+    xd = f"CAST({x} AS DOUBLE)"
+    A, B, C = f"({r} + {xd})", f"({b} + {xd})", f"({a} + {b} + {xd} - 1)"
+    z = f"({t} / ({alpha} + {T} + {t}))"
+    term = (f"exp(lgamma({A} + k) - lgamma({A}) + lgamma({B} + k) - lgamma({B}) - lgamma({C} + k) "
+            f"+ lgamma({C}) - lgamma(k + 1) + k * ln({z}) + {A} * ln(1 - {z}))")
+    series = f"(SELECT sum({term}) FROM range(0, {terms}) rr(k))"
+    first = f"(({a} + {b} + {xd} - 1) / ({a} - 1))"
+    den = (f"(CASE WHEN {x} > 0 THEN 1.0 + exp({A} * ln(({alpha} + {T}) / ({alpha} + {tx})) "
+           f"+ ln({a} / ({b} + greatest({xd}, 1.0) - 1))) ELSE 1.0 END)")
+    return f"({first} * (1.0 - {series}) / {den})"

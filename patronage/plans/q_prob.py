@@ -50,7 +50,9 @@ def h6(spark, sf):
     return P.params_frame(spark, P.gamma_gamma_fit(materialize(lifetimes(spark, sf))))
 
 
-@register("H7_expected_purchases_fixed")
+@register("H7_expected_purchases_fixed", O.compose(
+    f"SELECT CustomerID, {O.expected_purchases_sql(*BG.as_tuple(), 90.0)} AS predicted_purchases_90d "
+    "FROM lt WHERE frequency > 0", ["lt"]))
 def h7(spark, sf):
     rep = P.repeat_customers(lifetimes(spark, sf))
     return rep.select("CustomerID", P.expected_purchases(
