@@ -130,3 +130,50 @@ def d9(spark, sf):
 def d9b(spark, sf):
     summary, bg, gg, scored = prob_model(spark, sf)
     return P.scoring_grid(summary, bg)
+
+
+def _fixed_scores(spark, sf):
+    rep = P.repeat_customers(lifetimes(spark, sf))
+    x, tx, T = F.col("frequency"), F.col("recency"), F.col("T")
+    return rep.select("CustomerID", "monetary_value",
+                      P.p_alive(x, tx, T, BG).alias("probability_alive"),
+                      P.expected_purchases(F.lit(90.0), x, tx, T, BG).alias("predicted_purchases_90d"))
+
+
+_FIXED_Q = f"""
+WITH s AS (SELECT CustomerID, monetary_value, {O.p_alive_sql(*BG.as_tuple())} AS probability_alive,
+                  {O.expected_purchases_sql(*BG.as_tuple(), 90.0)} AS predicted_purchases_90d
+           FROM lt WHERE frequency > 0),
+m AS (SELECT quantile_cont(predicted_purchases_90d, 0.5) AS med FROM s)
+SELECT s.*, CASE
+  WHEN probability_alive > 0.7 AND predicted_purchases_90d > med THEN 'High Potential'
+  WHEN probability_alive < 0.3 AND predicted_purchases_90d < med THEN 'At Risk'
+  WHEN probability_alive > 0.7 AND predicted_purchases_90d < med THEN 'Loyal Low Spender'
+  WHEN probability_alive < 0.3 AND predicted_purchases_90d > med THEN 'At Risk High Spender'
+  ELSE 'Medium' END AS segment
+FROM s, m"""
+
+
+def _action_sql(col: str) -> str:
+    from patronage.operators.outputs import SEGMENT_ACTIONS
+    return "CASE " + " ".join(f"WHEN contains({col}, '{k}') THEN '{v}'"
+                              for k, v in SEGMENT_ACTIONS) + " END"
+
+
+@register("G9_bgnbd_quadrants_fixed", O.compose(
+    f"SELECT CustomerID, probability_alive, predicted_purchases_90d, segment FROM ({_FIXED_Q})",
+    ["lt"]))
+def g9f(spark, sf):
+    return P.bgnbd_quadrants(_fixed_scores(spark, sf)).select(
+        "CustomerID", "probability_alive", "predicted_purchases_90d", "segment")
+
+
+@register("E28_quadrant_summary_fixed", O.compose(f"""
+WITH q AS ({_FIXED_Q})
+SELECT segment, count(*) AS customers,
+  CAST(count(*) AS DOUBLE) * 100.0 / CAST((SELECT count(*) FROM q) AS DOUBLE) AS pct,
+  avg(predicted_purchases_90d) AS mean_predicted_purchases, avg(probability_alive) AS mean_probability_alive,
+  avg(monetary_value) AS mean_monetary_value, {_action_sql('segment')} AS action
+FROM q GROUP BY segment""", ["lt"]))
+def e28f(spark, sf):
+    return P.quadrant_summary(P.bgnbd_quadrants(_fixed_scores(spark, sf)))
