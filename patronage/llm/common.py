@@ -127,7 +127,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return words
     k_used = min(n, k)
-    acc = np.full(n - k_used + 1, _U(k_used) * _ROW[3], dtype=_U)
+    acc = np.full(n - k_used + 1, k_used, dtype=_U) * _ROW[3]
     for i in range(k_used):
         acc = mix64(acc * _ROW[i % 3] + words[i:n - k_used + 1 + i])
     return acc
