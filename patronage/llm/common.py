@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +40,6 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ROW
 # -- word hashing ---------------------------------------------------------
 
 _U = np.uint64
-_POW_BASE = _U(0x9E3779B97F4A7C15)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -50,8 +51,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _table(is_separator) -> np.ndarray:
-    return np.array([is_separator(b) for b in range(256)], dtype=bool)
+def _table(is_separator) -> bytes:
+    """Byte translation: separators become blanks, A-Z lower case."""
+    return bytes(32 if is_separator(b) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 #: Words are runs of bytes other than space and \x09-\x0D.
@@ -59,68 +61,64 @@ SPACE_SEPARATORS = _table(lambda b: b == 0x20 or 0x09 <= b <= 0x0D)
 #: Words are runs of ASCII letters, digits and all non-ASCII characters.
 ALNUM_SEPARATORS = _table(lambda b: b < 0x80 and not chr(b).isalnum())
 
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
-_powers = np.ones(1, dtype=_U)
+
+_BASE = 0x9E3779B97F4A7C15
+_tables = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
-def _pow(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    global _tables
+    if len(_tables[0]) < n:
         size = 1 << (n - 1).bit_length()
-        _powers = np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, _POW_BASE)]))
-    return _powers
+        _tables = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, dtype=_U)]))
+                   for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _tables
 
 
-def _blocks(data: np.ndarray, sep: np.ndarray, size: int):
-    """Cut at separators into blocks of about ``size`` bytes, so that a very
+def _blocks(data: bytes, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, bytes) of blocks of about ``size`` bytes, cut at blanks, so that a very
     long text needs no more temporary memory than a block."""
     at = 0
-    while len(data) - at > size:
-        cut = at + size
-        while cut < len(data):
-            stop = min(len(data), cut + size)
-            hit = np.flatnonzero(sep[data[cut:stop]])
-            if len(hit):
-                cut += int(hit[0])
-                break
-            cut = stop
-        yield at, data[at:cut]
+    while len(data) - at > size and (cut := data.find(b" ", at + size)) >= 0:
+        yield at, np.frombuffer(data, dtype=np.uint8, count=cut - at, offset=at)
         at = cut
-    yield at, data[at:]
+    yield at, np.frombuffer(data, dtype=np.uint8, offset=at)
 
 
-def word_hashes(text: str, separators: np.ndarray, with_offsets: bool = False, block: int = 1 << 20):
-    """64-bit hashes of the A-Z-lower-cased words of a whole text; with
-    ``with_offsets`` also each word's first and end byte."""
-    data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+def word_hashes(text: str, table: bytes, with_offsets: bool = False, size: int = 1 << 18):
+    """64-bit hashes of the words of a whole text; with ``with_offsets`` also each
+    word's first and end byte."""
+    data = text.encode("utf-8", "surrogatepass").translate(table)
     hashes, begins, ends = [], [], []
-    for at, part in _blocks(data, separators, block):
-        inside = ~separators[part]
-        if not inside.any():
-            continue
-        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-        first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        lens = end - first
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        values = _LOWER[part[inside]].astype(_U) + _U(1)
-        offset = np.arange(len(values)) - np.repeat(starts, lens)
-        hashes.append(mix64(np.add.reduceat(values * _pow(int(lens.max()))[offset], starts)
-                            + lens.astype(_U)))
+    for at, part in _blocks(data, size):
+        inside = np.zeros(len(part) + 2, dtype=bool)
+        np.not_equal(part, 32, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        first, end = edge[0::2], edge[1::2]
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=_U)
+        np.cumsum((part.astype(_U) + _U(1)) * power[:len(part)], out=total[1:])
+        hashes.append(mix64((total[end] - total[first]) * inverse[first] + (end - first).astype(_U)))
         if with_offsets:
             begins.append(first + at)
             ends.append(end + at)
-    empty = np.zeros(0, dtype=np.int64)
-    out = np.concatenate(hashes) if hashes else np.zeros(0, dtype=_U)
-    if with_offsets:
-        return (out, np.concatenate(begins) if begins else empty,
-                np.concatenate(ends) if ends else empty)
-    return out
+    out = hashes[0] if len(hashes) == 1 else np.concatenate(hashes)
+    return (out, np.concatenate(begins), np.concatenate(ends)) if with_offsets else out
 
 
 _ROW = [_U(0x8CB92BA72F3D8DD7), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9),
         _U(0xD6E8FEB86659FD93)]
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    if len(values) < 2:
+        return values
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` words; a shorter, non-empty sequence gives one."""
     n = len(words)
@@ -129,8 +127,9 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     k_used = min(n, k)
     acc = np.full(n - k_used + 1, k_used, dtype=_U) * _ROW[3]
     for i in range(k_used):
-        acc = mix64(acc * _ROW[i % 3] + words[i:n - k_used + 1 + i])
-    return acc
+        acc = acc * _ROW[i % 3] + words[i:n - k_used + 1 + i]
+        acc ^= acc >> _U(29)
+    return mix64(acc)
 
 
 # -- connected components -------------------------------------------------

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SEPARATORS, components, keep_ids, materialize, mix64, shingle_hashes, word_hashes
+from .common import SPACE_SEPARATORS, components, distinct, keep_ids, materialize, mix64, shingle_hashes, word_hashes
 
 HEAVY = 1 << 18
 _LOCAL, _LOCAL_COUNT = 2_000_000, 8
@@ -43,14 +43,14 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct shingle hashes; empty without words."""
     if not text:
         return np.zeros(0, dtype=np.uint64)
-    return np.unique(shingle_hashes(word_hashes(text, SPACE_SEPARATORS), k))
+    return distinct(shingle_hashes(word_hashes(text, SPACE_SEPARATORS), k))
 
 
 def set_id(s: np.ndarray) -> int:
-    """64-bit hash of a set, as a signed integer."""
-    with np.errstate(over="ignore"):
-        total = mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    return int(mix64(np.array([total + np.uint64(len(s))], dtype=np.uint64)).astype(np.int64)[0])
+    """64-bit hash of a set (its size, sum and exclusive or), as a signed integer."""
+    x = int(s.sum()) * 0x9E3779B97F4A7C15 + int(np.bitwise_xor.reduce(s)) * 0xC2B2AE3D27D4EB4F + len(s)
+    x = (x ^ (x >> 67)) & 0xFFFFFFFFFFFFFFFF
+    return x - (1 << 64) if x >> 63 else x
 
 
 def prefix_length(n, num: int, den: int):
@@ -160,20 +160,21 @@ class JaccardJoin:
         often = entry.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
         #: (tok, gid, n): prefix shingles that several groups share
         self.entries = materialize(entry.join(often, "tok"), "entries")
-        self._load_sets()
+        reps = self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"))
+        #: (sid, key): a document of each set
+        self.reps = materialize(reps, "reps")
+        self.sets = spark.createDataFrame([], "sid long, elements array<long>")
         self.links = spark.createDataFrame([], "a long, b long")
         self.comps = spark.createDataFrame([], "node long, comp long")
 
-    def _load_sets(self) -> None:
-        """Elements of the sets that may be compared, read again from the texts."""
-        crowd = self.members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select("gid")
-        wanted = self.entries.select("gid").union(crowd).distinct()
-        sids = self.members.join(wanted, "gid", "left_semi").select("sid")
-        reps = self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"))
-        keys = materialize(reps.join(sids, "sid", "left_semi").select("key").distinct(), "keys")
+    def load_sets(self, sids: DataFrame) -> None:
+        """Elements of sets that are compared and not loaded yet, from their texts."""
+        new = sids.distinct().join(self.sets.select("sid"), "sid", "left_anti")
+        keys = materialize(self.reps.join(new, "sid", "left_semi").select("key").distinct(), "keys")
         texts = keep_ids(self.docs, keys, "key").select("text")
-        self.sets = materialize(texts.mapInArrow(_sets(self.k), "sid long, elements array<long>")
-                                .dropDuplicates(["sid"]), "sets")
+        found = materialize(texts.mapInArrow(_sets(self.k), "sid long, elements array<long>")
+                            .dropDuplicates(["sid"]), "sets")
+        self.sets = self.sets.union(found)
 
     # -- pieces of the join
 
@@ -184,16 +185,18 @@ class JaccardJoin:
         """Least number of shared prefix shingles of a link: the overlap a link
         needs, less what the longer rest behind the prefixes can hold."""
         total = self.num + self.den
-        overlap = F.ceil((a + b) * self.num / total - 1e-9)
+        overlap = F.floor(((a + b) * self.num + total - 1) / total)
         rest = [F.floor((self.num * x + self.den - 1) / self.den) - 1 for x in (a, b)]
         return overlap - F.greatest(*rest)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs of sets (a, b)."""
+        pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+                            "candidates")
+        self.load_sets(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")))
         x = self.sets.select(F.col("sid").alias("a"), F.col("elements").alias("ea"))
         y = self.sets.select(F.col("sid").alias("b"), F.col("elements").alias("eb"))
-        both = (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-                .join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ea", "eb"))))
+        both = (pairs.join(x, "a").join(y, "b").withColumn("common", F.size(F.array_intersect("ea", "eb"))))
         link = self.den * F.col("common") >= self.num * (F.size("ea") + F.size("eb") - F.col("common"))
         return both.where(link).select("a", "b")
 
@@ -212,7 +215,8 @@ class JaccardJoin:
         return True
 
     def linear_round(self) -> DataFrame:
-        """At most one candidate a group and one a member, between different components."""
+        """At most one candidate a group and one a member, between different components: for a
+        group, the leader with which it shares most prefix shingles, if those are enough."""
         lab = materialize(self.labelled(), "labelled")
         lead = lab.groupBy("gid").agg(F.min(F.struct("comp", "sid")).alias("l"))
         inside = (lab.join(lead, "gid").where("comp <> l.comp")
@@ -222,7 +226,8 @@ class JaccardJoin:
         leaders = e.groupBy("tok", "band").agg(F.min(F.struct("comp", "gid", "n")).alias("l"))
         near = leaders.select("tok", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "l")
         meets = (e.join(near, ["tok", "band"]).where((F.col("comp") != F.col("l.comp")) & self.fits(F.col("n"), F.col("l.n")))
-                 .groupBy("gid", F.col("l.gid").alias("b")).agg(F.count("*").alias("c")))
+                 .groupBy("gid", "n", F.col("l.gid").alias("b"), F.col("l.n").alias("nb")).agg(F.count("*").alias("c"))
+                 .where(F.col("c") >= self.needed(F.col("n"), F.col("nb"))))
         best = meets.groupBy("gid").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         return inside.union(best.select(F.col("gid").alias("a"), "b"))
 
