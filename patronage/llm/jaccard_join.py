@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_SEPARATORS, components, distinct, keep_ids, materialize, mix64, shingle_hashes, word_hashes
 
 HEAVY = 1 << 18
-_LOCAL, _LOCAL_COUNT = 2_000_000, 8
+_LOCAL, _LOCAL_COUNT = 4_000_000, 2
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -63,10 +63,11 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 
 def _scan(k: int):
-    """kind 0: (key, set id, size) of each row; kind 1: (hash, count) of shingles frequent within a task."""
+    """kind 0: (key, set id, size) of each row; kind 1: (hash, count) of shingles that several
+    distinct sets of a task have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
+        kept, seen, size = [], set(), 0
 
         def frequent():
             tokens, n = np.unique(np.concatenate(kept), return_counts=True)
@@ -81,13 +82,15 @@ def _scan(k: int):
                 s = shingle_set(text, k)
                 ns.append(len(s))
                 sids.append(set_id(s) if len(s) else None)
-                kept.append(s)
-                size += len(s)
+                if len(s) and sids[-1] not in seen:
+                    seen.add(sids[-1])
+                    kept.append(s)
+                    size += len(s)
             yield _batch({"kind": pa.array(np.zeros(len(ns), np.int32)), "key": batch.column(0),
                           "sid": pa.array(sids, pa.int64()), "n": pa.array(ns, pa.int64())})
             if size > _LOCAL:
                 yield frequent()
-                kept, size = [], 0
+                kept, seen, size = [], set(), 0
         if kept:
             yield frequent()
 
@@ -158,8 +161,8 @@ class JaccardJoin:
         groups = sets.join(self.members.where("gid = sid").select("sid"), "sid", "left_semi")
         entry = groups.select(F.explode("prefix").alias("tok"), F.col("sid").alias("gid"), "n")
         often = entry.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-        #: (tok, gid, n): prefix shingles that several groups share
-        self.entries = materialize(entry.join(often, "tok"), "entries")
+        #: (tok, gid, n): prefix shingles that several groups share and that can lead to a link
+        self.entries = self.prune(self.prune(materialize(entry.join(often, "tok"), "entries")))
         reps = self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"))
         #: (sid, key): a document of each set
         self.reps = materialize(reps, "reps")
@@ -189,6 +192,19 @@ class JaccardJoin:
         rest = [F.floor((self.num * x + self.den - 1) / self.den) - 1 for x in (a, b)]
         return overlap - F.greatest(*rest)
 
+    def prune(self, entries: DataFrame) -> DataFrame:
+        """Entries without those that no link can need: a group with fewer shared prefix
+        shingles left than a partner of any size in the shingle's list demands."""
+        own = entries.groupBy("gid").agg(F.count("*").alias("left"))
+        span = entries.groupBy("tok").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
+        n = F.col("n")
+        lo = F.greatest("lo", F.ceil(n * self.num / self.den))
+        hi = F.least("hi", F.floor(n * self.den / self.num))
+        least = F.least(self.needed(n, lo), self.needed(n, hi))  # it is largest between equal sizes
+        kept = (entries.join(span.where("c > 1").drop("c"), "tok").join(own, "gid")
+                .where(F.col("left") >= least).select(*entries.columns))
+        return materialize(kept, "entries")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The links among candidate pairs of sets (a, b)."""
         pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
@@ -222,8 +238,11 @@ class JaccardJoin:
         inside = (lab.join(lead, "gid").where("comp <> l.comp")
                   .select(F.col("sid").alias("a"), F.col("l.sid").alias("b")))
         band = F.floor(F.log(F.col("n").cast("double")) / np.log(self.den / self.num)).cast("int")
-        e = (self.entries.join(lab.where("gid = sid").select("gid", "comp"), "gid").withColumn("band", band))
-        leaders = e.groupBy("tok", "band").agg(F.min(F.struct("comp", "gid", "n")).alias("l"))
+        # the leader shares most of its prefix: the text that the others are copies of, if there is one
+        weight = self.entries.groupBy("gid").agg(F.count("*").alias("w"))
+        e = (self.entries.join(lab.where("gid = sid").select("gid", "comp").join(weight, "gid"), "gid")
+             .withColumn("band", band))
+        leaders = e.groupBy("tok", "band").agg(F.min(F.struct(-F.col("w"), "gid", "comp", "n")).alias("l"))
         near = leaders.select("tok", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "l")
         meets = (e.join(near, ["tok", "band"]).where((F.col("comp") != F.col("l.comp")) & self.fits(F.col("n"), F.col("l.n")))
                  .groupBy("gid", "n", F.col("l.gid").alias("b"), F.col("l.n").alias("nb")).agg(F.count("*").alias("c"))
@@ -231,12 +250,17 @@ class JaccardJoin:
         best = meets.groupBy("gid").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         return inside.union(best.select(F.col("gid").alias("a"), "b"))
 
+    @staticmethod
+    def mixed(rows: DataFrame, key: str, label: str) -> DataFrame:
+        """Rows of the keys that have several labels."""
+        span = rows.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select(key)
+        return materialize(rows.join(span, key, "left_semi"), "mixed")
+
     @staticmethod
     def across(rows: DataFrame, key: str, label: str, item: str) -> DataFrame:
         """(key, a, b, na, nb) for items of one key with different labels.  Labels are paired
         first, so items that share a label are never paired."""
-        span = rows.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select(key)
-        rows = materialize(rows.join(span, key, "left_semi"), "mixed")
+        rows = JaccardJoin.mixed(rows, key, label)
         labels = rows.select(key, label).distinct()
         a = labels.select(key, F.col(label).alias("la"))
         b = labels.select(key, F.col(label).alias("lb"))
@@ -252,7 +276,7 @@ class JaccardJoin:
         # a group of several components has a label of its own, so all its pairs are looked at
         label = one.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("gid")).alias("label"))
         inside = self.across(lab, "gid", "comp", "sid").select("a", "b")
-        e = self.entries.join(label, "gid")
+        e = self.prune(self.prune(self.mixed(self.entries.join(label, "gid"), "tok", "label")))
         pairs = (self.across(e, "tok", "label", "gid").where(self.fits(F.col("na"), F.col("nb")))
                  .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
                  .where(F.col("c") >= self.needed(F.col("na"), F.col("nb"))))
@@ -262,7 +286,7 @@ class JaccardJoin:
                    .select(F.col("sa").alias("a"), F.col("sb").alias("b")))
         return inside.union(outside)
 
-    def run(self, rounds: int = 3) -> JaccardJoin:
+    def run(self, rounds: int = 2) -> JaccardJoin:
         for _ in range(rounds):
             if not self.add(self.linear_round()):
                 break
