@@ -12,6 +12,7 @@ from . import (
     jaccard_join,
     langid,
     packing,
+    substring,
     token_counts,
     toxicity,
     url_filter,
@@ -59,6 +60,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more, with few changes, that repeat words of an earlier document."""
+    return substring.passages(load(spark, sf_dir, "documents"), min_words=50, identity=0.8)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of every text and of its edited text."""
     return fingerprint.edited_fingerprints(load(spark, sf_dir, "documents"))
@@ -75,7 +81,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_toxicity, op3_token_counts, op4_language_id, op5_jaccard_join, op6_packing,
+    op1_decontamination, op2_toxicity, op3_token_counts, op4_language_id, op5_jaccard_join, op6_packing, op7_substring_dedup,
     op8_fingerprints, op9_archives, op10_url_filter)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
