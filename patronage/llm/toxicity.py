@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 WORD_BITS, STEM_BITS, PREFIX = 20, 18, 5
 _WORD = re.compile(r"\w+")
 _FLUSH = 400_000
+#: A segment is significant if its E-value is below exp(-3), about 0.05.
+SIGNIFICANT = 3.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -119,19 +121,11 @@ class Scorer:
             memo[w] = self.model.word_score(w)
         return np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
 
-    def evidence(self, text: str | None) -> tuple[list[float], list[tuple[int, int, float, float]]]:
-        """(features, significant segments as start, end, score, E-value)."""
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
+        """(number of words, maximal segments as start, end, score, lambda times score)."""
         words = words_of(text)
-        if not words:
-            return [0.0, 0.0, 0.0], []
-        m, scores = self.model, self.word_scores(words)
-        log_n = math.log(len(words))
-        bits = [(a, b, s, m.lam * s - log_n - m.log_k) for a, b, s in segments_of(scores)]
-        best = max((x[3] for x in bits), default=-5.0)
-        significant = [(a, b, s, math.exp(min(50.0, -x))) for a, b, s, x in bits if x > 3.0]
-        total = sum(x for *_, x in bits if x > 3.0)
-        raw = max((m.lam * s for _, _, s, _ in bits), default=0.0)
-        return [max(-10.0, min(30.0, best)), math.log1p(total), min(30.0, raw)], significant
+        found = segments_of(self.word_scores(words)) if words else []
+        return len(words), [(a, b, s, self.model.lam * s) for a, b, s in found]
 
     def probability(self, features: list[float]) -> float:
         w = self.model.weights
@@ -139,6 +133,15 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def features_of(n_words: int, raw, log_k: float) -> list[float]:
+    """Evidence of a text: the best segment's -log E-value, the sum over significant ones, the best raw score."""
+    if not len(raw):
+        return [-10.0 if n_words else 0.0, 0.0, 0.0]
+    bits = np.asarray(raw) - math.log(n_words) - log_k
+    return [float(np.clip(bits.max(), -10, 30)), math.log1p(float(bits[bits > SIGNIFICANT].sum())),
+            min(30.0, float(np.max(raw)))]
+
+
 def _lambda(scores: np.ndarray, weights: np.ndarray) -> float:
     """Positive root of sum p exp(lambda s) = 1."""
     p = weights / weights.sum()
@@ -196,13 +199,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int) -> DataFrame:
-    """(id, toxic, part): a bounded sample of labelled rows; part 0 is counted, 1 calibrates.
+    """(id, toxic, part): a bounded sample of labelled rows; part 0 is counted, 1 (a quarter) calibrates.
     An id with several labels is toxic if any of them is."""
     own = (labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
            .where("id is not null and toxic is not null").withColumn("doc_id", F.col("id")).where(train_ids)
            .groupBy("id").agg(F.max("toxic").alias("toxic")))
     return (own.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_labels)
-            .select("id", "toxic", F.pmod(F.shiftright("h", 7), F.lit(2)).cast("int").alias("part")))
+            .select("id", "toxic", (F.pmod(F.shiftright("h", 7), F.lit(4)) == 0).cast("int").alias("part")))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_000, drift: float = 0.7) -> ToxicModel | None:
@@ -246,30 +249,28 @@ def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_00
     model.lam = _lambda(s[seen], clean[seen])
     evidence = _evidence_udf(spark, model)
     held = (marked.where("part = 1").select("id", "toxic", evidence("text").alias("e"))
-            .select("id", "toxic", "e.n_words", "e.best", "e.total", "e.raw").toPandas())
-    held = held[held["n_words"] > 0].sort_values(list(held.columns), kind="stable")
+            .select("id", "toxic", "e.n_words", "e.raw").where("n_words > 0").toPandas())
+    held["best"] = [max(r, default=0.0) for r in held["raw"]]
+    held = held.sort_values(["id", "n_words", "best"], kind="stable")
     calm = held[held["toxic"] == 0]
-    if calm.empty or (held["toxic"] == 1).sum() == 0:
+    if calm.empty or len(calm) == len(held):
         return None
     # mean of a Gumbel variable: log K + Euler's constant, over lambda
-    model.log_k = float(np.mean(calm["raw"] - np.log(calm["n_words"])) - np.euler_gamma)
-    evidence = _evidence_udf(spark, model)
-    held = (marked.where("part = 1").select("id", "toxic", evidence("text").alias("e"))
-            .select("id", "toxic", "e.n_words", "e.best", "e.total", "e.raw").toPandas())
-    held = held.sort_values(list(held.columns), kind="stable")
-    model.weights = _logistic(held[["best", "total", "raw"]].to_numpy(), held["toxic"].to_numpy())
+    model.log_k = float(np.mean(calm["best"] - np.log(calm["n_words"])) - np.euler_gamma)
+    x = [features_of(n, r, model.log_k) for n, r in zip(held["n_words"], held["raw"], strict=True)]
+    model.weights = _logistic(np.array(x), held["toxic"].to_numpy())
     return model
 
 
 def _evidence_udf(spark, model: ToxicModel):
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("n_words long, best double, total double, raw double")
+    @F.pandas_udf("n_words long, raw array<double>")
     def evidence(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for part in parts:
-            rows = [(len(words_of(t)), *scorer.evidence(t)[0]) for t in part]
-            yield pd.DataFrame(rows, columns=["n_words", "best", "total", "raw"])
+            found = [scorer.segments(t) for t in part]
+            yield pd.DataFrame({"n_words": [n for n, _ in found], "raw": [[x[3] for x in segs] for _, segs in found]})
 
     return evidence
 
@@ -284,9 +285,12 @@ def score_udf(spark, model: ToxicModel | None):
         for part in parts:
             out, spans = [], []
             for text in part:
-                features, found = scorer.evidence(text) if scorer else (None, [])
-                out.append(scorer.probability(features) if scorer else 0.0)
-                spans.append([{"first_word": a, "end_word": b, "score": s, "e_value": e} for a, b, s, e in found])
+                n, found = scorer.segments(text) if scorer else (0, [])
+                log_k = scorer.model.log_k if scorer else 0.0
+                out.append(scorer.probability(features_of(n, [x[3] for x in found], log_k)) if scorer else 0.0)
+                floor = math.log(n) + log_k if n else 0.0
+                spans.append([{"first_word": a, "end_word": b, "score": s, "e_value": math.exp(floor - raw)}
+                              for a, b, s, raw in found if raw - floor > SIGNIFICANT])
             yield pd.DataFrame({"score": out, "segments": spans})
 
     return score
