@@ -180,7 +180,7 @@ def _folder(spark, name: str) -> str:
 def _write_lines(df: DataFrame, path: str, line_end: str) -> None:
     """The binary column ``value``, as it is, with ``line_end`` after each row."""
     (df.select(F.col("value").cast("string")).write.option("lineSep", line_end)
-     .option("compression", "gzip").text(path))
+     .option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
