@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patronage.session import materialize
 
-__all__ = ["components", "crc_mod", "keep_ids", "load", "materialize", "word_hashes", "mix64",
+__all__ = ["collect_bounded", "components", "crc_mod", "keep_ids", "load", "materialize", "word_hashes", "mix64",
            "ALNUM_SEPARATORS", "SPACE_SEPARATORS"]
 
 #: Most rows of an id table that are broadcast (8 bytes each); beyond it the
@@ -22,6 +22,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def collect_bounded(df: DataFrame):
+    """A table of bounded size as pandas, sent as Arrow whatever the session's settings."""
+    return df.toArrow().to_pandas()
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of an id written as text, modulo n (NULL for a NULL id)."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -33,7 +33,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_SEPARATORS, components, distinct, keep_ids, materialize, mix64, shingle_hashes, word_hashes
+from .common import (
+    SPACE_SEPARATORS,
+    collect_bounded,
+    components,
+    distinct,
+    keep_ids,
+    materialize,
+    shingle_hashes,
+    word_hashes,
+)
 
 HEAVY = 1 << 18
 _LOCAL, _LOCAL_COUNT = 4_000_000, 2
@@ -147,8 +156,8 @@ class JaccardJoin:
         self.docs = docs.select(key, F.col(text_col).alias("text"))
         scan = materialize(self.docs.mapInArrow(_scan(k), "kind int, key long, sid long, n long"), "scan")
         self.rows = scan.where("kind = 0").select("key", "sid", "n")
-        top = (scan.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n"))
-               .orderBy(F.desc("n"), "sid").limit(heavy).toPandas())
+        top = collect_bounded(scan.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n"))
+                              .orderBy(F.desc("n"), "sid").limit(heavy))
         tokens = top["sid"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(tokens)
         shared = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(dtype=np.int64)[order]))

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import collect_bounded, mix64
 
 BITS, N_MAX, BLOCK = 14, 3, 1 << 18
 _letters: np.ndarray | None = None
@@ -124,8 +124,9 @@ def train(docs: DataFrame, train_rows, per_lang: int = 600, max_train: int = 600
             out.append(np.packbits(row).tobytes() if mark_ngrams(text, row) else None)
         return pd.Series(out, dtype=object)
 
-    rows = (labelled.join(F.broadcast(sample), "id").select("id", "lang", packed("text").alias("bits"))
-            .where("bits is not null").orderBy("id", "lang", "bits").limit(2 * max_train).toPandas())
+    rows = collect_bounded(
+        labelled.join(F.broadcast(sample), "id").select("id", "lang", packed("text").alias("bits"))
+        .where("bits is not null").orderBy("id", "lang", "bits").limit(2 * max_train))
     if rows.empty:
         return None
     order = np.argsort(pd.util.hash_array(rows["id"].to_numpy()), kind="stable")

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import collect_bounded, materialize
+
 WORD_BITS, STEM_BITS, PREFIX = 20, 18, 5
 _WORD = re.compile(r"\w+")
 _FLUSH = 400_000
@@ -215,41 +217,46 @@ def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_00
     are not learnt from."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text"))
-    sample = spark.createDataFrame(_sample(docs, labels, train_ids, max_labels).toPandas(),
-                                   "id long, toxic int, part int")
+    sample = materialize(_sample(docs, labels, train_ids, max_labels), "labelled")
     marked = d.join(F.broadcast(sample), "id", "left")
     cls = F.when(F.col("part") == 0, F.col("toxic")).otherwise(-1)
-    counts = (marked.select("text", cls.alias("class"))
-              .mapInArrow(_count_words, "kind int, bucket int, class int, n long")
-              .groupBy("kind", "bucket", "class").agg(F.sum("n").alias("n")).toPandas())
-
-    def vector(kind: int, c: int) -> np.ndarray:
-        out = np.zeros(1 << (STEM_BITS if kind else WORD_BITS))
-        part = counts[(counts["kind"] == kind) & (counts["class"] == c)]
-        out[part["bucket"]] = part["n"]
+
+    def of(c: int):
+        return F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0))
+
+    counts = materialize(
+        marked.select("text", cls.alias("class")).mapInArrow(_count_words, "kind int, bucket int, class int, n long")
+        .groupBy("kind", "bucket").agg(of(1).alias("toxic"), of(0).alias("clean"), F.sum("n").alias("every")), "counts")
+    n_every = counts.where("kind = 0").agg(F.sum("every")).first()[0]
+    # a bucket without labelled words scores as its stem does, so only the others are needed here
+    rows = collect_bounded(counts.where("toxic + clean > 0").select(
+        "kind", "bucket", *[F.col(c).cast("float") for c in ("toxic", "clean", "every")]))
+
+    def vector(kind: int, name: str) -> np.ndarray:
+        out = np.zeros(1 << (STEM_BITS if kind else WORD_BITS), dtype=np.float32)
+        part = rows[rows["kind"] == kind]
+        out[part["bucket"].to_numpy()] = part[name].to_numpy()
         return out
 
-    toxic, clean = vector(0, 1), vector(0, 0)
-    n_t, n_c = toxic.sum(), clean.sum()
+    toxic, clean, every = (vector(0, c) for c in ("toxic", "clean", "every"))
+    n_t, n_c = float(toxic.sum(dtype=np.float64)), float(clean.sum(dtype=np.float64))
     if not n_t or not n_c:
         return None
-    background = vector(0, -1) + toxic + clean
     base = n_t / (n_t + n_c)
-    stem_t, stem_all = vector(1, 1), vector(1, 0)
-    stem_all = stem_all + stem_t
-    stem_mass = 1.0 + 0.02 * stem_all.mean()
-    stem_rate = (stem_t + 2 * stem_mass * base) / (stem_all + 2 * stem_mass)
-    prior = 1.0 + 0.02 * background * ((n_t + n_c) / background.sum())
-    model = ToxicModel(toxic.astype(np.float32), (toxic + clean).astype(np.float32), prior.astype(np.float32),
-                       stem_rate.astype(np.float32), float(base), drift)
+    stem_t = vector(1, "toxic")
+    stem_all = stem_t + vector(1, "clean")
+    stem_mass = 2 + 0.04 * float(stem_all.mean())
+    stem_rate = (stem_t + stem_mass * base) / (stem_all + stem_mass)
+    prior = 1 + 0.02 * every * ((n_t + n_c) / n_every)
+    model = ToxicModel(toxic, toxic + clean, prior.astype(np.float32), stem_rate.astype(np.float32), base, drift)
     # background distribution of scores: words of counted texts that are not toxic
-    rate = (toxic + prior * base) / (toxic + clean + prior)
-    s = np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - drift
     seen = clean > 0
-    model.lam = _lambda(s[seen], clean[seen])
+    rate = ((toxic + prior * base) / (toxic + clean + prior))[seen].astype(np.float64)
+    s = np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - drift
+    model.lam = _lambda(s, clean[seen].astype(np.float64))
     evidence = _evidence_udf(spark, model)
-    held = (marked.where("part = 1").select("id", "toxic", evidence("text").alias("e"))
-            .select("id", "toxic", "e.n_words", "e.raw").where("n_words > 0").toPandas())
+    held = collect_bounded(marked.where("part = 1").select("id", "toxic", evidence("text").alias("e"))
+                           .select("id", "toxic", "e.n_words", "e.raw").where("n_words > 0"))
     held["best"] = [max(r, default=0.0) for r in held["raw"]]
     held = held.sort_values(["id", "n_words", "best"], kind="stable")
     calm = held[held["toxic"] == 0]
