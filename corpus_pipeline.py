@@ -28,7 +28,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component at Jaccard 0.8 on 5-word shingles, keep the document with the smallest id.
-    Repeated rows of an id give one; a row with a NULL id goes if it is a copy of a named one."""
+    Repeated rows of an id give one; rows with a NULL id cannot be named and stay."""
     found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100), "components")
     kept = _without(docs, found.where("doc_id <> component_id"), "copies")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
