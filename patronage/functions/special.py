@@ -66,4 +66,6 @@ def scaled_hyp2f1(a, b, c, z, log_scale, tol: float = 1e-16, max_terms: int = 1_
         done = (np.abs(term[active]) <= tol * np.abs(total[active])) & (np.abs(ratio) < 1.0)
         active = active[~done]
         k += 1
+    if active.size:
+        raise ArithmeticError(f"the series has not converged after {max_terms} terms for {active.size} values")
     return total

@@ -41,43 +41,68 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parse_invoice_dates(df: DataFrame, fmt: str | None = None,
-                        column: str = "InvoiceDate") -> DataFrame:
-    """A2: parse the date strings.  Unparseable values become NULL
-    (``try_to_timestamp``) instead of failing the whole job."""
-    if fmt:
-        parsed = F.try_to_timestamp(F.col(column), F.lit(fmt))
-    else:
-        parsed = F.try_to_timestamp(F.col(column))
+                        column: str = "InvoiceDate", on_error: str = "fail") -> DataFrame:
+    """A2: parse the date strings.  An unparseable value ends the job, as in the
+    published code; with ``on_error='null'`` it becomes NULL."""
+    parsed = F.try_to_timestamp(F.col(column), F.lit(fmt)) if fmt else F.try_to_timestamp(F.col(column))
+    if on_error != "null":
+        unread = F.raise_error(F.concat(F.lit(f"unreadable {column}: "), F.col(column))).cast("timestamp")
+        parsed = F.when(F.col(column).isNotNull() & parsed.isNull(), unread).otherwise(parsed)
     return df.withColumn(column, parsed.cast("timestamp"))
 
 
+def _number(column: str) -> Column:
+    """NaN counts as missing, like in the published code."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _cents(price: Column, on_error: str) -> Column:
+    """Whole cents of a price.  Money is summed in cents, so a price with a part of
+    a cent is refused rather than rounded away."""
+    cents = F.round(price * 100)
+    exact = cents.cast("long")
+    if on_error == "null":
+        return exact
+    off = F.abs(price * 100 - cents) > 1e-6
+    return F.when(off, F.raise_error(F.concat(F.lit("UnitPrice is not in whole cents: "), price.cast("string")))
+                  .cast("long")).otherwise(exact)
+
+
 def read_transactions(spark: SparkSession, path: str, fmt: str = "csv",
                       date_format: str | None = None,
-                      encoding: str = "ISO-8859-1") -> DataFrame:
+                      encoding: str = "ISO-8859-1", on_error: str = "fail") -> DataFrame:
     """A1: read a transaction log (CSV with header, Latin-1) with a fixed schema.
 
     Parquet input is accepted too (``fmt='parquet'``); it must carry the eight
     documented columns.  The result has the canonical log columns.
+
+    Malformed lines, unreadable dates and prices with parts of a cent end the
+    job, so no line or money is lost unseen.  ``on_error='null'`` reads them
+    as NULL (prices: rounded).  NaN is read as NULL.
     """
     pin_utc(spark)
+    if on_error not in ("fail", "null"):
+        raise ValueError("on_error is 'fail' or 'null'")
     if fmt == "csv":
         raw = (spark.read.schema(TRANSACTION_SCHEMA).option("header", True)
-               .option("encoding", encoding).option("mode", "PERMISSIVE").csv(path))
-        raw = parse_invoice_dates(raw, date_format)
+               .option("encoding", encoding)
+               .option("mode", "PERMISSIVE" if on_error == "null" else "FAILFAST").csv(path))
+        raw = parse_invoice_dates(raw, date_format, on_error=on_error)
     else:
         raw = spark.read.format(fmt).load(path)
         if dict(raw.dtypes).get("InvoiceDate") == "string":
-            raw = parse_invoice_dates(raw, date_format)
+            raw = parse_invoice_dates(raw, date_format, on_error=on_error)
     return raw.select(
         F.col("InvoiceNo").cast("string").alias("InvoiceNo"),
         F.col("StockCode").cast("string").alias("StockCode"),
         F.col("Description").cast("string").alias("Description"),
         F.col("Quantity").cast("long").alias("Quantity"),
         F.col("InvoiceDate").cast("timestamp").alias("InvoiceDate"),
-        F.col("UnitPrice").cast("double").alias("UnitPrice"),
-        F.col("CustomerID").cast("long").alias("CustomerID"),
+        _number("UnitPrice").alias("UnitPrice"),
+        _number("CustomerID").cast("long").alias("CustomerID"),
         F.col("Country").cast("string").alias("Country"),
-        F.round(F.col("UnitPrice") * 100).cast("long").alias("unit_cents"),
+        _cents(_number("UnitPrice"), on_error).alias("unit_cents"),
         F.monotonically_increasing_id().alias("line"),
     )
 

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -18,13 +19,48 @@ def test_read_transactions_csv(spark):
         fh.write("C536379,D,Discount,-1,12/1/2010 9:41,27.5,14527.0,United Kingdom\n")
         fh.write("536414,22139,,56,not a date,0,,United Kingdom\n")
     from patronage.sources import read_transactions
-    df = read_transactions(spark, path, date_format="M/d/yyyy H:mm")
+    df = read_transactions(spark, path, date_format="M/d/yyyy H:mm", on_error="null")
     rows = df.orderBy("line").collect()
     assert rows[0]["Description"] == "CAFÉ MUG" and rows[0]["unit_cents"] == 255
     assert rows[0]["CustomerID"] == 17850 and rows[0]["InvoiceDate"].hour == 8
     assert rows[2]["InvoiceDate"] is None and rows[2]["CustomerID"] is None
 
 
+@pytest.mark.parametrize("line, says", [
+    ("1,A,x,1,not a date,2.55,1.0,UK", "unreadable InvoiceDate"),
+    ("1,A,x,abc,12/1/2010 8:26,2.55,1.0,UK", "MALFORMED|Malformed"),
+    ("1,A,x,1000,12/1/2010 8:26,0.001,1.0,UK", "whole cents")])
+def test_read_transactions_refuses_what_it_cannot_hold(spark, line, says):
+    from patronage.sources import read_transactions
+    path = os.path.join(tempfile.mkdtemp(prefix="patronage-csv-"), "log.csv")
+    with open(path, "w", encoding="latin-1") as fh:
+        fh.write("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n" + line + "\n")
+    with pytest.raises(Exception, match=says):
+        read_transactions(spark, path, date_format="M/d/yyyy H:mm").collect()
+
+
+def test_read_transactions_takes_nan_as_missing(spark):
+    from patronage.sources import read_transactions
+    path = os.path.join(tempfile.mkdtemp(prefix="patronage-csv-"), "log.csv")
+    with open(path, "w", encoding="latin-1") as fh:
+        fh.write("InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+                 "1,A,x,1,12/1/2010 8:26,NaN,NaN,UK\n")
+    row = read_transactions(spark, path, date_format="M/d/yyyy H:mm").first()
+    assert row["CustomerID"] is None and row["UnitPrice"] is None and row["unit_cents"] is None
+
+
+def test_country_share_is_not_empty(spark):
+    import __spark_entry__ as E
+    row = E.queries()["E7_country_share"](spark, SF).first()
+    assert row["customers"] > 0 and row["revenue"] > 0 and row["revenue_pct"] > 0
+
+
+def test_hypergeometric_series_that_does_not_converge_raises():
+    from patronage.functions.special import scaled_hyp2f1
+    with pytest.raises(ArithmeticError):
+        scaled_hyp2f1(1.0, 1.0, 2.0, 0.999999, 0.0, max_terms=5)
+
+
 def test_metric_history_append_and_trends(spark):
     from patronage.operators.outputs import metric_trends
     from patronage.sources.sinks import append_metrics, metrics_row, read_metrics
