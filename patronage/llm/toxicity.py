@@ -256,7 +256,8 @@ def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_00
     model.lam = _lambda(s, clean[seen].astype(np.float64))
     evidence = _evidence_udf(spark, model)
     held = collect_bounded(marked.where("part = 1").select("id", "toxic", evidence("text").alias("e"))
-                           .select("id", "toxic", "e.n_words", "e.raw").where("n_words > 0"))
+                           .select("id", "toxic", "e.n_words", "e.raw"))
+    held = held[held["n_words"] > 0].copy()  # in a plan, this filter would run the UDF below the join, on every text
     held["best"] = [max(r, default=0.0) for r in held["raw"]]
     held = held.sort_values(["id", "n_words", "best"], kind="stable")
     calm = held[held["toxic"] == 0]
