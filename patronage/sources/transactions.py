@@ -128,11 +128,11 @@ def transactions_from_star(lineitem: DataFrame, orders: DataFrame,
     * CustomerID = NULL when ``o_orderkey % 50 = 0`` else o_custkey
     * Country = n_name of the customer's nation
 
-    Join plan: lineitem and orders are both fact-sized and join on the order
-    key (sort-merge, AQE splits skewed keys).  nation is a fixed 25-row
-    dimension and is broadcast; customer joins on the customer key and AQE
-    turns it into a broadcast only when its runtime size is under the
-    broadcast threshold.
+    Join plan: orders takes its customer's country first, so the customer key
+    is joined at order grain and the lines meet one join only, on the order key
+    (sort-merge, AQE splits skewed keys).  nation is a fixed 25-row dimension
+    and is broadcast; AQE turns customer into a broadcast only when its runtime
+    size is under the broadcast threshold.
     """
     pin_utc(lineitem.sparkSession)
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -142,8 +142,8 @@ def transactions_from_star(lineitem: DataFrame, orders: DataFrame,
             .join(F.broadcast(nation.select("n_nationkey", "n_name")),
                   F.col("c_nationkey") == F.col("n_nationkey"), "inner")
             .select("c_custkey", "n_name"))
-    lines = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-    lines = lines.join(cust, F.col("o_custkey") == F.col("c_custkey"), "inner")
+    placed = od.join(cust, F.col("o_custkey") == F.col("c_custkey"), "inner")
+    lines = li.join(placed, F.col("l_orderkey") == F.col("o_orderkey"), "inner")
     returned = F.col("l_returnflag") == "R"
     qty = F.col("l_quantity").cast("long")
     unit_cents = F.when(F.col("l_partkey") % 97 == 0, F.lit(0).cast("long")).otherwise(
