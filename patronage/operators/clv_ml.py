@@ -31,6 +31,11 @@ def split_bucket(key: str = "CustomerID") -> F.Column:
         .cast("long") % 100
 
 
+def train_part(train_pct: int = 80, key: str = "CustomerID") -> F.Column:
+    """Whether a customer is in the train split."""
+    return split_bucket(key) < train_pct
+
+
 def ml_dataset(features: DataFrame, train_pct: int = 80) -> DataFrame:
     """J8 + J9: the 23 features, the 90-day target (0 when absent) and a
     deterministic 80/20 split (``is_train``).  The split hashes the customer
@@ -38,7 +43,7 @@ def ml_dataset(features: DataFrame, train_pct: int = 80) -> DataFrame:
     cols = [F.col(c).cast("double").alias(c) for c in ML_FEATURES]
     return features.select(
         "CustomerID", *cols, F.coalesce(F.col(TARGET), F.lit(0.0)).alias(TARGET),
-        (split_bucket() < train_pct).alias("is_train"))
+        train_part(train_pct).alias("is_train"))
 
 
 def assemble(dataset: DataFrame, features: Sequence[str] = ML_FEATURES) -> DataFrame:
@@ -114,6 +119,16 @@ def feature_importance(model, features: Sequence[str] = ML_FEATURES, top: int =
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top)
 
 
+def best_model_importance(spark, metrics: DataFrame, models: dict, top: int = 15) -> DataFrame:
+    """(feature, importance, model) of the best model by R^2; no row when that
+    model has no importances, as in the published code."""
+    best = metrics.orderBy(F.col("r2").desc()).first()["model"]
+    found = feature_importance(models[best], top=top)
+    if found is None:
+        return spark.createDataFrame([], "feature string, importance double, model string")
+    return found.withColumn("model", F.lit(best))
+
+
 def predict_clv(dataset: DataFrame, model=None, prediction_col: str | None = None,
                 days: int = 365, duplicates: str = "raise") -> DataFrame:
     """90-day prediction x days / 90 and the 33 %/66 % tier.

@@ -271,7 +271,7 @@ def value_groups(customers: DataFrame, high_q: float = 0.75, low_q: float = 0.25
 
 
 def target_summary(features: DataFrame) -> DataFrame:
-    """Mean, max and % zero of Actual_Future_Spend."""
+    """Mean, max and % zero of Actual_Future_Spend (pass the train split)."""
     return features.agg(
         (F.sum("target_cents").cast("double") / 100.0 / F.count(F.lit(1)).cast("double"))
         .alias("target_mean"),

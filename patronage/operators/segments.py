@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patronage.functions.columns import np_round
 from patronage.functions.lookups import segment_of_score, tier_of
 from patronage.operators.binning import qcut, qcut_of_rank
+from patronage.session import materialize
 
 
 def rfm_scores(customers: DataFrame) -> DataFrame:
@@ -54,25 +55,29 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def crosstab_long(df: DataFrame, row: str, col: str) -> DataFrame:
-    """E14 in long form: (row, col, count) for every observed pair.
-    ``crosstab_wide`` pivots it (absent cells 0)."""
-    return (df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-            .groupBy(row, col).agg(F.count(F.lit(1)).cast("long").alias("count")))
+    """E14 in long form: (row, col, count) for every observed row label and every
+    observed column label, 0 where no row has both.
+
+    The rows are counted once; the labels (segment, cluster and tier names) and
+    the cells come from the written counts, one row per observed pair."""
+    counts = materialize(df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+                         .groupBy(row, col).agg(F.count(F.lit(1)).alias("_c")), "crosstab")
+    labels = counts.agg(F.collect_set(col)).scalar()
+    cells = counts.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(col, "_c"))).alias("_m"))
+    return (cells.withColumn("_l", labels).select(row, F.explode("_l").alias(col), "_m")
+            .select(row, col, F.coalesce(F.try_element_at("_m", F.col(col)), F.lit(0)).cast("long").alias("count")))
 
 
 def crosstab_wide(df: DataFrame, row: str, col: str, values: list | None = None) -> DataFrame:
     """``pd.crosstab`` layout; pass ``values`` to skip the distinct job."""
-    return (df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-            .groupBy(row).pivot(col, values).count().na.fill(0))
+    return crosstab_long(df, row, col).groupBy(row).pivot(col, values).agg(F.sum("count")).na.fill(0)
 
 
 def crosstab_pct(df: DataFrame, row: str, col: str) -> DataFrame:
-    """Share of all rows (x100) per pair, only rows with both keys."""
-    both = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
-    total = both.agg(F.count(F.lit(1))).scalar()
-    return (both.groupBy(row, col).agg(F.count(F.lit(1)).alias("_c"))
-            .select(row, col, (F.col("_c").cast("double") * 100.0 / total.cast("double"))
-                    .alias("pct")))
+    """Share of all rows (x100) per cell of ``crosstab_long``, only rows with both keys."""
+    cells = materialize(crosstab_long(df, row, col), "crosstab-cells")
+    total = cells.agg(F.sum("count")).scalar()
+    return cells.select(row, col, (F.col("count").cast("double") * 100.0 / total.cast("double")).alias("pct"))
 
 
 def add_value_tiers(comparison: DataFrame, segment: str = "Segment",

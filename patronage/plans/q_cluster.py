@@ -61,8 +61,10 @@ def d1(spark, sf):
 
 
 @register("E14_crosstab", O.compose("""
-SELECT Cluster_Name, Segment, count(*) AS count FROM cmpseg
-WHERE Cluster_Name IS NOT NULL AND Segment IS NOT NULL GROUP BY 1, 2""", ["cmpseg"]))
+WITH b AS (SELECT Cluster_Name, Segment FROM cmpseg WHERE Cluster_Name IS NOT NULL AND Segment IS NOT NULL),
+  r AS (SELECT DISTINCT Cluster_Name FROM b), c AS (SELECT DISTINCT Segment FROM b)
+SELECT r.Cluster_Name, c.Segment, count(b.Segment) AS count FROM r CROSS JOIN c
+LEFT JOIN b ON b.Cluster_Name = r.Cluster_Name AND b.Segment = c.Segment GROUP BY 1, 2""", ["cmpseg"]))
 def e14(spark, sf):
     return S.crosstab_long(clusters_with_segments(spark, sf), "Cluster_Name", "Segment")
 
@@ -86,9 +88,12 @@ def g7(spark, sf):
 
 
 @register("E15_tier_crosstab_pct", O.compose(f"""
-WITH t AS ({_TIERS}), b AS (SELECT * FROM t WHERE RFM_Tier IS NOT NULL AND Kmeans_Tier IS NOT NULL)
-SELECT RFM_Tier, Kmeans_Tier, CAST(count(*) AS DOUBLE) * 100.0 / CAST((SELECT count(*) FROM b) AS DOUBLE) AS pct
-FROM b GROUP BY 1, 2""", ["cmpseg"]))
+WITH t AS ({_TIERS}), b AS (SELECT * FROM t WHERE RFM_Tier IS NOT NULL AND Kmeans_Tier IS NOT NULL),
+  r AS (SELECT DISTINCT RFM_Tier FROM b), c AS (SELECT DISTINCT Kmeans_Tier FROM b)
+SELECT r.RFM_Tier, c.Kmeans_Tier,
+  CAST(count(b.RFM_Tier) AS DOUBLE) * 100.0 / CAST((SELECT count(*) FROM b) AS DOUBLE) AS pct
+FROM r CROSS JOIN c LEFT JOIN b ON b.RFM_Tier = r.RFM_Tier AND b.Kmeans_Tier = c.Kmeans_Tier
+GROUP BY 1, 2""", ["cmpseg"]))
 def e15(spark, sf):
     return S.crosstab_pct(S.add_value_tiers(clusters_with_segments(spark, sf)), "RFM_Tier",
                           "Kmeans_Tier")

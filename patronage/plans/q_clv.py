@@ -45,10 +45,11 @@ def e23(spark, sf):
 SELECT sum(target_cents) / 100.0 / CAST(count(*) AS DOUBLE) AS target_mean,
   max(target_cents) / 100.0 AS target_max,
   CAST(count(*) FILTER (WHERE target_cents = 0) AS DOUBLE) * 100.0 / CAST(count(*) AS DOUBLE) AS target_zero_pct
-FROM feat""", ["feat"]))
+FROM feat JOIN mlds USING (CustomerID) WHERE is_train""", ["feat", "mlds"]))
 def e24(spark, sf):
+    from patronage.operators.clv_ml import train_part
     from patronage.operators.customers import target_summary
-    return target_summary(features(spark, sf))
+    return target_summary(features(spark, sf, hub=False).where(train_part()))
 
 
 H1_OUT = ["CustomerID", "DailySpend", "CLV_DailyAvg", "CLV_FrequencyBased", "Recent90DaySpend",

@@ -78,11 +78,7 @@ def j15(spark, sf):
 
 @register("J16_feature_importance")
 def j16(spark, sf):
-    metrics, models = _trained(spark, sf)
-    tree_rank = metrics.filter(F.col("model").isin("Random Forest", "Gradient Boosting",
-                                                   "GBT deep", "GBT wide"))
-    best = tree_rank.orderBy(F.col("r2").desc()).first()["model"]
-    return M.feature_importance(models[best]).withColumn("model", F.lit(best))
+    return M.best_model_importance(spark, *_trained(spark, sf))
 
 
 @register("G17_driver_labels")

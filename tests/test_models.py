@@ -41,6 +41,37 @@ def test_ensemble_weights_sum_to_one(spark):
         assert r["CLV_Tier_Final"] in ("Low", "Medium", "High")
 
 
+def test_importance_only_of_a_best_tree_model(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from patronage.operators.clv_ml import ML_FEATURES, best_model_importance
+
+    class Tree:
+        featureImportances = Vectors.dense([float(i) for i in range(len(ML_FEATURES))])
+
+    models = {"tree": Tree(), "line": object()}
+
+    def importance(tree_r2, line_r2):
+        metrics = spark.createDataFrame([("tree", tree_r2), ("line", line_r2)], "model string, r2 double")
+        return best_model_importance(spark, metrics, models).collect()
+
+    got = importance(0.9, 0.5)
+    assert len(got) == 15 and got[0]["feature"] == ML_FEATURES[-1] and got[0]["model"] == "tree"
+    assert importance(0.5, 0.9) == []
+
+
+def test_crosstab_has_every_cell(spark):
+    from patronage.operators.segments import crosstab_long, crosstab_pct, crosstab_wide
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), (None, "x"), ("c", None)]
+    df = spark.createDataFrame(rows, "r string, c string")
+    cells = {("a", "x"): 2, ("a", "y"): 1, ("b", "x"): 0, ("b", "y"): 1}
+    assert {(r["r"], r["c"]): r["count"] for r in crosstab_long(df, "r", "c").collect()} == cells
+    assert {(r["r"], r["c"]): r["pct"] for r in crosstab_pct(df, "r", "c").collect()} == {
+        k: v * 25.0 for k, v in cells.items()}
+    assert sorted(map(tuple, crosstab_wide(df, "r", "c").collect())) == [("a", 2, 1), ("b", 0, 1)]
+    assert crosstab_long(df.where("false"), "r", "c").collect() == []
+
+
 def test_ml_split_is_deterministic(spark):
     from patronage.operators.clv_ml import split_bucket
     df = spark.range(1, 2001).withColumnRenamed("id", "CustomerID")
