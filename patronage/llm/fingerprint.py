@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import _powers, mix64
 
 SIZE = 64
 _EMPTY = np.full(SIZE, 0xFFFFFFFF, dtype=np.uint32)
 _rng = np.random.default_rng(20240607)
-_A = _rng.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, SIZE, dtype=np.uint64)
+_A = _rng.integers(0, 1 << 31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, SIZE, dtype=np.uint32)
 
 
 def lz78(text: str, known: set[str] | None = None) -> tuple[list[str], list[int]]:
@@ -65,41 +65,52 @@ def lz78(text: str, known: set[str] | None = None) -> tuple[list[str], list[int]
     return phrases, ends
 
 
-def phrase_hashes(phrases: list[str]) -> np.ndarray:
-    """64-bit hashes of strings, by numpy over all their code points at once."""
-    if not phrases:
-        return np.zeros(0, dtype=np.uint64)
-    lens = np.fromiter(map(len, phrases), dtype=np.int64, count=len(phrases))
-    cp = np.frombuffer("".join(phrases).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    place = (np.arange(len(cp)) - np.repeat(starts, lens)).astype(np.uint64)
-    return mix64(np.add.reduceat(mix64(cp + (place << np.uint64(32))), starts) + lens.astype(np.uint64))
-
-
-def minima(phrases: list[str], block: int = 4096) -> np.ndarray | None:
-    """Minimum hashes of the phrases of two or more characters; None if there is none."""
-    longer = [p for p in phrases if len(p) > 1]
-    if not longer:
-        return None
-    h = phrase_hashes(longer)
-    out = np.full(SIZE, np.iinfo(np.uint64).max, dtype=np.uint64)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def phrase_hashes(cp: np.ndarray, ends: np.ndarray, size: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hashes, lengths) of the phrases of a parsed text, given its code points and their
+    ends, in blocks of about ``size`` code points."""
+    i = at = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, at + size, side="right")))
+        part = cp[at:ends[j - 1]].astype(np.uint64) + np.uint64(1)
+        power, inverse = _powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * power[:len(part)], out=total[1:])
+        end = ends[i:j] - at
+        start = np.concatenate([[0], end[:-1]])
+        lens = end - start
+        yield mix64((total[end] - total[start]) * inverse[start] + lens.astype(np.uint64)), lens
+        i, at = j, int(ends[j - 1])
+
+
+def _least(h: np.ndarray, out: np.ndarray, block: int = 4096) -> None:
+    """Lower ``out`` to the minimum hashes of the phrases."""
+    h = (h >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(h), block):
-        out = np.minimum(out, (h[at:at + block, None] * _A + _B).min(axis=0))
-    return out
+        np.minimum(out, (h[at:at + block, None] * _A + _B).min(axis=0), out=out)
 
 
-def _signature(parts: list[np.ndarray | None], phrases: list[str]) -> np.ndarray:
-    found = [x for x in parts if x is not None]
-    if found:
-        return (np.minimum.reduce(found) >> np.uint64(32)).astype(np.uint32)
-    if not phrases:
-        return _EMPTY
-    return ((phrase_hashes(phrases)[:, None] * _A + _B).min(axis=0) >> np.uint64(32)).astype(np.uint32)
+def minima(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum hashes of the phrases of two or more characters, and of the single characters."""
+    longer, single = _EMPTY.copy(), _EMPTY.copy()
+    for h, lens in phrase_hashes(cp, ends):
+        _least(h[lens > 1], longer)
+        _least(h[lens == 1], single)
+    return longer, single
+
+
+def _signature(longer: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Single characters count only if there is nothing else."""
+    return single if (longer == _EMPTY).all() else longer
 
 
 def signature(phrases: list[str]) -> np.ndarray:
-    """Fingerprint of a set of phrases (single characters count only if there is nothing else)."""
-    return _signature([minima(phrases)], phrases)
+    """Fingerprint of a set of phrases."""
+    ends = np.cumsum(np.fromiter(map(len, phrases), dtype=np.int64, count=len(phrases)))
+    return _signature(*minima(code_points("".join(phrases)), ends))
 
 
 def to_hex(sig: np.ndarray) -> str:
@@ -117,18 +128,24 @@ class Parsed:
 
     def __init__(self, text: str, keep: int):
         self.text, self.keep = text, keep
-        phrases, ends = lz78(text)
+        phrases, found = lz78(text)
+        ends = np.array(found, dtype=np.int64)
         upto = int(np.searchsorted(ends, keep, side="right"))
         if upto and upto == len(phrases) and phrases[-1] in phrases[:-1]:
             upto -= 1  # the last phrase ended with the text, not by being new
-        self.head, self.at = phrases[:upto], ends[upto - 1] if upto else 0
-        self.head_minima = minima(self.head)
-        self.sig = _signature([self.head_minima, minima(phrases[upto:])], phrases)
+        self.head, self.at = phrases[:upto], found[upto - 1] if upto else 0
+        cp = code_points(text)
+        self.head_minima = minima(cp[:self.at], ends[:upto])
+        self.sig = self._with(minima(cp[self.at:], ends[upto:] - self.at))
+
+    def _with(self, tail: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return _signature(*(np.minimum(a, b) for a, b in zip(self.head_minima, tail, strict=True)))
 
     def with_ending(self, ending: str) -> np.ndarray:
         """Fingerprint of ``text[:keep] + ending``, equal to one from scratch."""
-        more, _ = lz78(self.text[self.at:self.keep] + ending, set(self.head))
-        return _signature([self.head_minima, minima(more)], self.head + more)
+        tail = self.text[self.at:self.keep] + ending
+        _, ends = lz78(tail, set(self.head))
+        return self._with(minima(code_points(tail), np.array(ends, dtype=np.int64)))
 
 
 # -- over a table ---------------------------------------------------------
