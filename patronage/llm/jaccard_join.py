@@ -7,7 +7,8 @@ so only documents that share such a prefix shingle are compared.
 
 1. Documents with equal sets become one set; sets of one size with identical
    prefixes become one group.
-2. Group pairs are found through shared prefix shingles and filtered by size and
+2. Group pairs are found through shared prefix shingles and filtered by size, by
+   the shingles' places (the first shared one must leave room for the overlap) and
    by the number of prefix shingles they share (a link needs at least
    ``needed`` of them, which follows from the sizes).
 3. The groups' members are expanded and compared exactly.
@@ -167,10 +168,11 @@ class JaccardJoin:
         first = sets.groupBy("g", "n").agg(F.min("sid").alias("gid"))
         #: (gid, sid, n): every distinct set and its group, named by the group's smallest set
         self.members = materialize(sets.join(first, ["g", "n"]).select("gid", "sid", "n"), "members")
-        groups = sets.join(self.members.where("gid = sid").select("sid"), "sid", "left_semi")
-        entry = groups.select(F.explode("prefix").alias("tok"), F.col("sid").alias("gid"), "n")
+        #: (sid, n, prefix, g) of each group's smallest set
+        self.groups = sets.join(self.members.where("gid = sid").select("sid"), "sid", "left_semi")
+        entry = self.groups.select(F.posexplode("prefix").alias("pos", "tok"), F.col("sid").alias("gid"), "n")
         often = entry.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1").select("tok")
-        #: (tok, gid, n): prefix shingles that several groups share and that can lead to a link
+        #: (tok, pos, gid, n): prefix shingles that several groups share and that can lead to a link
         self.entries = self.prune(self.prune(materialize(entry.join(often, "tok"), "entries")))
         reps = self.rows.where("sid is not null").groupBy("sid").agg(F.min("key").alias("key"))
         #: (sid, key): a document of each set
@@ -193,13 +195,23 @@ class JaccardJoin:
     def fits(self, a: Column, b: Column) -> Column:
         return self.den * F.least(a, b) >= self.num * F.greatest(a, b)
 
+    def overlap(self, a: Column, b: Column) -> Column:
+        """Least number of shared shingles of a link between sets of a and b shingles."""
+        total = self.num + self.den
+        return F.floor(((a + b) * self.num + total - 1) / total)
+
     def needed(self, a: Column, b: Column) -> Column:
         """Least number of shared prefix shingles of a link: the overlap a link
         needs, less what the longer rest behind the prefixes can hold."""
-        total = self.num + self.den
-        overlap = F.floor(((a + b) * self.num + total - 1) / total)
         rest = [F.floor((self.num * x + self.den - 1) / self.den) - 1 for x in (a, b)]
-        return overlap - F.greatest(*rest)
+        return self.overlap(a, b) - F.greatest(*rest)
+
+    def early(self, entries: DataFrame) -> DataFrame:
+        """Entries that can be the first shared shingle of a link with the smallest partner of
+        the shingle's list."""
+        span = entries.groupBy("tok").agg(F.min("n").alias("lo"))
+        return (entries.join(span, "tok").where(F.col("pos") <= self.room(F.col("n"), F.col("lo")))
+                .select(*entries.columns))
 
     def prune(self, entries: DataFrame) -> DataFrame:
         """Entries without those that no link can need: a group with fewer shared prefix
@@ -265,18 +277,35 @@ class JaccardJoin:
         span = rows.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo <> hi").select(key)
         return materialize(rows.join(span, key, "left_semi"), "mixed")
 
-    @staticmethod
-    def across(rows: DataFrame, key: str, label: str, item: str) -> DataFrame:
-        """(key, a, b, na, nb) for items of one key with different labels.  Labels are paired
-        first, so items that share a label are never paired."""
+    def room(self, n: Column, partner: Column) -> Column:
+        """Last place at which a set of n shingles can have its first shared one with a partner of
+        at least that size: the rest must hold the whole overlap."""
+        return n - self.overlap(n, F.greatest(partner, F.ceil(n * self.num / self.den)))
+
+    def across(self, rows: DataFrame, key: str, label: str, item: str) -> DataFrame:
+        """(a, b, na, nb) for items of a key with different labels whose sizes and places allow a
+        link.  Labels are paired first, with the bounds of their items, so items that share a
+        label are never paired and an item meets only labels that can hold a partner."""
         rows = JaccardJoin.mixed(rows, key, label)
-        labels = rows.select(key, label).distinct()
-        a = labels.select(key, F.col(label).alias("la"))
-        b = labels.select(key, F.col(label).alias("lb"))
-        pairs = a.join(b, key).where("la < lb")
-        left = rows.select(key, F.col(label).alias("la"), F.col(item).alias("a"), F.col("n").alias("na"))
-        right = rows.select(key, F.col(label).alias("lb"), F.col(item).alias("b"), F.col("n").alias("nb"))
-        return pairs.join(left, [key, "la"]).join(right, [key, "lb"]).select(key, "a", "b", "na", "nb")
+        labels = rows.groupBy(key, label).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("first"))
+
+        def side(frame, x, **names):
+            return frame.select(key, *[F.col(c).alias(to + x) for c, to in names.items()])
+
+        a, b = (side(labels, x, **{label: "l", "lo": "lo", "hi": "hi", "first": "first"}) for x in "ab")
+        col = F.col
+        pairs = (a.join(b, key).where("la < lb")
+                 .where((self.den * col("hia") >= self.num * col("lob")) & (self.den * col("hib") >= self.num * col("loa")))
+                 .where((col("firsta") <= self.room(col("hia"), col("lob")))
+                        & (col("firstb") <= self.room(col("hib"), col("loa"))))
+                 .select(key, "la", "lb", "lob", "hib"))
+        left, right = (side(rows, x, **{label: "l", item: "", "n": "n", "pos": "pos"}) for x in "ab")
+        some = (pairs.join(left, [key, "la"])
+                .where((self.den * col("na") >= self.num * col("lob")) & (self.den * col("hib") >= self.num * col("na")))
+                .where(col("posa") <= self.room(col("na"), col("lob"))))
+        return (some.join(right, [key, "lb"]).where(self.fits(col("na"), col("nb")))
+                .where((col("posa") <= self.room(col("na"), col("nb"))) & (col("posb") <= self.room(col("nb"), col("na"))))
+                .select("a", "b", "na", "nb"))
 
     def remaining(self) -> DataFrame:
         """Every pair of sets from different components that passes the filters."""
@@ -284,11 +313,12 @@ class JaccardJoin:
         one = lab.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         # a group of several components has a label of its own, so all its pairs are looked at
         label = one.select("gid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("gid")).alias("label"))
-        inside = self.across(lab, "gid", "comp", "sid").select("a", "b")
-        e = self.prune(self.prune(self.mixed(self.entries.join(label, "gid"), "tok", "label")))
-        pairs = (self.across(e, "tok", "label", "gid").where(self.fits(F.col("na"), F.col("nb")))
-                 .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-                 .where(F.col("c") >= self.needed(F.col("na"), F.col("nb"))))
+        inside = self.across(lab.withColumn("pos", F.lit(0)), "gid", "comp", "sid").select("a", "b")
+        e = self.early(self.prune(self.mixed(self.entries.join(label, "gid"), "tok", "label")))
+        pairs = materialize(self.across(e, "tok", "label", "gid").distinct(), "pairs")
+        px, py = (self.groups.select(F.col("sid").alias(x), F.col("prefix").alias("p" + x)) for x in "ab")
+        pairs = (pairs.join(px, "a").join(py, "b")
+                 .where(F.size(F.array_intersect("pa", "pb")) >= self.needed(F.col("na"), F.col("nb"))))
         x = lab.select(F.col("gid").alias("a"), F.col("sid").alias("sa"), F.col("comp").alias("ca"))
         y = lab.select(F.col("gid").alias("b"), F.col("sid").alias("sb"), F.col("comp").alias("cb"))
         outside = (pairs.select("a", "b").join(x, "a").join(y, "b").where("ca <> cb")
