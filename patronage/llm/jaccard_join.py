@@ -221,7 +221,9 @@ class JaccardJoin:
         n = F.col("n")
         lo = F.greatest("lo", F.ceil(n * self.num / self.den))
         hi = F.least("hi", F.floor(n * self.den / self.num))
-        least = F.least(self.needed(n, lo), self.needed(n, hi))  # it is largest between equal sizes
+        # up to n it grows with the partner's size; above n it falls but for its two ceilings: a size
+        # below hi can need one less than hi does
+        least = F.least(self.needed(n, lo), self.needed(n, hi) - F.when(hi > n, 1).otherwise(0))
         kept = (entries.join(span.where("c > 1").drop("c"), "tok").join(own, "gid")
                 .where(F.col("left") >= least).select(*entries.columns))
         return materialize(kept, "entries")

@@ -126,6 +126,65 @@ def test_jaccard_components(spark, docs, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def brute_components(texts, k, num, den):
+    """{id: smallest id of its component} by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.split()
+        sets[i] = {tuple(w[j:j + k]) for j in range(max(len(w) - k + 1, 1))}
+    comp = {i: i for i in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {i: new if c == old else c for i, c in comp.items()}
+    return comp
+
+
+def near_threshold_families(rng, n, num, den):
+    """Texts that grow out of one another at their ends, about as much as a link allows."""
+    texts, at = {}, 0
+    for f in range(n):
+        size = rng.randint(20, 60)
+        base = [f"w{f}_{i}" for i in range(size)]
+        most = size * (den - num) // den
+        for _ in range(4):
+            cut, tail = rng.randint(0, most // 2), rng.randint(0, most)
+            texts[at] = " ".join(base[:size - cut] + [f"t{f}_{i}" if rng.random() < 0.7 else f"o{at}_{i}" for i in range(tail)])
+            at += 1
+    return texts
+
+
+def needed(n, m, num, den):
+    """Least shared prefix shingles of a link between sets of n and m shingles."""
+    return -(-(n + m) * num // (num + den)) - max(-(-num * x // den) - 1 for x in (n, m))
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_jaccard_prune_keeps_every_entry_of_a_link(spark, num):
+    """A single pass of prune over lists of two or three sizes: an entry that one partner of its list needs stays."""
+    cases = [(n, m, hi) for n in range(20, 120) for hi in range(n + 2, min(n * 100 // num, n + 20) + 1)
+             for m in range(n + 1, hi) if needed(n, m, num, 100) < needed(n, hi, num, 100)][:300]
+    assert cases
+    entries = [(tok, 0, 10_000 * tok + j, size) for tok, (n, m, hi) in enumerate(cases) for j, size in enumerate((n, m, hi))]
+    frame = spark.createDataFrame(entries, "tok long, pos int, gid long, n long")
+    join = object.__new__(jaccard_join.JaccardJoin)
+    join.num, join.den = num, 100
+    kept = {(r["tok"], r["gid"] % 10_000) for r in join.prune(frame).collect()}
+    for tok, (n, m, _) in enumerate(cases):
+        if needed(n, m, num, 100) <= 1:
+            assert {(tok, 0), (tok, 1)} <= kept
+
+
+def test_jaccard_links_at_the_threshold(spark):
+    common = [f"c{i}" for i in range(26)]
+    texts = {1: " ".join([*common, "own"]), 2: " ".join([*common, "p", "q", "r"]), 3: " ".join([*common, "p", "q", "r", "t"])}
+    texts.update((i + 10, t) for i, t in near_threshold_families(random.Random(3), 60, 85, 100).items())
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame, k=4, num=85, den=100).collect()}
+    assert got == brute_components(texts, 4, 85, 100)
+
+
 def test_passages(spark, docs, empty):
     got = substring.passages(docs, min_words=50).collect()
     pairs = {(r["doc_id"], r["partner_id"]): r for r in got}
