@@ -137,6 +137,16 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(acc)
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of ``n`` words, by prefix sums; none in a shorter sequence."""
+    if len(words) < n:
+        return np.zeros(0, _U)
+    power, inverse = _powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, dtype=_U)
+    np.cumsum(words * power[:len(words)], out=total[1:])
+    return mix64((total[n:] - total[:-n]) * inverse[:len(words) - n + 1])
+
+
 # -- connected components -------------------------------------------------
 
 def components(edges: DataFrame, jumps: int = 3) -> DataFrame:

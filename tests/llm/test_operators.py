@@ -197,6 +197,27 @@ def test_passages(spark, docs, empty):
     assert substring.passages(empty).count() == 0
 
 
+def test_passages_whose_seeds_meet_other_partners(spark, monkeypatch):
+    """Every place of documents 3, 6 and 9 has a first document and a document before that hold a part alone."""
+    texts, whole = {}, {}
+    for t in range(12):
+        rng, base = random.Random(t), 100 * t
+        words = [f"p{t}x{i}" for i in range(60)]
+        for i in range(1, 10):
+            part = (words[:35], words[25:], words)[(i - 1) % 3]
+            a, b = ([f"f{base + i}{side}{j}" for j in range(rng.randint(5, 40))] for side in "ab")
+            texts[base + i] = " ".join([*a, *part, *b])
+            if i in (6, 9):
+                whole[base + i] = (len(a), len(a) + 60)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(substring, "SLICE", 2)  # the documents of a seed are ordered over several tasks
+    got = substring.passages(frame, min_words=50).collect()
+    for i, (start, end) in whole.items():
+        assert any(r["doc_id"] == i and r["start_word"] <= start and r["end_word"] >= end for r in got), i
+    for r in got:
+        assert r["partner_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50
+
+
 def test_fingerprints(spark, docs, empty):
     got = fingerprint.edited_fingerprints(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), rows_per_bucket=3).collect()
     by, order = {r["doc_id"]: r for r in got}, sorted(TEXTS, reverse=True)
