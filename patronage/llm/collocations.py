@@ -305,8 +305,14 @@ def _build(length: int):
     return run
 
 
-def _count(shared, shard: int):
-    """mapInArrow function: how often a task's texts reach each accepting state of a broadcast trie."""
+#: Accepting states whose counts travel in one row.
+STATES = 4096
+_COUNTS = "block int, state array<int>, n array<long>"
+
+
+def _count(shared):
+    """mapInArrow function: how often a task's texts reach the accepting states of a broadcast trie, as rows of
+    the states above zero of a block of ``STATES``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
         total = np.zeros(len(trie.check), dtype=np.int64)
@@ -320,13 +326,28 @@ def _count(shared, shard: int):
                 total += np.bincount(trie.accepted(np.concatenate(ids)), minlength=len(total))
         at = np.flatnonzero(total)
         if len(at):
+            blocks, first = np.unique(at // STATES, return_index=True)
+            ends = pa.array(np.append(first, len(at)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), shard, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])],
-                names=["shard", "state", "n"])
+                [pa.array(blocks.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array((at % STATES).astype(np.int32))),
+                 pa.ListArray.from_arrays(ends, pa.array(total[at]))], names=["block", "state", "n"])
 
     return run
 
 
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum rows of :func:`_count` that are dealt by block; memory follows the trie, not the number of tasks."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, state, n in zip(b.column("block").to_pylist(), b.column("state"), b.column("n")):
+            total = sums.setdefault(block, np.zeros(STATES, dtype=np.int64))
+            total[state.values.to_numpy()] += n.values.to_numpy()
+    for block, total in sums.items():
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at + block * STATES).astype(np.int32)), pa.array(total[at])],
+                                         names=["state", "n"])
+
+
 def counted(texts: DataFrame, candidates: DataFrame, length: int, max_candidates: int) -> DataFrame:
     """(lang, w1.., key, n) of the ``candidates`` (lang, w1.., key): their occurrences in ``texts``.  At most about
     ``max_candidates`` phrases are in a trie; the texts are read once for each trie."""
@@ -342,8 +363,8 @@ def counted(texts: DataFrame, candidates: DataFrame, length: int, max_candidates
         blob = built.where((F.col("shard") == shard) & (F.col("state") == -1)).select("trie").first()
         if blob is not None:
             shared = spark.sparkContext.broadcast(pickle.loads(bytes(blob["trie"])))
-            found.append(materialize(texts.mapInArrow(_count(shared, shard), "shard int, state int, n long")
-                                     .groupBy("shard", "state").agg(F.sum("n").alias("n")), "phrase-counts"))
+            sums = texts.mapInArrow(_count(shared), _COUNTS).repartition("block").mapInArrow(_sum, "state int, n long")
+            found.append(materialize(sums.select(F.lit(shard).alias("shard"), "state", "n"), "phrase-counts"))
             shared.unpersist()
     sums = found[0] if found else spark.createDataFrame([], "shard int, state int, n long")
     for more in found[1:]:
@@ -389,6 +410,10 @@ def phrases(docs: DataFrame, min_count: int = 10, max_candidates: int = 1_000_00
     return words, pairs, triples
 
 
+#: Parts in which a language's phrases are ranked before the last ranking, which gets their first ``top`` only.
+RANK_PARTS = 64
+
+
 def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, inside: int = 50,
                  max_candidates: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of :func:`phrases` by score.
@@ -429,7 +454,9 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 10, inside:
                         F.least("s1", "s2").alias("score"))
     both = two.select("lang", F.concat_ws(" ", F.col("w1").cast("string"), F.col("w2").cast("string")).alias("phrase"),
                       "a", "l", "r", "score").unionByName(three)
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))).orderBy(*order)
+    first = both.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r",
                                               F.col("total").alias("n"), F.col("score").cast("long").alias("score"))
