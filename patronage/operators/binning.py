@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import scalars
-from patronage.functions.ordering import exact_quantiles, global_row_number, quartile_of_rank
+from patronage.functions.ordering import (
+    approx_quantiles, exact_quantiles, global_row_number, quantile_table, rank_bins, top_mask)
 
 
 def _edges(df: DataFrame, col: str, probs: Sequence[float], method: str = "rank") -> list[Column]:
-    """Exact interpolated quantiles as scalar-subquery columns.
+    """Exact interpolated quantiles as columns.
 
-    ``method='rank'`` uses the distributed order statistics (any column);
+    ``method='rank'`` uses the distributed selection (any column);
     ``'percentile'`` uses Spark's exact ``percentile`` aggregate, whose
     buffer holds one entry per DISTINCT value - only for columns with a
     bounded number of values, such as whole days of recency."""
@@ -22,8 +22,7 @@ def _edges(df: DataFrame, col: str, probs: Sequence[float], method: str = "rank"
         arr = df.agg(F.percentile(F.col(col), F.array(*[F.lit(float(p)) for p in probs]))
                      .alias("q")).scalar()
         return [arr[i] for i in range(len(probs))]
-    names = [f"e{i}" for i in range(len(probs))]
-    return scalars(exact_quantiles(df, col, probs, names), names)
+    return [F.lit(v).cast("double") for v in quantile_table(df, [col], probs)[col]]
 
 
 def _check_increasing(edges: list[Column], what: str) -> Column:
@@ -38,13 +37,17 @@ def qcut(df: DataFrame, col: str, q: int, labels: Sequence, out: str,
          duplicates: str = "raise", method: str = "rank") -> DataFrame:
     """pandas ``qcut(x, q, labels)``: edges are interpolated quantiles
     0, 1/q, ..., 1; bins are right-closed and the lowest value is included.
-    ``duplicates='raise'`` fails like pandas when two edges coincide;
-    ``'allow'`` keeps the labels and skips the check."""
+    ``duplicates='raise'`` fails like pandas when two edges coincide; ``'allow'``
+    keeps the labels of the bins that are left; ``'merge'`` drops repeated edges
+    and gives the remaining bins the first labels, in order."""
     probs = [i / q for i in range(q + 1)]
     edges = _edges(df, col, probs, method)
     idx = F.lit(1)
-    for e in edges[1:-1]:
-        idx = idx + F.when(F.col(col) > e, 1).otherwise(0)
+    for before, e in zip(edges, edges[1:-1]):
+        step = F.col(col) > e
+        if duplicates == "merge":
+            step = step & (e > before)
+        idx = idx + F.when(step, 1).otherwise(0)
     label = F.element_at(F.array(*[F.lit(v) for v in labels]), idx)
     label = F.when(F.col(col).isNotNull(), label)
     if duplicates == "raise":
@@ -65,10 +68,8 @@ def rank_first(df: DataFrame, col: str, key: str = "CustomerID", out: str = "ran
 
 def qcut_of_rank(df: DataFrame, col: str, out: str, q: int = 4,
                  key: str = "CustomerID") -> DataFrame:
-    """``qcut(x.rank(method='first'), q, labels=1..q)``."""
-    ranked = rank_first(df, col, key, out="_qr_rank", total="_qr_n")
-    return ranked.withColumn(out, quartile_of_rank(F.col("_qr_rank"), F.col("_qr_n"), q)) \
-                 .drop("_qr_rank", "_qr_n")
+    """``qcut(x.rank(method='first'), q, labels=1..q)``, by comparison with the selected cut rows."""
+    return rank_bins(df, col, key, out, q)
 
 
 def tier_cut(df: DataFrame, col: str, out: str, low_q: float = 0.33, high_q: float = 0.66,
@@ -97,11 +98,8 @@ def top_share(df: DataFrame, col: str, share: float, key: str = "CustomerID") ->
     """F5 for k proportional to n: rows ranked within the top int(share*n)."""
     from fractions import Fraction
     frac = Fraction(share).limit_denominator(10_000)
-    ranked = global_row_number(df.filter(F.col(col).isNotNull()),
-                               [F.col(col).desc(), F.col(key).asc()], name="_ts_rank",
-                               total="_ts_n")
-    k = F.expr(f"(_ts_n * {frac.numerator}) div {frac.denominator}")
-    return ranked.filter(F.col("_ts_rank") <= k).drop("_ts_rank", "_ts_n")
+    marked, _ = top_mask(df, col, key, lambda n: n * frac.numerator // frac.denominator, "_ts")
+    return marked.filter("_ts").drop("_ts")
 
 
 def overlap_size(a: DataFrame, b: DataFrame, key: str = "CustomerID") -> Column:
@@ -110,6 +108,7 @@ def overlap_size(a: DataFrame, b: DataFrame, key: str = "CustomerID") -> Column:
 
 
 def scalar_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                     names: Sequence[str] | None = None) -> DataFrame:
-    """F8: exact interpolated quantiles of one column as a 1-row DataFrame."""
-    return exact_quantiles(df, col, probs, names)
+                     names: Sequence[str] | None = None, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
+    """F8: interpolated quantiles of one column as a 1-row DataFrame; with ``exact=False`` from a sketch, in
+    one pass and off by at most n / ``accuracy`` ranks."""
+    return exact_quantiles(df, col, probs, names) if exact else approx_quantiles(df, col, probs, names, accuracy)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import weekday_mon0
-
+from patronage.functions.money import amount, scale_of, units
 
 
 def one_day() -> Column:
@@ -43,10 +43,11 @@ def drop_guests(log: DataFrame) -> DataFrame:
 
 
 def add_spend(lines: DataFrame) -> DataFrame:
-    """TotalSpend = Quantity x UnitPrice, kept exactly as integer cents too."""
+    """TotalSpend = Quantity x UnitPrice, kept exactly as integer money units too."""
+    scale = scale_of(lines)
     cents = F.col("Quantity") * F.col("unit_cents")
-    return (lines.withColumn("spend_cents", cents)
-            .withColumn("TotalSpend", cents.cast("double") / F.lit(100.0)))
+    return lines.select(*[c for c in lines.columns if c not in ("spend_cents", "TotalSpend")],
+                        units(cents, "spend_cents", scale), amount(cents, scale).alias("TotalSpend"))
 
 
 def add_date_parts(lines: DataFrame) -> DataFrame:

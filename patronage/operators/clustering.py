@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.columns import np_round, scalars
 from patronage.functions.lookups import cluster_name
+from patronage.functions.money import amount, scale_of
 
 RFM = ("Recency", "Frequency", "Monetary")
 LOG_COLS = ("Recency_log", "Frequency_log", "Monetary_log")
@@ -163,13 +164,13 @@ def cluster_profile(clustered: DataFrame, decimals: int | None = 2) -> DataFrame
     """Size, mean R/F/M/TotalQuantity/UniqueProducts, % customers,
     revenue and % revenue per cluster, sorted by mean Monetary."""
     rnd = (lambda c: np_round(c, decimals)) if decimals is not None else (lambda c: c)
+    scale = scale_of(clustered, "monetary_cents")
     n_all, rev_all = scalars(clustered.agg(F.count(F.lit(1)).alias("n"),
                                            F.sum("monetary_cents").alias("rev")))
     per = clustered.groupBy("Cluster").agg(
         F.count(F.lit(1)).alias("CustomerID"),
         *[rnd(F.avg(F.col(c).cast("double"))).alias(c) for c in ("Recency", "Frequency")],
-        rnd(F.sum("monetary_cents").cast("double") / 100.0 / F.count(F.lit(1)).cast("double"))
-        .alias("Monetary"),
+        rnd(amount(F.sum("monetary_cents"), scale) / F.count(F.lit(1)).cast("double")).alias("Monetary"),
         *[rnd(F.avg(F.col(c).cast("double"))).alias(c) for c in ("TotalQuantity", "UniqueProducts")],
         F.sum("monetary_cents").alias("_rev"))
     return per.select(
@@ -177,7 +178,7 @@ def cluster_profile(clustered: DataFrame, decimals: int | None = 2) -> DataFrame
         "Monetary", "TotalQuantity", "UniqueProducts",
         np_round(F.col("CustomerID").cast("double") / n_all.cast("double") * 100.0, 1)
         .alias("pct_customers"),
-        (F.col("_rev").cast("double") / 100.0).alias("Total_Revenue"),
+        amount(F.col("_rev"), scale).alias("Total_Revenue"),
         np_round(F.col("_rev").cast("double") / rev_all.cast("double") * 100.0, 1)
         .alias("pct_revenue")).orderBy(F.col("Monetary").desc())
 
@@ -198,5 +199,5 @@ def named_summary(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("Cluster", "Cluster_Name").agg(
         F.count(F.lit(1)).alias("customers"),
         F.avg(F.col("Recency").cast("double")).alias("recency_mean"),
-        (F.sum("monetary_cents").cast("double") / 100.0 / F.count(F.lit(1)).cast("double"))
+        (amount(F.sum("monetary_cents"), scale_of(clustered, "monetary_cents")) / F.count(F.lit(1)).cast("double"))
         .alias("monetary_mean"))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.functions.money import amount, scale_of
 from patronage.functions.ordering import exact_quantiles
 from patronage.functions.special import lgamma, lgamma_np, log_add_exp, scaled_hyp2f1
 from patronage.operators.binning import qcut
@@ -45,7 +46,7 @@ def lifetimes_summary(lines: DataFrame, end: Column) -> DataFrame:
         "CustomerID", freq.cast("long").alias("frequency"),
         F.datediff("_last", "_first").cast("double").alias("recency"),
         F.datediff(F.to_date(end), F.col("_first")).cast("double").alias("T"),
-        F.when(freq > 0, (F.col("_tot") - F.col("_first_cents")).cast("double") / 100.0
+        F.when(freq > 0, amount(F.col("_tot") - F.col("_first_cents"), scale_of(lines))
                / freq.cast("double")).otherwise(F.lit(0.0)).alias("monetary_value"))
 
 
@@ -61,7 +62,7 @@ def calibration_holdout(lines: DataFrame, calibration_end: Column, end: Column)
                                & (F.col("InvoiceDate") <= end)))
     hold = hold.groupBy("CustomerID").agg(
         F.count(F.lit(1)).alias("frequency_holdout"),
-        (F.sum("_cents").cast("double") / 100.0 / F.count(F.lit(1)).cast("double"))
+        (amount(F.sum("_cents"), scale_of(lines)) / F.count(F.lit(1)).cast("double"))
         .alias("monetary_value_holdout"))
     out = cal.join(hold, "CustomerID", "left")
     return out.select(

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import clip, coerce_double
-from patronage.functions.ordering import exact_quantiles, global_row_number
+from patronage.functions.ordering import exact_quantiles, quantile_table, top_mask
 from patronage.operators.binning import tier_cut
+from patronage.session import materialize
 
 CLV_COLS = ("CLV_Historical", "CLV_ML", "CLV_Probabilistic")
 
@@ -68,7 +69,6 @@ def ensemble_clv(comparison: DataFrame, transactions: DataFrame | None = None,
     if stage:
         # the tier cut reads the blend twice (quantiles, then labels): pin the
         # joined result once instead of re-running the four-way join
-        from patronage.session import materialize
         ens = materialize(ens, "ensemble")
     return tier_cut(ens, "CLV_Final", "CLV_Tier_Final")
 
@@ -84,17 +84,13 @@ def method_summary(comparison: DataFrame) -> DataFrame:
     """Total, mean, median and std (n-1) per method; NULLs skipped."""
     names = {"CLV_Historical": "Historical", "CLV_ML": "Machine Learning",
              "CLV_Probabilistic": "Probabilistic"}
-    parts = []
-    for col, label in names.items():
-        x = F.col(col).cast("double")
-        med = exact_quantiles(comparison, col, [0.5], ["median"]).select("median").scalar()
-        parts.append(comparison.agg(
-            F.lit(label).alias("Method"), F.sum(x).alias("total"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std")).withColumn("median", med))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("Method", "total", "mean", "median", "std")
+    values = materialize(comparison.select(*[F.col(c).cast("double").alias(c) for c in names]), "methods")
+    medians = quantile_table(values, list(names), [0.5], written=True)
+    long = values.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("Method"), F.col(c).alias("x"), F.lit(medians[c][0]).cast("double").alias("m"))
+        for c, label in names.items()])))
+    return long.groupBy("Method").agg(
+        F.sum("x").alias("total"), F.avg("x").alias("mean"), F.max("m").alias("median"), F.stddev_samp("x").alias("std"))
 
 
 def top_decile_summary(df: DataFrame, col: str, share_div: int = 10) -> DataFrame:
@@ -102,12 +98,11 @@ def top_decile_summary(df: DataFrame, col: str, share_div: int = 10) -> DataFram
     and median of the whole column."""
     vals = df.select("CustomerID", F.col(col).cast("double").alias("_v")).filter(
         F.col("_v").isNotNull())
-    ranked = global_row_number(vals, [F.col("_v").desc(), F.col("CustomerID")], name="_rk",
-                               total="_n")
-    med = exact_quantiles(vals, "_v", [0.5], ["m"]).select("m").scalar()
+    vals = materialize(vals, "top-decile")
+    ranked, _ = top_mask(vals, "_v", "CustomerID", lambda n: n // share_div, "_top")
+    med = F.lit(quantile_table(vals, ["_v"], [0.5], written=True)["_v"][0]).cast("double")
     return ranked.agg(
-        F.sum(F.when(F.col("_rk") <= F.expr(f"_n div {share_div}"), F.col("_v")))
-        .alias("top_total"),
+        F.sum(F.when(F.col("_top"), F.col("_v"))).alias("top_total"),
         F.sum("_v").alias("total"), F.avg("_v").alias("mean")).withColumn("median", med)
 
 

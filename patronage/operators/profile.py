@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import elapsed_days, scalars
-from patronage.functions.ordering import exact_quantiles
+from patronage.functions.ordering import quantile_table
 from patronage.operators.cleaning import is_cancelled
+from patronage.session import materialize
 
 PROFILE_COLUMNS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate",
                    "UnitPrice", "CustomerID", "Country"]
@@ -82,21 +83,19 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 % (exact, interpolated), max
     per column, long format (one row per column).
 
-    Not ``DataFrame.summary()``: its percentiles are approximate."""
-    parts = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"),
-                      F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                      F.max(x).alias("max"))
-        p25, p50, p75 = scalars(exact_quantiles(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"]))
-        parts.append(base.select(
-            F.lit(c).alias("column"), F.col("count").cast("long").alias("count"), "mean", "std",
-            "min", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    Not ``DataFrame.summary()``: its percentiles are approximate.  The source is
+    read once for all columns; the moments are one aggregation of the written
+    columns and the quantiles of all columns share their selection steps."""
+    table = materialize(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "describe")
+    quartiles = quantile_table(table, columns, [0.25, 0.5, 0.75], written=True)
+    wide = table.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (
+        ("count", F.count), ("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    rows = [F.struct(
+        F.lit(c).alias("column"), F.col(f"count_{c}").cast("long").alias("count"), F.col(f"mean_{c}").alias("mean"),
+        F.col(f"std_{c}").alias("std"), F.col(f"min_{c}").alias("min"),
+        *[F.lit(v).cast("double").alias(k) for k, v in zip(("p25", "p50", "p75"), quartiles[c])],
+        F.col(f"max_{c}").alias("max")) for c in columns]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:

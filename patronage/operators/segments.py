@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.columns import np_round
 from patronage.functions.lookups import segment_of_score, tier_of
+from patronage.functions.money import amount, scale_of
 from patronage.operators.binning import qcut, qcut_of_rank
 from patronage.session import materialize
 
@@ -39,7 +40,7 @@ def segment_stats(segmented: DataFrame, by: str = "Segment", decimals: int | Non
     rnd = (lambda c: np_round(c, decimals)) if decimals is not None else (lambda c: c)
     n = F.count(F.lit(1)).cast("double")
     return (segmented.groupBy(by).agg(
-        rnd(F.sum("monetary_cents").cast("double") / 100.0 / n).alias("Monetary"),
+        rnd(amount(F.sum("monetary_cents"), scale_of(segmented, "monetary_cents")) / n).alias("Monetary"),
         rnd(F.sum("Frequency").cast("double") / n).alias("Frequency"),
         rnd(F.sum("Recency").cast("double") / n).alias("Recency"),
         F.count(F.lit(1)).alias("CustomerID"))

@@ -101,7 +101,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", partition_by: str | None = None):
     """Cut lineage: write ``df`` as Parquet under the checkpoint directory and
     read it back.
 
@@ -114,8 +114,10 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/patronage-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    # a partition column is inferred and an empty partitioned table has no file: the schema is given
+    return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
 
 
 def cluster_conf(input_bytes: float, total_cores: int, shuffle_fraction: float = 0.25,
