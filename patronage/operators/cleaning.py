@@ -42,6 +42,15 @@ def drop_guests(log: DataFrame) -> DataFrame:
         "CustomerID", F.col("CustomerID").cast("long"))
 
 
+def spend_of(lines: DataFrame) -> Column:
+    """Quantity x unit price in money units; the column of that name where there is one."""
+    return F.col("spend_cents") if "spend_cents" in lines.columns else F.col("Quantity") * F.col("unit_cents")
+
+
+def spend_scale(lines: DataFrame) -> int:
+    return scale_of(lines, "spend_cents" if "spend_cents" in lines.columns else "unit_cents")
+
+
 def add_spend(lines: DataFrame) -> DataFrame:
     """TotalSpend = Quantity x UnitPrice, kept exactly as integer money units too."""
     scale = scale_of(lines)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from patronage.functions.columns import np_round, scalars
 from patronage.functions.lookups import cluster_name
 from patronage.functions.money import amount, scale_of
+from patronage.session import materialize
 
 RFM = ("Recency", "Frequency", "Monetary")
 LOG_COLS = ("Recency_log", "Frequency_log", "Monetary_log")
@@ -74,7 +75,7 @@ def kmeans_sweep(customers: DataFrame, ks: Sequence[int] = range(2, 11), seed: i
                  n_init: int = 10, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """Within-cluster sum of squares and silhouette for each k (best of
     ``n_init`` starts).  Silhouette is MLlib's squared-Euclidean silhouette."""
-    vectors = scaled_vectors(customers).select("CustomerID", "features").cache()
+    vectors = materialize(scaled_vectors(customers).select("CustomerID", "features"), "vectors")
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster")
     from concurrent.futures import ThreadPoolExecutor
 
@@ -84,7 +85,6 @@ def kmeans_sweep(customers: DataFrame, ks: Sequence[int] = range(2, 11), seed: i
 
     with ThreadPoolExecutor(max_workers=3) as pool:
         rows = list(pool.map(one, ks))
-    vectors.unpersist()
     return customers.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
 
 
@@ -94,10 +94,10 @@ def best_k(sweep: DataFrame) -> DataFrame:
 
 
 def kmeans_segments(customers: DataFrame, k: int = 4, seed: int = 42, n_init: int = 10,
-                    max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+                    max_iter: int = 300, tol: float = 1e-4, keep_features: bool = False) -> DataFrame:
     """J3 + J5: fit (best of ``n_init`` starts), predict, renumber clusters by
     mean Monetary (descending, so ids are stable across runs) and name them."""
-    vectors = scaled_vectors(customers).cache()
+    vectors = materialize(scaled_vectors(customers), "vectors")
     model, _ = _fit_best(vectors, k, seed, n_init, max_iter, tol)
     pred = model.transform(vectors)
     order = pred.groupBy("Cluster").agg(F.avg("Monetary").alias("_m"))
@@ -106,7 +106,8 @@ def kmeans_segments(customers: DataFrame, k: int = 4, seed: int = 42, n_init: in
     order = order.select("Cluster", (F.row_number().over(
         Window.orderBy(F.col("_m").desc(), F.col("Cluster"))) - 1).alias("_new"))
     out = pred.join(F.broadcast(order), "Cluster").withColumn("Cluster", F.col("_new").cast("int"))
-    return out.withColumn("Cluster_Name", cluster_name(F.col("Cluster"))).drop("_new", "features")
+    named = out.withColumn("Cluster_Name", cluster_name(F.col("Cluster"))).drop("_new")
+    return named if keep_features else named.drop("features")
 
 
 def silhouette(labelled: DataFrame, label: str = "Cluster") -> DataFrame:

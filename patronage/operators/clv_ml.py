@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patronage.operators.binning import tier_cut
+from patronage.session import materialize
 
 BASE_FEATURES = ["TransactionCount", "TotalMonetary", "TotalQuantity", "UniqueProducts",
                  "CustomerLifespan", "AvgTransactionValue", "AvgItemsPerTransaction",
@@ -69,11 +70,11 @@ def model_presets(n_train: int, seed: int = 42) -> dict:
 
 
 def regression_metrics(pred: DataFrame, label: str = TARGET,
-                       prediction: str = "prediction") -> DataFrame:
-    """MAE, RMSE and R^2 = 1 - SSE/SST as one aggregation."""
+                       prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """MAE, RMSE and R^2 = 1 - SSE/SST as one aggregation, of all rows or per group."""
     err = F.col(prediction) - F.col(label)
     # SST = n * var_pop(y): one pass, no second scan for the mean
-    return pred.agg(
+    return pred.groupBy(*by).agg(
         F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (F.lit(1.0) - F.sum(err * err) / (F.var_pop(label) * F.count(label))).alias("r2"))
 
@@ -83,7 +84,7 @@ def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed:
     """Fit each model on the train split, score the test split.
 
     Returns (metrics DataFrame sorted by R^2, dict of fitted models)."""
-    data = assemble(dataset).select("CustomerID", "features", TARGET, "is_train").cache()
+    data = materialize(assemble(dataset).select("CustomerID", "features", TARGET, "is_train"), "ml-data")
     train = data.filter("is_train")
     test = data.filter(~F.col("is_train"))
     n_train = train.count()

@@ -18,10 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.money import amount, scale_of
-from patronage.functions.ordering import exact_quantiles
+from patronage.functions.money import amount
+from patronage.functions.ordering import quantile_table
 from patronage.functions.special import lgamma, lgamma_np, log_add_exp, scaled_hyp2f1
 from patronage.operators.binning import qcut
+from patronage.operators.cleaning import spend_of, spend_scale
 from patronage.session import materialize
 
 
@@ -29,7 +30,7 @@ from patronage.session import materialize
 
 def _daily(lines: DataFrame) -> DataFrame:
     return lines.groupBy("CustomerID", F.to_date("InvoiceDate").alias("_day")).agg(
-        F.sum(F.col("Quantity") * F.col("unit_cents")).alias("_cents"))
+        F.sum(spend_of(lines)).alias("_cents"))
 
 
 def lifetimes_summary(lines: DataFrame, end: Column) -> DataFrame:
@@ -46,7 +47,7 @@ def lifetimes_summary(lines: DataFrame, end: Column) -> DataFrame:
         "CustomerID", freq.cast("long").alias("frequency"),
         F.datediff("_last", "_first").cast("double").alias("recency"),
         F.datediff(F.to_date(end), F.col("_first")).cast("double").alias("T"),
-        F.when(freq > 0, amount(F.col("_tot") - F.col("_first_cents"), scale_of(lines))
+        F.when(freq > 0, amount(F.col("_tot") - F.col("_first_cents"), spend_scale(lines))
                / freq.cast("double")).otherwise(F.lit(0.0)).alias("monetary_value"))
 
 
@@ -62,7 +63,7 @@ def calibration_holdout(lines: DataFrame, calibration_end: Column, end: Column)
                                & (F.col("InvoiceDate") <= end)))
     hold = hold.groupBy("CustomerID").agg(
         F.count(F.lit(1)).alias("frequency_holdout"),
-        (amount(F.sum("_cents"), scale_of(lines)) / F.count(F.lit(1)).cast("double"))
+        (amount(F.sum("_cents"), spend_scale(lines)) / F.count(F.lit(1)).cast("double"))
         .alias("monetary_value_holdout"))
     out = cal.join(hold, "CustomerID", "left")
     return out.select(
@@ -373,6 +374,7 @@ def probabilistic_clv(summary: DataFrame, bg: BetaGeoParams, gg: GammaGammaParam
         out = out.withColumn("CLV_3y_discounted",
                              discounted_clv(x, tx, T, F.col("predicted_avg_value"), bg))
     if 365 in horizons:
+        out = materialize(out, "scores")  # the tier cut reads the scores twice
         out = qcut(out, "CLV_365d", 3, ["Low", "Medium", "High"], "CLV_Tier_Prob")
     return out
 
@@ -383,7 +385,7 @@ def bgnbd_quadrants(scored: DataFrame, hi: float = 0.7, lo: float = 0.3,
                     col: str = "predicted_purchases_90d") -> DataFrame:
     """High Potential / At Risk / Loyal Low Spender / At Risk High
     Spender by P(alive) and the median of 90-day purchases; else Medium."""
-    med = exact_quantiles(scored, col, [0.5], ["m"]).select("m").scalar()
+    med = F.lit(quantile_table(scored, [col], [0.5])[col][0]).cast("double")
     pa, pp = F.col("probability_alive"), F.col(col)
     seg = (F.when((pa > hi) & (pp > med), F.lit("High Potential"))
            .when((pa < lo) & (pp < med), F.lit("At Risk"))
@@ -411,18 +413,14 @@ def quadrant_summary(segmented: DataFrame) -> DataFrame:
 def horizon_totals(scored: DataFrame, horizons=(30, 90, 365)) -> DataFrame:
     """Total, mean and median of each horizon's CLV, and of the 3-year
     discounted CLV (long format)."""
-    parts = []
     cols = [f"CLV_{h}d" for h in horizons]
     if "CLV_3y_discounted" in scored.columns:
         cols.append("CLV_3y_discounted")
-    for c in cols:
-        med = exact_quantiles(scored, c, [0.5], ["m"]).select("m").scalar()
-        parts.append(scored.agg(F.lit(c).alias("measure"), F.sum(c).alias("total"),
-                                F.avg(c).alias("mean")).withColumn("median", med))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    values = materialize(scored.select(*cols), "horizons")
+    medians = quantile_table(values, cols, [0.5], written=True)
+    long = values.select(F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("x"),
+                                                     F.lit(medians[c][0]).cast("double").alias("m")) for c in cols])))
+    return long.groupBy("measure").agg(F.sum("x").alias("total"), F.avg("x").alias("mean"), F.max("m").alias("median"))
 
 
 def expected_transactions(scored: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from patronage.functions.columns import elapsed_days, safe_div, scalars
 from patronage.functions.money import amount, scale_of, units
 from patronage.functions.ordering import exact_quantiles, top_mask
-from patronage.operators.cleaning import snapshot_value
+from patronage.operators.cleaning import snapshot_value, spend_of, spend_scale
 from patronage.session import materialize
 
 CUSTOMER_COLUMNS = ["CustomerID", "Recency", "Frequency", "Monetary", "TotalQuantity",
@@ -49,9 +49,8 @@ def first_country_table(lines: DataFrame) -> DataFrame:
 
 def customer_lines(lines: DataFrame) -> DataFrame:
     """The columns of clean lines that customer tables are made of, written once."""
-    spend = F.col("Quantity") * F.col("unit_cents")
     return materialize(lines.select("CustomerID", "InvoiceNo", "StockCode", "InvoiceDate", "Country", "Quantity",
-                                    units(spend, "spend_cents", scale_of(lines))), "customer-lines")
+                                    units(spend_of(lines), "spend_cents", spend_scale(lines))), "customer-lines")
 
 
 def _distinct_counts(written: DataFrame, recent: Column | None = None) -> DataFrame:
@@ -67,15 +66,16 @@ def _distinct_counts(written: DataFrame, recent: Column | None = None) -> DataFr
     return invoices.groupBy("CustomerID").agg(*counts).join(products, "CustomerID")
 
 
-def customer_rfm(lines: DataFrame, snapshot: Column | None = None) -> DataFrame:
+def customer_rfm(lines: DataFrame, snapshot: Column | None = None, written: bool = False) -> DataFrame:
     """E1 + E2 on clean lines.
 
     Recency = whole days from the last purchase to the snapshot, Frequency =
     distinct invoices, Monetary = spend, TotalQuantity, UniqueProducts, first
     Country, AvgTransactionValue and AvgItemsPerTransaction.  ``monetary_cents``
     keeps the exact integer total for downstream sums, in the lines' money scale.
+    ``written`` says that ``lines`` are :func:`customer_lines` already.
     """
-    written = customer_lines(lines)
+    written = lines if written else customer_lines(lines)
     scale = scale_of(written, "spend_cents")
     snap = snapshot if snapshot is not None else snapshot_value(written)
     agg = written.groupBy("CustomerID").agg(
@@ -100,7 +100,7 @@ def customer_rfm(lines: DataFrame, snapshot: Column | None = None) -> DataFrame:
 
 def customer_features(lines: DataFrame, snapshot: Column | None = None,
                       recent_days: int = 90, target_start_days: int = 90,
-                      target_end_days: int = 1, cutoff: Column | None = None) -> DataFrame:
+                      target_end_days: int = 1, cutoff: Column | None = None, written: bool = False) -> DataFrame:
     """E18-E23 (+ E19 ratios) from one scan of the lines.
 
     Columns: FirstPurchase, LastPurchase, PurchaseCount (lines), TotalMonetary,
@@ -115,9 +115,10 @@ def customer_features(lines: DataFrame, snapshot: Column | None = None,
     ``cutoff`` (a timestamp) there is no such leak: features take lines strictly
     before it, as if it were the snapshot, and Actual_Future_Spend the lines
     strictly after it up to ``target_start_days`` days later; customers without an
-    earlier line have no row.
+    earlier line have no row.  ``written`` says that ``lines`` are
+    :func:`customer_lines` already.
     """
-    written = customer_lines(lines)
+    written = lines if written else customer_lines(lines)
     scale = scale_of(written, "spend_cents")
     ts, cents = F.col("InvoiceDate"), F.col("spend_cents")
     if cutoff is None:
@@ -182,7 +183,7 @@ def future_spend(lines: DataFrame, snapshot: Column | None = None, start_days: i
     win = lines.filter(F.col("InvoiceDate").between(
         snap - F.make_dt_interval(F.lit(start_days)), snap - F.make_dt_interval(F.lit(end_days))))
     return win.groupBy("CustomerID").agg(
-        amount(F.sum(F.col("Quantity") * F.col("unit_cents")), scale_of(lines)).alias("Actual_Future_Spend"))
+        amount(F.sum(spend_of(lines)), spend_scale(lines)).alias("Actual_Future_Spend"))
 
 
 # ---------------------------------------------------------------- reports E3-E9, E24

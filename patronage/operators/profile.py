@@ -26,10 +26,14 @@ def shape(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
         "rows", F.lit(len(columns)).cast("long").alias("columns"))
 
 
-def schema_table(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:
-    """B1: column list with Spark type names (schema only, no job)."""
-    rows = [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(columns)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
+def schema_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """B1: position, name, Spark type and non-missing values of each column (all columns by default), from
+    the table's own schema and one aggregation."""
+    columns = df.columns if columns is None else columns
+    wide = df.agg(*[F.count(c).alias(c) for c in columns])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+                     F.col(c).alias("non_null")) for i, c in enumerate(columns)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def null_counts(df: DataFrame, columns: Sequence[str] = PROFILE_COLUMNS) -> DataFrame:

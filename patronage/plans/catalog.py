@@ -7,6 +7,8 @@ operator is expressible in SQL.
 
 from __future__ import annotations
 
+import contextvars
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,15 +22,48 @@ ORACLE: dict[str, str] = {}
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[key] = fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            token = _SHARED.set({})
+            try:
+                return fn(spark, sf_dir)
+            finally:
+                _SHARED.reset(token)
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
-        return fn
+        return run
     return deco
 
 
 # ----------------------------------------------------------------------- shared inputs
 
+#: Tables that the query being built has made; none outlive its building.
+_SHARED: contextvars.ContextVar = contextvars.ContextVar("patronage-shared", default=None)
+
+
+def shared(name: str, sf_dir: str, build: Callable[[], object]):
+    """What ``build`` makes, once within one query."""
+    made = _SHARED.get()
+    if made is None:
+        return build()
+    if (name, sf_dir) not in made:
+        made[name, sf_dir] = build()
+    return made[name, sf_dir]
+
+
+def data_version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder and the sizes and times of its files: what fits and sweeps, which
+    several queries use, are kept under, so that a rewritten table is fitted anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = [fs.getFileStatus(f.getPath()) for f in fs.listStatus(path) if f.getPath().getName().split(".")[0] in (
+        "lineitem", "orders", "customer", "nation")]
+    files = [f for t in tables for f in (fs.listStatus(t.getPath()) if t.isDirectory() else [t])]
+    return (spark.sparkContext.applicationId, sf_dir,
+            tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage into ``spark.checkpoint.dir`` (survives executor loss)."""
     from patronage.session import materialize as _m
@@ -45,37 +80,39 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(log(spark, sf_dir))
 
 
-_SNAPSHOT: dict = {}
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean lines' columns that customer tables are made of: the fact join of a query, written once."""
+    from patronage.operators.customers import customer_lines
+    return shared("lines", sf_dir, lambda: customer_lines(clean(spark, sf_dir)))
 
 
 def snapshot(spark: SparkSession, sf_dir: str):
     """The snapshot date (max clean InvoiceDate + 1 day) as a literal column.
 
-    Computed once per (session, data set) - one scalar, like the published
-    global - so every later plan uses a constant: no second scan of the fact
-    join per query, and time-window filters become plain predicates."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SNAPSHOT:
-        from patronage.operators.cleaning import snapshot_date
-        micros = snapshot_date(clean(spark, sf_dir)).select(
-            F.unix_micros("snapshot").alias("us")).first()["us"]
-        _SNAPSHOT[key] = micros
-    return F.timestamp_micros(F.lit(_SNAPSHOT[key]))
+    One scalar, like the published global, so later plans use a constant and
+    time windows are plain predicates; read from the written lines."""
+    from patronage.operators.cleaning import snapshot_date
+
+    def find():
+        return snapshot_date(lines(spark, sf_dir)).select(F.unix_micros("snapshot").alias("us")).first()["us"]
+    return F.timestamp_micros(F.lit(shared("snapshot", sf_dir, find)))
 
 
 def customers(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
     """The customer hub table.  With ``hub=True`` it is materialised once per
     query, so every rank, quantile and report downstream re-reads it instead
-    of re-running the scan, joins and group-by of the lines; a query that
-    only returns the table itself uses ``hub=False`` (one pass, no write)."""
+    of re-running the group-bys; a query that only returns the table itself
+    uses ``hub=False`` (no write)."""
     from patronage.operators.customers import customer_rfm
-    table = customer_rfm(clean(spark, sf_dir), snapshot(spark, sf_dir))
-    return materialize(table) if hub else table
+
+    def build():
+        return customer_rfm(lines(spark, sf_dir), snapshot(spark, sf_dir), written=True)
+    return shared("customers", sf_dir, lambda: materialize(build())) if hub else build()
 
 
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.segments import rfm_segments
-    return rfm_segments(customers(spark, sf_dir))
+    return shared("segmented", sf_dir, lambda: rfm_segments(customers(spark, sf_dir)))
 
 
 def ts_out(col: str):
@@ -89,8 +126,10 @@ from patronage.plans import q_core, q_profile  # noqa: E402,F401
 
 def features(spark: SparkSession, sf_dir: str, hub: bool = True) -> DataFrame:
     from patronage.operators.customers import customer_features
-    table = customer_features(clean(spark, sf_dir), snapshot(spark, sf_dir))
-    return materialize(table) if hub else table
+
+    def build():
+        return customer_features(lines(spark, sf_dir), snapshot(spark, sf_dir), written=True)
+    return shared("features", sf_dir, lambda: materialize(build())) if hub else build()
 
 
 def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +174,7 @@ from patronage.plans import q_clv  # noqa: E402,F401
 
 def lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.clv_prob import lifetimes_summary
-    return lifetimes_summary(clean(spark, sf_dir), snapshot(spark, sf_dir))
+    return lifetimes_summary(lines(spark, sf_dir), snapshot(spark, sf_dir))
 
 
 _PROB: dict = {}
@@ -143,13 +182,13 @@ _PROB: dict = {}
 
 def prob_fits(spark: SparkSession, sf_dir: str):
     """Summary (materialised) and the fitted BG/NBD and Gamma-Gamma
-    parameters, once per (session, data set)."""
+    parameters; the 7 numbers are kept for the session and version of the data."""
     from patronage.operators.clv_prob import bgnbd_fit, gamma_gamma_fit
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = data_version(spark, sf_dir)
+    summary = shared("summary", sf_dir, lambda: materialize(lifetimes(spark, sf_dir)))
     if key not in _PROB:
-        summary = materialize(lifetimes(spark, sf_dir))
-        _PROB[key] = (summary, bgnbd_fit(summary), gamma_gamma_fit(summary))
-    return _PROB[key]
+        _PROB[key] = (bgnbd_fit(summary), gamma_gamma_fit(summary))
+    return (summary, *_PROB[key])
 
 
 def prob_model(spark: SparkSession, sf_dir: str):
@@ -157,7 +196,7 @@ def prob_model(spark: SparkSession, sf_dir: str):
     run once)."""
     from patronage.operators.clv_prob import probabilistic_clv
     summary, bg, gg = prob_fits(spark, sf_dir)
-    scored = materialize(probabilistic_clv(summary, bg, gg))
+    scored = shared("scored", sf_dir, lambda: materialize(probabilistic_clv(summary, bg, gg)))
     return summary, bg, gg, scored
 
 
@@ -166,7 +205,7 @@ from patronage.plans import q_prob  # noqa: E402,F401
 
 def quartile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from patronage.operators.clustering import rfm_quartile_clusters
-    return rfm_quartile_clusters(customers(spark, sf_dir))
+    return shared("quartile_clusters", sf_dir, lambda: rfm_quartile_clusters(customers(spark, sf_dir)))
 
 
 def clusters_with_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,4 +225,4 @@ def ml_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from patronage.plans import q_ml  # noqa: E402,F401
-from patronage.plans import q_extra  # noqa: E402,F401
+from patronage.plans import q_extra, q_sources  # noqa: E402,F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from patronage.operators import clustering as K
 from patronage.operators import segments as S
 from patronage.plans import oracle_sql as O
-from patronage.plans.catalog import (clusters_with_segments, customers, quartile_clusters, register,
+from patronage.plans.catalog import (clusters_with_segments, customers, data_version, quartile_clusters, register,
                                      segmented)
 
 
@@ -127,11 +127,11 @@ _SWEEP: dict = {}
 
 def _sweep(spark, sf):
     """k = 2..10, 10 starts each (published settings), once per session and
-    data set; the result is a 9-row table."""
-    key = (spark.sparkContext.applicationId, sf)
+    version of the data; the result is a 9-row table."""
+    key = data_version(spark, sf)
     if key not in _SWEEP:
-        _SWEEP[key] = K.kmeans_sweep(customers(spark, sf)).cache()
-    return _SWEEP[key]
+        _SWEEP[key] = [tuple(r) for r in K.kmeans_sweep(customers(spark, sf)).collect()]
+    return spark.createDataFrame(_SWEEP[key], "k int, wcss double, silhouette double")
 
 
 @register("J2_kmeans_sweep")
@@ -141,8 +141,7 @@ def j2(spark, sf):
 
 @register("J4_silhouette")
 def j4(spark, sf):
-    return K.silhouette(K.kmeans_segments(customers(spark, sf)).join(
-        K.scaled_vectors(customers(spark, sf)).select("CustomerID", "features"), "CustomerID"))
+    return K.silhouette(K.kmeans_segments(customers(spark, sf), keep_features=True))
 
 
 @register("J7_best_k")

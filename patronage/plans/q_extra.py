@@ -70,8 +70,8 @@ def a6(spark, sf):
 SELECT CustomerID, Monetary, row_number() OVER (ORDER BY monetary_cents, CustomerID) AS rank FROM cust""",
                                               ["cust"]))
 def f2(spark, sf):
-    return BN.rank_first(customers(spark, sf), "monetary_cents", out="rank").select(
-        "CustomerID", "Monetary", "rank")
+    c = customers(spark, sf).select("CustomerID", "Monetary", "monetary_cents")
+    return BN.rank_first(c, "monetary_cents", out="rank").select("CustomerID", "Monetary", "rank")
 
 
 @register("F5_top20_historical", O.compose("""

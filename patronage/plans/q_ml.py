@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from patronage.operators import clv_ml as M
 from patronage.operators.outputs import driver_label, metric_trends
 from patronage.plans import oracle_sql as O
-from patronage.plans.catalog import ml_data, register
+from patronage.plans.catalog import data_version, lines, materialize, ml_data, register, snapshot
+from patronage.session import new_folder
+from patronage.sources import append_run, read_runs
 
 DS_OUT = ["CustomerID", *M.ML_FEATURES, M.TARGET, "is_train"]
 
@@ -61,13 +63,14 @@ _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    """Train the six models once per (session, data set); the fitted models
-    are small driver objects, the metrics a DataFrame."""
-    key = (spark.sparkContext.applicationId, sf)
+    """Train the six models once per session and version of the data; the
+    fitted models are driver objects, the metrics six rows."""
+    key = data_version(spark, sf)
     if key not in _TRAINED:
         metrics, models = M.train_models(ml_data(spark, sf))
-        _TRAINED[key] = (metrics.cache(), models)
-    return _TRAINED[key]
+        _TRAINED[key] = ([tuple(r) for r in metrics.collect()], models)
+    rows, models = _TRAINED[key]
+    return spark.createDataFrame(rows, "model string, mae double, rmse double, r2 double").orderBy(F.col("r2").desc()), models
 
 
 @register("J15_model_metrics")
@@ -99,8 +102,80 @@ def j17(spark, sf):
         .withColumn("model", F.lit(best))
 
 
-@register("E31_metric_trends")
+def run_history(spark, sf):
+    """Five evaluation runs appended to a history: in run i two fixed predictors are measured on the i-th fifth
+    of the customers (by the split's hash)."""
+    d = _baseline(spark, sf).withColumn("recent", F.col("TotalMonetary") / F.col("TransactionCount"))
+    long = d.select(F.floor(M.split_bucket() / 20).cast("int").alias("fold"), M.TARGET, F.inline(F.array(
+        F.struct(F.lit("daily_average").alias("model"), F.col("baseline_90d").alias("prediction")),
+        F.struct(F.lit("last_basket").alias("model"), F.col("recent").alias("prediction")))))
+    metrics = materialize(M.regression_metrics(long, by=["fold", "model"]))
+    path = new_folder(spark, "history")
+    for fold in range(5):
+        append_run(metrics.where(F.col("fold") == fold), path, f"fold-{fold}")
+    append_run(metrics.where("fold = 0"), path, "fold-0")  # a retried run counts once
+    return read_runs(spark, path)
+
+
+_RUNS_SQL = """
+SELECT (CAST('0x' || substr(md5(CAST(CustomerID AS VARCHAR)), 1, 8) AS BIGINT) % 100) // 20 AS fold, model, Actual_Future_Spend AS y,
+  CASE model WHEN 'daily_average' THEN baseline_90d ELSE TotalMonetary / TransactionCount END AS p
+FROM mlds, (VALUES ('daily_average'), ('last_basket')) v(model)"""
+_METRICS_SQL = f"""
+SELECT fold, model, avg(abs(p - y)) AS mae, sqrt(avg((p - y) * (p - y))) AS rmse,
+  1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(y)) AS r2 FROM ({_RUNS_SQL}) GROUP BY 1, 2"""
+
+
+@register("A5_run_history", O.compose(
+    f"SELECT 'fold-' || fold AS run_id, model, mae, rmse, r2 FROM ({_METRICS_SQL})", ["mlds"]))
+def a5(spark, sf):
+    return run_history(spark, sf).select("run_id", "model", "mae", "rmse", "r2")
+
+
+@register("E31_metric_trends", O.compose("SELECT model, " + ", ".join(
+    f"{O.np_round_sql(f'avg({m})', 4)} AS {m}_mean, {O.np_round_sql(f'stddev_samp({m})', 4)} AS {m}_std"
+    for m in ("mae", "rmse", "r2")) + f" FROM ({_METRICS_SQL}) GROUP BY model", ["mlds"]))
 def e31(spark, sf):
-    metrics, _ = M.train_models(ml_data(spark, sf), ["Linear Regression", "Ridge Regression",
-                                                      "Gradient Boosting"])
-    return metric_trends(metrics)
+    return metric_trends(run_history(spark, sf))
+
+
+@register("G17_driver_labels_of_correlations", O.compose("WITH c AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, coalesce(abs(corr({f}, Actual_Future_Spend)), 0.0) AS importance FROM mlds" for f in M.ML_FEATURES)
+    + """), t AS (SELECT feature, round(importance, 9) AS importance FROM c ORDER BY round(importance, 9) DESC, feature LIMIT 5)
+SELECT feature, importance, CASE WHEN contains(feature, 'TotalMonetary') THEN 'High total historical spend'
+  WHEN contains(feature, 'TransactionCount') THEN 'High purchase frequency'
+  WHEN contains(feature, 'AvgTransactionValue') THEN 'High average transaction value'
+  WHEN contains(feature, 'Recency') THEN 'Recent purchases (low recency)'
+  WHEN contains(feature, 'Day_') THEN 'Frequent purchases on ' || ['Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday'][CAST(string_split(feature, '_')[2] AS INT) + 1]
+  WHEN contains(feature, 'Hour_') THEN 'Frequent purchases at ' || string_split(feature, '_')[2] || ':00' END AS driver
+FROM t""", ["mlds"]))
+def g17c(spark, sf):
+    """Labels of the five features that correlate most with the target, in place of a model's importances."""
+    d = ml_data(spark, sf)
+    wide = d.agg(*[F.coalesce(F.abs(F.corr(f, M.TARGET)), F.lit(0.0)).alias(f) for f in M.ML_FEATURES])
+    imp = wide.unpivot([], M.ML_FEATURES, "feature", "importance").withColumn("importance", F.round("importance", 9))
+    return imp.orderBy(F.col("importance").desc(), "feature").limit(5).select(
+        "feature", "importance", driver_label(F.col("feature")).alias("driver"))
+
+
+_CUT_FEAT = ["PurchaseCount", "TotalMonetary", "TotalQuantity", "UniqueProducts", "TransactionCount", "CustomerLifespan",
+             "Recency", "Day_0_Purchases", "Hour_9_Purchases", "Recent90DaySpend", "Recent90DayTransactions", M.TARGET]
+
+
+@register("J8_features_before_cutoff", O.compose("""
+WITH k AS (SELECT snapshot - INTERVAL 90 DAY AS cut FROM snap),
+ past AS (SELECT c.*, cut FROM clean c, k WHERE InvoiceDate < cut),
+ later AS (SELECT CustomerID, sum(spend_cents) AS y FROM clean, k WHERE InvoiceDate > cut AND InvoiceDate <= cut + INTERVAL 90 DAY GROUP BY 1),
+ f AS (SELECT CustomerID, count(*) AS PurchaseCount, CAST(sum(spend_cents) AS BIGINT) / 100.0 AS TotalMonetary,
+   CAST(sum(Quantity) AS BIGINT) AS TotalQuantity, count(DISTINCT StockCode) AS UniqueProducts, count(DISTINCT InvoiceNo) AS TransactionCount,
+   (epoch_us(max(InvoiceDate)) - epoch_us(min(InvoiceDate))) // 86400000000 + 1 AS CustomerLifespan,
+   (epoch_us(max(cut)) - epoch_us(max(InvoiceDate))) // 86400000000 AS Recency,
+   count(*) FILTER (WHERE Weekday = 0) AS Day_0_Purchases, count(*) FILTER (WHERE Hour = 9) AS Hour_9_Purchases,
+   CAST(coalesce(sum(spend_cents) FILTER (WHERE InvoiceDate >= cut - INTERVAL 90 DAY), 0) AS BIGINT) / 100.0 AS Recent90DaySpend,
+   count(DISTINCT InvoiceNo) FILTER (WHERE InvoiceDate >= cut - INTERVAL 90 DAY) AS Recent90DayTransactions FROM past GROUP BY 1)
+SELECT f.*, CAST(coalesce(y, 0) AS BIGINT) / 100.0 AS Actual_Future_Spend FROM f LEFT JOIN later USING (CustomerID)""", ["clean", "snap"]))
+def j8cut(spark, sf):
+    """Features strictly before the cutoff (90 days before the snapshot), target strictly after it."""
+    from patronage.operators.customers import customer_features
+    cut = snapshot(spark, sf) - F.make_dt_interval(F.lit(90))
+    return customer_features(lines(spark, sf), cutoff=cut, written=True).select("CustomerID", *_CUT_FEAT)

@@ -133,11 +133,11 @@ def d9b(spark, sf):
 
 
 def _fixed_scores(spark, sf):
-    rep = P.repeat_customers(lifetimes(spark, sf))
+    """The 90-day scores under the published parameters, made once."""
     x, tx, T = F.col("frequency"), F.col("recency"), F.col("T")
-    return rep.select("CustomerID", "monetary_value",
-                      P.p_alive(x, tx, T, BG).alias("probability_alive"),
-                      P.expected_purchases(F.lit(90.0), x, tx, T, BG).alias("predicted_purchases_90d"))
+    return materialize(P.repeat_customers(lifetimes(spark, sf)).select(
+        "CustomerID", "monetary_value", P.p_alive(x, tx, T, BG).alias("probability_alive"),
+        P.expected_purchases(F.lit(90.0), x, tx, T, BG).alias("predicted_purchases_90d")))
 
 
 _FIXED_Q = f"""
@@ -177,3 +177,93 @@ SELECT segment, count(*) AS customers,
 FROM q GROUP BY segment""", ["lt"]))
 def e28f(spark, sf):
     return P.quadrant_summary(P.bgnbd_quadrants(_fixed_scores(spark, sf)))
+
+
+# ------------------------------------------------------- all scores under the published parameters
+
+def _ep(t) -> str:
+    return O.expected_purchases_sql(*BG.as_tuple(), float(t), terms=2000)
+
+
+_RATE = 1.1 ** (1.0 / 12.0) - 1.0
+_SCORED = f"""
+SELECT CustomerID, frequency, recency, T, monetary_value, v AS predicted_avg_value, probability_alive,
+  {", ".join(f"p{h} AS predicted_purchases_{h}d, p{h} * v AS CLV_{h}d" for h in (30, 90, 365))}
+FROM (SELECT *, {O.gg_value_sql(*GG.as_tuple())} AS v, {O.p_alive_sql(*BG.as_tuple())} AS probability_alive,
+  {", ".join(f"{_ep(h)} AS p{h}" for h in (30, 90, 365))} FROM lt WHERE frequency > 0)"""
+_TIERED = f"""
+SELECT s.*, CASE WHEN CLV_365d <= lo THEN 'Low' WHEN CLV_365d <= hi THEN 'Medium' ELSE 'High' END AS CLV_Tier_Prob
+FROM ({_SCORED}) s, (SELECT quantile_cont(CLV_365d, 1.0 / 3) AS lo, quantile_cont(CLV_365d, 2.0 / 3) AS hi FROM ({_SCORED})) q"""
+FIXED_OUT = [c for c in PROB_OUT if c != "CLV_3y_discounted"]
+
+
+def _published(spark, sf, discount=False):
+    return P.probabilistic_clv(lifetimes(spark, sf), BG, GG, discount=discount)
+
+
+@register("H10_probabilistic_clv_fixed", O.compose(f"SELECT {', '.join(FIXED_OUT)} FROM ({_TIERED})", ["lt"]))
+def h10f(spark, sf):
+    return _published(spark, sf).select(*FIXED_OUT)
+
+
+@register("H11_discounted_clv_fixed", O.compose(f"""
+WITH rep AS (SELECT *, {O.gg_value_sql(*GG.as_tuple())} AS v FROM lt WHERE frequency > 0),
+ per AS (SELECT CustomerID, m, {O.expected_purchases_sql(*BG.as_tuple(), '(30.0 * m)', terms=2000)} * v / pow({1.0 + _RATE!r}, m) AS x
+         FROM rep, range(1, 37) r(m))
+SELECT CustomerID, sum(x) AS CLV_3y_discounted FROM per GROUP BY 1""", ["lt"]))
+def h11f(spark, sf):
+    return _published(spark, sf, discount=True).select("CustomerID", "CLV_3y_discounted")
+
+
+@register("H12_prob_tier_counts_fixed", O.compose(f"""
+SELECT CLV_Tier_Prob, count(*) AS customers, avg(CLV_365d) AS avg_clv FROM ({_TIERED}) GROUP BY 1""", ["lt"]))
+def h12f(spark, sf):
+    return _published(spark, sf).groupBy("CLV_Tier_Prob").agg(
+        F.count(F.lit(1)).alias("customers"), F.avg("CLV_365d").alias("avg_clv"))
+
+
+@register("H13_expected_transactions_fixed", O.compose(f"""
+SELECT sum(predicted_purchases_90d) AS expected_transactions_90d, avg(probability_alive) AS mean_probability_alive
+FROM ({_SCORED})""", ["lt"]))
+def h13f(spark, sf):
+    return P.expected_transactions(_published(spark, sf))
+
+
+@register("E29_horizon_totals_fixed", O.compose(f"WITH s AS ({_SCORED}) " + " UNION ALL ".join(
+    f"SELECT 'CLV_{h}d' AS measure, sum(CLV_{h}d) AS total, avg(CLV_{h}d) AS mean, quantile_cont(CLV_{h}d, 0.5) AS median FROM s"
+    for h in (30, 90, 365)), ["lt"]))
+def e29f(spark, sf):
+    return P.horizon_totals(_published(spark, sf))
+
+
+@register("G10_segment_actions_fixed", O.compose(f"""
+SELECT segment, count(*) AS customers, CASE WHEN contains(segment, 'High Potential') THEN 'Invest in retention, offer loyalty rewards'
+  WHEN contains(segment, 'At Risk') THEN 'Win-back campaigns, special offers'
+  WHEN contains(segment, 'Loyal Low Spender') THEN 'Upsell opportunities, product recommendations' END AS action
+FROM ({_FIXED_Q}) GROUP BY segment""", ["lt"]))
+def g10f(spark, sf):
+    from patronage.operators.outputs import segment_action
+    q = P.bgnbd_quadrants(_fixed_scores(spark, sf))
+    return q.groupBy("segment").agg(F.count(F.lit(1)).alias("customers")).withColumn("action", segment_action(F.col("segment")))
+
+
+@register("D9_scoring_grid_fixed", O.compose(f"""
+WITH t AS (SELECT avg(T) AS T FROM lt WHERE frequency > 0),
+g AS (SELECT CAST(floor(range / 13) * 5 AS BIGINT) AS frequency, CAST((range % 13) * 30 AS DOUBLE) AS recency, T FROM range(143), t)
+SELECT frequency, recency, T, CASE WHEN recency < T THEN {O.p_alive_sql(*BG.as_tuple())} ELSE 0.0 END AS probability_alive,
+  CASE WHEN recency < T THEN {_ep(90)} ELSE 0.0 END AS predicted_purchases FROM g""", ["lt"]))
+def d9f(spark, sf):
+    return P.scoring_grid(lifetimes(spark, sf), BG)
+
+
+def _gg_ll_sql(p, q, v, x="CAST(frequency AS DOUBLE)", m="monetary_value") -> str:
+    return (f"(lgamma({p} * {x} + {q}) - lgamma({p} * {x}) - lgamma({q}) + {q} * ln({v}) + ({p} * {x} - 1) * ln({m}) "
+            f"+ {p} * {x} * ln({x}) - ({p} * {x} + {q}) * ln({x} * {m} + {v}))")
+
+
+@register("H6_gamma_gamma_loglik_fixed", O.compose(
+    f"SELECT count(*) AS customers, sum({_gg_ll_sql(*GG.as_tuple())}) AS loglik FROM lt WHERE frequency > 0 AND monetary_value > 0", ["lt"]))
+def h6ll(spark, sf):
+    rep = P.repeat_customers(lifetimes(spark, sf)).where("monetary_value > 0")
+    return rep.agg(F.count(F.lit(1)).alias("customers"), F.sum(P.gamma_gamma_loglik(
+        F.col("frequency"), F.col("monetary_value"), *GG.as_tuple())).alias("loglik"))

@@ -8,8 +8,11 @@ known before the distributed rank is used.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -101,6 +104,59 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+_SCOPES: contextvars.ContextVar = contextvars.ContextVar("patronage-folders", default=())
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path under the checkpoint directory.  It is deleted when the driver's JVM
+    ends, or earlier by the :func:`scope` that it was asked for in."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patronage-{name}-{uuid.uuid4().hex}"
+    for folders in _SCOPES.get()[-1:]:
+        folders.append(path)
+    return path
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, jpath = _filesystem(spark, path)
+    fs.deleteOnExit(jpath)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Delete the intermediate tables made inside when the block ends::
+
+        with scope(spark) as keep:
+            result = keep(materialize(query(spark, path)))
+
+    Nothing that still reads them may be used afterwards, but for the tables
+    passed to ``keep`` (results of :func:`materialize`), which the surrounding
+    scope takes over."""
+    folders: list[str] = []
+    kept: list[str] = []
+
+    def keep(df):
+        files = df.inputFiles()
+        kept.extend(p for p in folders if any(os.path.basename(p) in f for f in files))
+        return df
+
+    token = _SCOPES.set((*_SCOPES.get(), folders))
+    try:
+        yield keep
+    finally:
+        _SCOPES.reset(token)
+        for outer in _SCOPES.get()[-1:]:
+            outer.extend(kept)
+        for path in folders:
+            if path not in kept:
+                fs, jpath = _filesystem(spark, path)
+                fs.delete(jpath, True)
+
+
 def materialize(df, name: str = "stage", partition_by: str | None = None):
     """Cut lineage: write ``df`` as Parquet under the checkpoint directory and
     read it back.
@@ -108,14 +164,14 @@ def materialize(df, name: str = "stage", partition_by: str | None = None):
     One job (a reliable RDD checkpoint computes its input twice unless it is
     also cached), columnar storage, and the re-read supports column pruning
     and filter pushdown.  The folder is the shared ``spark.checkpoint.dir``
-    on a cluster, so the result survives the loss of any executor.
+    on a cluster, so the result survives the loss of any executor; it goes when
+    the application ends, or with its :func:`scope`.
     """
-    import uuid
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/patronage-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    _delete_at_exit(spark, path)
     # a partition column is inferred and an empty partitioned table has no file: the schema is given
     return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
 
