@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patronage.functions.ordering import global_row_number
 from patronage.session import materialize
 
-__all__ = ["collect_bounded", "components", "crc_mod", "keep_ids", "load", "materialize", "word_hashes", "mix64",
+__all__ = ["collect_bounded", "components", "crc_mod", "keep_ids", "keyed", "load", "materialize", "word_hashes", "mix64",
            "ALNUM_SEPARATORS", "SPACE_SEPARATORS"]
 
 #: Most rows of an id table that are broadcast (8 bytes each); beyond it the
@@ -42,6 +43,25 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ROW
     return df.join(ids, key, "left_semi")
 
 
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "__key") -> DataFrame:
+    """``docs`` with a key that names a row's id and text: the id itself, or, for all but one of the texts
+    that share an id, a number above all ids.  NULL for a NULL id; the same in every call on the same rows.
+
+    Ids of several texts are looked for among (id, hash) pairs; where there are none, no text moves."""
+    number = F.col(id_col).cast("long")
+    pairs = docs.select(number.alias("id"), F.xxhash64(text_col).alias("h")).where("id is not null")
+    several = materialize(pairs.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most"))
+                          .where("least <> most"), "shared-ids")
+    if several.isEmpty():
+        return docs.withColumn(key, number)
+    top = pairs.agg(F.max("id")).first()[0]
+    others = pairs.join(several, "id").where("h <> least").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    others = global_row_number(others, ["__id", "__h"], "__rank")
+    same = (number == F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    return (docs.join(others, same, "left").withColumn(key, F.coalesce(F.col("__rank") + F.lit(top), number))
+            .drop("__id", "__h", "__rank"))
+
+
 # -- word hashing ---------------------------------------------------------
 
 _U = np.uint64

@@ -2,9 +2,10 @@
 
 1. Seeds: the minimizers (smallest hash of each ``WINDOW`` successive k-mers) of
    a text's words.  Any run of K + WINDOW - 1 equal words shares one.
-2. Each place of a seed is joined with the seed's first document and with the
-   document before it in order of id: two partners a place, so a passage in n
-   documents gives about 2 n pairs, not n squared.
+2. Each place of a seed is joined with the seed's first document, with the
+   document before it in order of id, and with the document that has the longest
+   stretch of shared seeds there: three partners a place, so a passage in n
+   documents gives about 3 n pairs, not n squared.
 3. The matches of two documents are chained in order, with gap costs, by dynamic
    programming over a Fenwick tree.
 4. Gaps and ends of a chain are aligned word by word.  Chains of ``min_words``
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEPARATORS, keep_ids, materialize, run_hashes, shingle_hashes, word_hashes
+from .common import ALNUM_SEPARATORS, keep_ids, keyed, materialize, run_hashes, shingle_hashes, word_hashes
 
 K, WINDOW, MAX_GAP = 8, 16, 24
 REACH = K + WINDOW
@@ -181,25 +182,55 @@ def _seeds(min_words: int):
 
 
 _CHAIN = "doc long, partner long, s int, e int, ps int, pe int, covered int, gaps array<array<int>>"
+_CHAIN_KINDS = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.list_(pa.list_(pa.int32()))]
+_CHAIN_NAMES = [c.split()[0] for c in _CHAIN.split(", ")]
+
+
+def plain_chains(doc: np.ndarray, partner: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray,
+                 k: int = K, max_gap: int = MAX_GAP) -> list[pa.Array]:
+    """Columns of ``_CHAIN`` for pairs whose matches all keep one distance, for all pairs at once; ``first`` marks
+    each pair's first row.  The same chains and gaps as :func:`chains` and :func:`gaps_of` give."""
+    step = np.diff(x, prepend=x[:1])
+    begin = np.flatnonzero(first | (step > k + max_gap))
+    last = np.append(begin[1:], len(x)) - 1
+    inner = np.ones(len(x), dtype=bool)
+    inner[begin] = False
+    covered = k + np.add.reduceat(np.where(inner, np.minimum(step, k), 0), begin)
+    gap = inner & (step > k)
+    at = np.flatnonzero(gap)
+    ranges = np.stack([x[at - 1] + k, x[at], y[at - 1] + k, y[at]], axis=1).astype(np.int32) if len(at) else np.zeros((0, 4), np.int32)
+    per_chain = np.concatenate([[0], np.cumsum(np.add.reduceat(gap.astype(np.int64), begin))])
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(at) + 1, 4, dtype=np.int32)), pa.array(ranges.ravel()))
+    gaps = pa.ListArray.from_arrays(pa.array(per_chain.astype(np.int32)), pairs)
+    numbers = [doc[begin], partner[begin], x[begin], x[last] + k, y[begin], y[last] + k, covered]
+    return [*[pa.array(c).cast(t) for c, t in zip(numbers, _CHAIN_KINDS[:-1], strict=True)], gaps]
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by document, partner, place; a pair is chained when its last row is in."""
 
-    def found(cols: list[np.ndarray], out: list) -> None:
+    def found(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         doc, partner, pos, ppos = cols
-        cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (partner[1:] != partner[:-1])) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(doc)]]), strict=True):
+        first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (partner[1:] != partner[:-1])])
+        pair = np.cumsum(first) - 1
+        dx, dy = np.diff(pos, prepend=pos[:1]), np.diff(ppos, prepend=ppos[:1])
+        odd = np.bincount(pair, ~first & ((dx <= 0) | (dx != dy))) > 0
+        plain = ~odd[pair]
+        if plain.any():
+            yield pa.RecordBatch.from_arrays(plain_chains(doc[plain], partner[plain], pos[plain], ppos[plain], first[plain]),
+                                             names=_CHAIN_NAMES)
+        begin = np.append(np.flatnonzero(first), len(doc))
+        out: list = []
+        for i in np.flatnonzero(odd).tolist():
+            a, b = begin[i], begin[i + 1]
             x, y = pos[a:b], ppos[a:b]
             for c in chains(x, y):
                 covered, gaps = gaps_of(x[c], y[c])
                 out.append((int(doc[a]), int(partner[a]), int(x[c[0]]), int(x[c[-1]]) + K, int(y[c[0]]),
                             int(y[c[-1]]) + K, covered, [list(g) for g in gaps]))
-
-    def table(out: list) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 2 + [pa.int32()] * 5 + [pa.list_(pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                          names=[c.split()[0] for c in _CHAIN.split(", ")])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), _CHAIN_KINDS, strict=True)],
+                                             names=_CHAIN_NAMES)
 
     held = None
     for batch in batches:
@@ -212,35 +243,89 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
         held = [c[last:] for c in cols]
         if last:
-            out: list = []
-            found([c[:last] for c in cols], out)
-            if out:
-                yield table(out)
+            yield from found([c[:last] for c in cols])
     if held is not None and len(held[0]):
-        out = []
-        found(held, out)
-        yield table(out)
+        yield from found(held)
 
 
 _PASSAGE = ("doc_id long, start_word int, end_word int, partner_id long, partner_start int, partner_end int, "
             "n_equal int, identity double")
+_PASSAGE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 3, pa.float64()]
+
+
+def extensions(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`extension` of the rows of two matrices, each row of ``size`` words."""
+    inside = np.arange(a.shape[1])[None, :] < size[:, None]
+    equal = (a == b) & inside
+    score = np.cumsum(np.where(equal, 1, -2), axis=1)
+    top = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+    stopped = np.cumsum(score < top - 6, axis=1) > 0
+    score = np.where(inside & ~stopped, score, -(1 << 20))
+    at = score.argmax(axis=1)
+    rows = np.arange(len(a))
+    good = score[rows, at] > 0
+    return np.where(good, at + 1, 0), np.where(good, np.cumsum(equal, axis=1)[rows, at], 0)
+
+
+class _Stretches:
+    """The word lists of a batch of chains: per chain the words before, in each gap and after."""
+
+    def __init__(self, column: pa.Array):
+        self.outer = column.offsets.to_numpy().astype(np.int64)
+        inner = column.values
+        self.edge = inner.offsets.to_numpy().astype(np.int64)
+        self.words = inner.values.to_numpy(zero_copy_only=False)
+
+    def ends(self, at: np.ndarray, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(n, REACH) words of the lists ``at``, read from their end or beginning, and their lengths."""
+        first, end = self.edge[at], self.edge[at + 1]
+        step = np.arange(REACH)
+        index = end[:, None] - 1 - step if backwards else first[:, None] + step
+        return self.words[np.clip(index, 0, max(len(self.words) - 1, 0))] if len(self.words) else np.zeros(index.shape, np.int32), \
+            np.minimum(end - first, REACH)
+
+
+def _equal_words(a: _Stretches, b: _Stretches, at: np.ndarray) -> np.ndarray:
+    """Equal words of an alignment of each pair of lists; equal lists are compared all at once."""
+    sa, sb = a.edge[at + 1] - a.edge[at], b.edge[at + 1] - b.edge[at]
+    out = np.zeros(len(at), dtype=np.int64)
+    same = np.flatnonzero((sa == sb) & (sa > 0))
+    differ = np.flatnonzero((sa != sb) & (sa > 0) & (sb > 0)).tolist()
+    if len(same):
+        n = sa[same]
+        start = np.concatenate([[0], np.cumsum(n)[:-1]])
+        offset = np.arange(int(n.sum())) - np.repeat(start, n)
+        unlike = a.words[np.repeat(a.edge[at[same]], n) + offset] != b.words[np.repeat(b.edge[at[same]], n) + offset]
+        wrong = np.add.reduceat(unlike.astype(np.int64), start) > 0
+        out[same[~wrong]] = n[~wrong]
+        differ += same[wrong].tolist()
+    for i in differ:
+        out[i] = aligned(a.words[a.edge[at[i]]:a.edge[at[i] + 1]].tolist(), b.words[b.edge[at[i]]:b.edge[at[i] + 1]].tolist())
+    return out
 
 
 def _align(min_words: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, partner, s, e, ps, pe, covered, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, left_equal = extension(a[0][::-1], b[0][::-1])
-                right, right_equal = extension(a[-1], b[-1])
-                equal = covered + left_equal + right_equal + sum(map(aligned, a[1:-1], b[1:-1]))
-                start, end, p_start, p_end = s - left, e + right, ps - left, pe + right
-                size = max(end - start, p_end - p_start)
-                if end - start >= min_words and equal >= identity * size:
-                    rows.append((doc, start, end, partner, p_start, p_end, equal, equal / size))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 3, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)],
+            if not batch.num_rows:
+                continue
+            doc, partner, s, e, ps, pe, covered = (batch.column(i).to_numpy().astype(np.int64) for i in range(7))
+            a, b = _Stretches(batch.column(7)), _Stretches(batch.column(8))
+            before, after = a.outer[:-1], a.outer[1:] - 1
+            (la, na), (lb, nb) = a.ends(before, True), b.ends(before, True)
+            left, left_equal = extensions(la, lb, np.minimum(na, nb))
+            (ra, na), (rb, nb) = a.ends(after, False), b.ends(after, False)
+            right, right_equal = extensions(ra, rb, np.minimum(na, nb))
+            row = np.repeat(np.arange(len(doc)), np.diff(a.outer))
+            gap = np.arange(a.outer[0], a.outer[-1])
+            mid = (gap != before[row]) & (gap != after[row])
+            gaps = np.bincount(row[mid], _equal_words(a, b, gap[mid]), minlength=len(doc)).astype(np.int64)
+            equal = covered + left_equal + right_equal + gaps
+            start, end, p_start, p_end = s - left, e + right, ps - left, pe + right
+            size = np.maximum(end - start, p_end - p_start)
+            good = (end - start >= min_words) & (equal >= identity * size)
+            cols = [doc, start, end, partner, p_start, p_end, equal, equal / np.maximum(size, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[good]).cast(t) for c, t in zip(cols, _PASSAGE_KINDS, strict=True)],
                                              names=[c.split()[0] for c in _PASSAGE.split(", ")])
     return run
 
@@ -299,6 +384,29 @@ def documents_before(places: DataFrame) -> DataFrame:
     return few.union(across.select(cols)).where("partner is not null and partner <> lead").drop("lead")
 
 
+def longest_holders(places: DataFrame) -> DataFrame:
+    """(doc, partner, pos, ppos): each place of a seed with the document that has the longest stretch of shared
+    seeds around the seed, where that is longer than the first document's by more than ``K`` words.
+
+    Where documents hold parts of a passage, a seed's first and previous documents may be such parts; one that
+    has all of it has the longest stretch."""
+    along = Window.partitionBy("doc").orderBy("pos")
+    apart = (F.col("pos") - F.lag("pos").over(along) > K + MAX_GAP).cast("int")
+    numbered = places.select("seed", "doc", "pos", "lead", F.sum(F.coalesce(apart, F.lit(0))).over(along).alias("part"))
+    part = Window.partitionBy("doc", "part")
+    spans = materialize(numbered.withColumn("span", F.max("pos").over(part) - F.min("pos").over(part)).drop("part"), "stretches")
+    best = (spans.groupBy("seed")
+            .agg(F.max(F.struct("span", (-F.col("doc")).alias("d"), (-F.col("pos")).alias("p"))).alias("best"),
+                 F.max(F.when(F.col("doc") == F.col("lead"), F.col("span"))).alias("own"))
+            .where(F.col("best.span") > F.col("own") + K)
+            .select("seed", (-F.col("best.d")).alias("held"), (-F.col("best.p")).alias("at")))
+    met = spans.select("seed", "doc", "pos").join(best, "seed").where("doc <> held")
+    later = F.col("doc") > F.col("held")
+    return met.select(F.greatest("doc", "held").alias("doc"), F.least("doc", "held").alias("partner"),
+                      F.when(later, F.col("pos")).otherwise(F.col("at")).alias("pos"),
+                      F.when(later, F.col("at")).otherwise(F.col("pos")).alias("ppos"))
+
+
 def exact_repeats(d: DataFrame, places: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
     """Passages for every run of ``min_words`` words that an earlier document has too and that no
     passage of ``found`` covers; the partner is the run's first document.
@@ -339,21 +447,26 @@ def exact_repeats(d: DataFrame, places: DataFrame, found: DataFrame, min_words:
 
 def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """(doc_id, start_word, end_word, partner_id, partner_start, partner_end, n_equal, identity): words of a
-    document that repeat words of a document with a smaller id.
-
-    The first document of a passage appears as a partner alone.  NULL and empty texts and texts under
-    eight words have no passage; rows with a NULL id cannot be named and take no part; rows that share an
-    id are one document, aligned by its smallest word list; other columns are ignored; an empty table gives none."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
+    """(doc_id, start_word, end_word, partner_id, partner_start, partner_end, n_equal, identity, doc_key): words
+    of a document that repeat words of a document with a smaller id.
+
+    A document is a distinct pair of id and text, repeated rows are one; ``doc_key`` names it
+    (:func:`~.common.keyed`).  Of the texts that share an id one has the id as its key and the others come
+    after all ids.  The first document of a passage appears as a partner alone.  NULL and empty texts and texts
+    under eight words have no passage; rows with a NULL id cannot be named and take no part; other columns are
+    ignored; an empty table gives none."""
+    named = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), "id")
+    d = named.select(F.col("__key").alias("doc"), "text")
     seeds = materialize(d.mapInArrow(_seeds(min_words), "seed long, doc long, pos int, ctx long, stop int"), "seeds")
-    shared = (seeds.groupBy("seed").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count("*").alias("c"))
-              .where("lead <> last").select("seed", "lead", "c"))
+    shared = (seeds.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last"),
+                                        F.count("*").alias("c"))
+              .where("first.doc <> last").select("seed", F.col("first.doc").alias("lead"), F.col("first.pos").alias("lead_pos"), "c"))
     places = materialize(seeds.join(shared, "seed"), "places")
-    lead = places.where("doc = lead").groupBy("seed").agg(F.min("pos").alias("ppos"))
-    first = places.where("doc <> lead").join(lead, "seed").select("doc", F.col("lead").alias("partner"), "pos", "ppos")
-    links = first.union(documents_before(places))
-    chained = (links.repartition("doc", "partner").sortWithinPartitions("doc", "partner", "pos", "ppos")
+    first = places.where("doc <> lead").select("doc", F.col("lead").alias("partner"), "pos", F.col("lead_pos").alias("ppos"))
+    links = first.union(documents_before(places)).union(longest_holders(places))
+    # a stated number of partitions, so that they are not merged by size: chaining is work per row, not per byte
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chained = (links.repartition(tasks, "doc", "partner").sortWithinPartitions("doc", "partner", "pos", "ppos")
                .mapInArrow(_chain, _CHAIN))
     chained = materialize(chained.where(F.col("e") - F.col("s") + 2 * REACH >= min_words), "chains")
 
@@ -378,13 +491,21 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     theirs = stretches("partner", "ps", "pe", 2, 3).drop("covered").withColumnRenamed("parts", "b")
     found = materialize(mine.join(theirs, key).select(*key, "covered", "a", "b").distinct()
                         .mapInArrow(_align(min_words, identity), _PASSAGE), "passages")
-    return found.union(exact_repeats(d, places, found, min_words))
+    every = found.union(exact_repeats(d, places, found, min_words)).withColumn("doc_key", F.col("doc_id"))
+    other = named.where("__key <> id").select("__key", "id").distinct()  # empty but for ids of several texts
+    if other.isEmpty():
+        return every
+    for c in ("doc_id", "partner_id"):
+        name = other.select(F.col("__key").alias(c), F.col("id").alias("__id"))
+        every = every.join(name, c, "left").withColumn(c, F.coalesce("__id", c)).drop("__id")
+    return every.select(*[c.split()[0] for c in _PASSAGE.split(", ")], "doc_key")
 
 
 def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the words of their passages, which stay in the partner of the smallest id.
-    A document that has nothing else is dropped; the others keep their columns."""
-    spans = (found.groupBy(F.col("doc_id").alias("__id"))
+    """``docs`` without the words of their passages (``found`` is :func:`passages` of the same rows), which stay
+    in the partner of the smallest id.  Only the text that has a passage is cut, not the other texts of its
+    id.  A document that has nothing else is dropped; the others keep their columns."""
+    spans = (found.groupBy(F.col("doc_key").alias("__id"))
              .agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans")))
     spans = materialize(spans, "spans")
 
@@ -392,7 +513,7 @@ def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     def without(texts, spans):
         return type(texts)([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
+    joined = keyed(docs, id_col, text_col).join(spans, F.col("__key") == F.col("__id"), "left")
     hit = F.col("__spans").isNotNull()
     kept = joined.withColumn("__new", F.when(hit, without(F.col(text_col), F.col("__spans"))))
     kept = kept.where(~hit | (F.col("__new") != ""))
