@@ -75,9 +75,11 @@ class PositionalIndex:
         terms = self.phrase_terms(phrases)
         rare = materialize(terms.where(F.col("rank") <= rarest), "rare-terms")
         start = (F.col("pos") - F.col("off")).alias("start")
+        # terms met, not rows: a repeated document has each of its postings several times
+        met = (F.when(F.min("off") == F.max("off"), 1).otherwise(2) if rarest <= 2 else F.size(F.collect_set("off")))
         seeds = (self.postings.join(_small(rare), "term_id").where("pos >= off")
-                 .select(*DOC, start, "wid", "size")
-                 .groupBy(*DOC, "start", "wid", "size").agg(F.count("*").alias("n"))
+                 .select(*DOC, start, "wid", "size", "off")
+                 .groupBy(*DOC, "start", "wid", "size").agg(met.alias("n"))
                  .where(F.col("n") == F.least(F.col("size"), F.lit(rarest))).drop("n"))
         seeds = materialize(seeds, "seeds")
         rest = terms.where(F.col("rank") > rarest).select("wid", "off", "term_id")
@@ -88,7 +90,8 @@ class PositionalIndex:
             _small(hot).alias("d"), F.expr("p.doc_id <=> d.doc_id and p.h = d.h"), "left_semi")
         checked = (wanted.alias("a").join(
             near.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.h = b.h and a.pos = b.pos and a.term_id = b.term_id"))
-            .select("a.doc_id", "a.h", "a.start", "a.wid").groupBy(*DOC, "start", "wid").agg(F.count("*").alias("n")))
+            .select("a.doc_id", "a.h", "a.start", "a.wid", "a.pos").distinct()
+            .groupBy(*DOC, "start", "wid").agg(F.count("*").alias("n")))
         complete = seeds.where(F.col("size") <= rarest).select(*DOC, "start", "wid", "size")
         longer = seeds.where(F.col("size") > rarest).alias("s").join(checked.alias("c"), F.expr(
             "s.doc_id <=> c.doc_id and s.h = c.h and s.start = c.start and s.wid = c.wid and c.n = s.size - "
@@ -114,15 +117,15 @@ class PositionalIndex:
 
 def windows(items: DataFrame, n: int, item_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Distinct windows (wid, words) of ``n`` consecutive item words (all words of a
-    shorter item) and the items (wid, item) that have them.  Items without words or
-    with a NULL id have none."""
+    shorter item) and the items (wid, item) that have them.  Items without words have
+    none; rows with a NULL id are one item, NULL here."""
     t = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
-    t = t.where("item is not null and size(w) > 0")
+    t = t.where("size(w) > 0")
     every = t.select("item", F.explode(F.expr(
         f"transform(sequence(0, greatest(size(w) - {n}, 0)), i -> slice(w, i + 1, {n}))")).alias("words"))
-    found = every.groupBy("words").agg(F.collect_set("item").alias("items"))
+    found = every.groupBy("words").agg(F.collect_set(F.struct("item")).alias("items"))
     found = materialize(found.withColumn("wid", F.monotonically_increasing_id()), "windows")
-    return found.select("wid", "words"), found.select("wid", F.explode("items").alias("item"))
+    return found.select("wid", "words"), found.select("wid", F.explode("items.item").alias("item"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text",
@@ -132,7 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     One row per distinct pair of id and text (repeated rows give one; a NULL id
     is an id like others).  NULL or empty text has no words.  ``n_hit`` counts
     the words inside any occurrence of an item's window, ``n_items`` the items
-    with an occurring window.  Other columns are ignored; without items nothing
+    with an occurring window; items with a NULL id hit like others, count as one and
+    have no name in the digest.  Repeated items count once.  Other columns are ignored; without items nothing
     is hit; an empty table gives an empty one.
     """
     win, owners = windows(items, n, item_col, item_text_col)
@@ -145,14 +149,14 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str =
     covered = (spans.withColumn("upto", F.coalesce(F.max(end).over(earlier), F.lit(0)))
                .groupBy(*DOC).agg(F.sum(F.greatest(F.lit(0), end - F.greatest("start", "upto"))).alias("n_hit")))
     named = (found.select(*DOC, "wid").distinct().join(owners, "wid").groupBy(*DOC)
-             .agg(F.array_sort(F.collect_set("item")).alias("items")))
+             .agg(F.array_sort(F.collect_set("item")).alias("items"), F.max(F.col("item").isNull().cast("int")).alias("unnamed")))
     base = corpus(docs, id_col, text_col)
     none = F.lit(None)
     count = F.regexp_count(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(_WORD)).cast("long")
     rows = (base.select(*DOC, count.alias("n_words"), none.cast("long").alias("n_hit"),
                         none.cast("long").alias("n_items"), none.cast("string").alias("sha"))
             .union(covered.select(*DOC, none, "n_hit", none, none))
-            .union(named.select(*DOC, none, none, F.size("items").cast("long"),
+            .union(named.select(*DOC, none, none, (F.size("items") + F.col("unnamed")).cast("long"),
                                 F.sha2(F.array_join("items", ","), 256))))
     out = rows.groupBy(*DOC).agg(F.max("n_words").alias("n_words"),
                                  F.coalesce(F.max("n_hit"), F.lit(0)).alias("n_hit"),
