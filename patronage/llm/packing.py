@@ -15,6 +15,7 @@ depends on C alone, do not fill a bin: they are packed first-fit decreasing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -34,9 +35,15 @@ def tiktoken_path() -> str:
 
 
 class Encoder:
-    """Ids of the byte_bpe_50k vocabulary.  The ranks file holds the vocabulary
-    of the .json file and gives the same ids (see tests), several times faster;
-    special strings in a text become their id, as in the .json library."""
+    """Ids of the byte_bpe_50k vocabulary, as the .json file's library gives them.
+
+    The ranks file holds the same vocabulary and gives the same ids (see tests),
+    several times faster; special strings in a text become their id in both.  Its
+    splitting pattern tracks back over runs of white space and gives up on very long
+    ones, so texts with a run of ``RUN`` white-space characters, and any text on which it gives up,
+    go through the .json library."""
+
+    RUN = 100_000
 
     def __init__(self, path: str, special: dict[str, int]):
         import base64
@@ -48,8 +55,20 @@ class Encoder:
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens=special)
 
+        self.long_run = re.compile(r"\s{%d}" % self.RUN)
+        self.library = None
+
     def __call__(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all")
+        if len(text) < self.RUN or not self.long_run.search(text):
+            try:
+                return self.encoding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # the pattern gave up
+                pass
+        if self.library is None:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+            self.library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut(n: int, capacity: int, slack: float = 1 / 128, least: int = 32) -> list[tuple[int, int]]:
