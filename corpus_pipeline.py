@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import decontaminate, jaccard_join, packing, substring, toxicity
-from patronage.llm.common import load, materialize
+from patronage.llm.common import keyed, load, materialize
+from patronage.session import scope
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Documents whose id is not in ``ids`` (rows with a NULL id stay)."""
-    gone = materialize(ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct(), name)
+def _without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of a ``keyed`` table whose key is not in ``keys`` (rows without a key stay)."""
+    gone = materialize(keys.select(F.col("doc_id").alias("__gone")).where("__gone is not null").distinct(), name)
     if gone.limit(1_000_001).count() <= 1_000_000:  # 8 bytes a row; beyond it the join shuffles
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    return docs.join(gone, F.col("__key") == F.col("__gone"), "left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the segment search predicts as toxic; learnt from all labels."""
+    """Drop the rows whose text the segment search predicts as toxic; learnt from all labels.  Each row is
+    judged by its own text: NULL and empty texts are not toxic, repeated rows and rows that share an id stand or
+    fall by themselves, and without labels of both classes none goes."""
     all_docs = load(spark, sf_dir, "documents")
     model = toxicity.train(all_docs, load(spark, sf_dir, "labels"), F.lit(True))
     score = toxicity.score_udf(spark, model)
@@ -28,28 +31,35 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component at Jaccard 0.8 on 5-word shingles, keep the document with the smallest id.
-    Repeated rows of an id give one; rows with a NULL id cannot be named and stay."""
-    found = materialize(jaccard_join.jaccard_components(docs, k=5, num=80, den=100), "components")
-    kept = _without(docs, found.where("doc_id <> component_id"), "copies")
+
+    A document is an id and a text: of the texts that share an id only the copies go.  Rows equal in both
+    give one; NULL and empty texts are no copies of each other; rows with a NULL id cannot be named and stay."""
+    rows = keyed(docs)
+    found = materialize(jaccard_join.jaccard_components(rows, k=5, num=80, den=100, id_col="__key"), "components")
+    kept = _without(rows, found.where("doc_id <> component_id"), "copies")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.union(kept.where("doc_id is null"))
-    return kept
+        named = kept.where("__key is not null").dropDuplicates(["__key"])
+        kept = named.union(kept.where("__key is null"))
+    return kept.select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 50 words or more that a document with a smaller id has."""
+    """Cut passages of 50 words or more that an earlier document has, from the text that has them alone.
+    NULL, empty and short texts and rows with a NULL id stay as they are; a text of which nothing is left goes."""
     return substring.cut_repeats(docs, substring.passages(docs, min_words=50))
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold 10 consecutive words of a benchmark item."""
-    found = decontaminate.contamination(docs, load(spark, sf_dir, "benchmark"), n=10)
-    return _without(docs, found.where("contaminated"), "contaminated")
+    """Drop the documents (id and text) that hold 10 consecutive words of a benchmark item.  NULL and empty
+    texts hold none; rows with a NULL id cannot be named and stay; without items none goes."""
+    rows = keyed(docs)
+    found = decontaminate.contamination(rows, load(spark, sf_dir, "benchmark"), n=10, id_col="__key")
+    return _without(rows, found.where("contaminated"), "contaminated").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, one row per piece."""
+    """Sequences of at most 2048 tokens, one row per piece; every row is a document of its own, NULL and empty
+    texts give the end id alone."""
     return packing.pack(docs, capacity=2048)
 
 
@@ -61,8 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each one's result is written and read again."""
+    """Apply the stages to ``documents``; each one's result is written and read again, and its intermediate
+    tables are deleted then."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scope(spark) as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
