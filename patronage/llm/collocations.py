@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64
+from .common import bounded_batches, materialize, mix64
 
 _U = np.uint64
 #: A-Z lower case, tabs blank, separators of pieces a line feed.
@@ -55,7 +55,7 @@ def tokens(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
         at = cut if cut >= 0 else len(data)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 2 * BLOCK) -> Iterator[tuple[str, bytes]]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tuple[str, bytes]]:
     """(lang, texts) of about ``size`` bytes or one longer text; texts are separate pieces."""
     held: dict[str, list[bytes]] = {}
     filled: dict[str, int] = {}
@@ -380,6 +380,7 @@ def phrases(docs: DataFrame, min_count: int = 10, max_candidates: int = 1_000_00
     Every row counts, repeated ones too; NULL text is empty, a NULL language is ``und``; phrases do not reach
     across ``. , ; : ! ?`` and line ends; other columns are ignored; an empty table gives empty ones."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
                         F.col(text_col).cast("binary").alias("text")).where("text is not null")
     words = materialize(texts.mapInArrow(_count_words, "lang string, word binary, key long, n long")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from patronage.functions.ordering import global_row_number
 from patronage.session import materialize
 
-__all__ = ["collect_bounded", "components", "crc_mod", "keep_ids", "keyed", "load", "materialize", "word_hashes", "mix64",
+__all__ = ["bounded_batches", "collect_bounded", "components", "crc_mod", "keep_ids", "keyed", "load", "materialize", "word_hashes", "mix64",
            "ALNUM_SEPARATORS", "SPACE_SEPARATORS"]
 
 #: Most rows of an id table that are broadcast (8 bytes each); beyond it the
@@ -23,6 +23,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Let this session send at most about ``limit`` bytes (and one more row) to a Python worker at a time.
+    Rows are whole texts here, so a batch counted in rows has no useful bound."""
+    held = spark.conf.get(_BATCH)
+    if not held.rstrip("b").isdigit() or int(held.rstrip("b")) > limit:
+        spark.conf.set(_BATCH, str(limit))
+
+
 def collect_bounded(df: DataFrame):
     """A table of bounded size as pandas, sent as Arrow whatever the session's settings."""
     return df.toArrow().to_pandas()
