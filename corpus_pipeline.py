@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import decontaminate, jaccard_join, packing, substring, toxicity
-from patronage.llm.common import keyed, load, materialize
+from patronage.llm.common import bounded_batches, keyed, load, materialize
 from patronage.session import scope
 
 
@@ -63,8 +65,18 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, capacity=2048)
 
 
-STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("substring_dedup", repeated_passages),
-          ("decontamination", contaminated), ("packing", packed)]
+def _stage(function):
+    """A stage whose texts reach the Python workers in batches of bounded size."""
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return function(spark, docs, sf_dir)
+    return run
+
+
+STAGES = [("toxicity", _stage(toxic)), ("near_duplicates", _stage(near_duplicates)),
+          ("substring_dedup", _stage(repeated_passages)), ("decontamination", _stage(contaminated)),
+          ("packing", _stage(packed))]
 
 #: Model scores, shingle components and tokenizers are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
