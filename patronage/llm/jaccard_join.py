@@ -46,7 +46,7 @@ from .common import (
 )
 
 HEAVY = 1 << 18
-_LOCAL, _LOCAL_COUNT = 2_000_000, 2
+_LOCAL, _LOCAL_COUNT = 1_000_000, 2
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:

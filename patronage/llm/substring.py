@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -509,18 +510,28 @@ def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
              .agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans")))
     spans = materialize(spans, "spans")
 
-    @F.pandas_udf("string")
-    def without(texts, spans):
-        return type(texts)([cut_words(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
-
     joined = keyed(docs, id_col, text_col).join(spans, F.col("__key") == F.col("__id"), "left")
-    hit = F.col("__spans").isNotNull()
-    kept = joined.withColumn("__new", F.when(hit, without(F.col(text_col), F.col("__spans"))))
-    kept = kept.where(~hit | (F.col("__new") != ""))
-    cols = [F.when(hit, F.col("__new")).otherwise(F.col(c)).alias(c) if c == text_col
-            else F.when(hit, F.length("__new").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars"
-            else F.col(c) for c in docs.columns]
-    return kept.select(cols)
+    text_at = docs.columns.index(text_col)
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(i) for i in range(len(docs_names))]
+            hit = batch.column(len(cols)).is_valid()
+            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            if len(at):
+                new = [cut_words(cols[text_at][i].as_py(), batch.column(len(cols))[i].as_py()) for i in at.tolist()]
+                cols[text_at] = pc.replace_with_mask(cols[text_at], hit, pa.array(new, cols[text_at].type))
+                if size_at is not None:
+                    cols[size_at] = pc.replace_with_mask(cols[size_at], hit, pa.array([len(t) for t in new]).cast(cols[size_at].type))
+                left = np.ones(batch.num_rows, dtype=bool)
+                left[at] = [t != "" for t in new]
+                yield pa.RecordBatch.from_arrays(cols, names=docs_names).filter(pa.array(left))
+            else:
+                yield pa.RecordBatch.from_arrays(cols, names=docs_names)
+
+    docs_names = docs.columns
+    return joined.select(*docs_names, "__spans").mapInArrow(cut, docs.schema)
 
 
 def cut_words(text: str | None, spans) -> str | None:

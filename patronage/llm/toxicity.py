@@ -254,13 +254,14 @@ def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_00
     rate = ((toxic + prior * base) / (toxic + clean + prior))[seen].astype(np.float64)
     s = np.log(rate / (1 - rate)) - math.log(base / (1 - base)) - drift
     model.lam = _lambda(s, clean[seen].astype(np.float64))
-    evidence = _evidence_udf(spark, model)
+    shared = spark.sparkContext.broadcast(model)
     # one text an id, so that the sample bounds the rows: of several the one with the smallest hash
     calibrating = d.join(F.broadcast(sample.where("part = 1")), "id").withColumn("h", F.xxhash64("text"))
     chosen = calibrating.groupBy("id").agg(F.min("h").alias("h"))
-    held = collect_bounded(calibrating.join(chosen, ["id", "h"]).dropDuplicates(["id"]).select("id", "toxic", evidence("text").alias("e"))
-                           .select("id", "toxic", "e.n_words", "e.raw"))
-    held = held[held["n_words"] > 0].copy()  # in a plan, this filter would run the UDF below the join, on every text
+    calibrating = calibrating.join(chosen, ["id", "h"]).dropDuplicates(["id"]).select("id", "toxic", "text")
+    kind = calibrating.schema["id"].dataType.simpleString()
+    held = collect_bounded(calibrating.mapInArrow(_evidence(shared), f"id {kind}, toxic int, n_words long, raw array<double>"))
+    held = held[held["n_words"] > 0].copy()
     held["best"] = [max(r, default=0.0) for r in held["raw"]]
     held = held.sort_values(["id", "n_words", "best"], kind="stable")
     calm = held[held["toxic"] == 0]
@@ -273,17 +274,38 @@ def train(docs: DataFrame, labels: DataFrame, train_ids, max_labels: int = 30_00
     return model
 
 
-def _evidence_udf(spark, model: ToxicModel):
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("n_words long, raw array<double>")
-    def evidence(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _evidence(shared):
+    """mapInArrow function: (id, toxic, text) -> (id, toxic, n_words, raw)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for part in parts:
-            found = [scorer.segments(t) for t in part]
-            yield pd.DataFrame({"n_words": [n for n, _ in found], "raw": [[x[3] for x in segs] for _, segs in found]})
+        for batch in batches:
+            found = [scorer.segments(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()),
+                 pa.array([[x[3] for x in segs] for _, segs in found], pa.list_(pa.float64()))],
+                names=["id", "toxic", "n_words", "raw"])
 
-    return evidence
+    return run
+
+
+def without_toxic(docs: DataFrame, model: ToxicModel | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores less than ``least``, all columns as they are; all of them without a
+    model.  The same scores as :func:`score_documents`, for a filter that needs them for nothing else."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            keep = []
+            for text in batch.column(at):
+                n, found = scorer.segments(text.as_py())
+                keep.append(scorer.probability(features_of(n, [x[3] for x in found], scorer.model.log_k)) < least)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score_udf(spark, model: ToxicModel | None):

@@ -178,3 +178,16 @@ def test_repeated_ids_are_one_calibration_row(spark):
     assert a is not None and held.count() == held.select("id").distinct().count()
     b = toxicity.train(again, labels, F.lit(True))
     assert b is not None and np.isfinite(b.weights).all()
+
+
+def test_filter_by_score_equals_the_scores(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["vile", "nasty", "awful"] if i % 2 else ["kind", "calm", "nice"]) for _ in range(12)), i) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (200, None, 1), (None, "", 2), (3, rows[3][1], 3)], "doc_id long, text string, score int").repartition(3)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True))
+    scored = toxicity.score_documents(docs, model)
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in scored.where("score < 0.5").collect())
+    assert 0 < kept.count() < 203 and toxicity.without_toxic(docs, None).count() == 203
