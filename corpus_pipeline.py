@@ -26,9 +26,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fall by themselves, and without labels of both classes none goes."""
     all_docs = load(spark, sf_dir, "documents")
     model = toxicity.train(all_docs, load(spark, sf_dir, "labels"), F.lit(True))
-    score = toxicity.score_udf(spark, model)
-    scored = docs.withColumn("__score", score("text")["score"])
-    return scored.where("__score < 0.5").select(docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
