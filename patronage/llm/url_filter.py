@@ -6,23 +6,27 @@ and so on until a level lets nothing wrong through.  The parity of the first
 level that a key fails tells whether it is listed, exactly, for every key of
 the universe the cascade was built on.
 
-A level is an array of 64-bit words that the plan reads as one scalar value, so
-membership is an expression per row: no join, no Python.  The levels together
-take about two ``bits_per_key`` for each listed key, whatever the corpus's
-size.  That is checked against ``max_words`` before a level is built; a list
-beyond it raises, to be split by a hash of the key into several cascades.
+A level is an array of 64-bit words that the plan reads as one scalar value; a
+key sets and tests ``HASHES`` bits of one word, so membership is one lookup a
+level: no join, no Python.  A level takes ``bits_per_key`` for each of its keys:
+the listed ones at level 0, the wrongly passed ones (a few per cent of the
+universe) at level 1.  Its words are checked against ``max_words`` before it is
+built.  :func:`judge` splits keys by a hash into as many cascades as that asks
+for and applies them one after the other, so no list is too long for it.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 HASHES = 4
+#: Most words (8 bytes each) of a level.
+MAX_WORDS = 1 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -35,33 +39,37 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 # -- cascade --------------------------------------------------------------
 
-def _positions(key: Column, level: int, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+class TooManyWords(ValueError):
+    """A level would need more words than it may have."""
+
+
+def words_for(count: int, bits_per_key: int) -> int:
+    return -(-max(count, 8) * bits_per_key // 64)
 
 
 class Level:
-    """One Bloom filter: its number, its bits and the table of its words."""
+    """One Bloom filter: its number and the table of its words."""
 
-    def __init__(self, keys: DataFrame, number: int, count: int, bits_per_key: int, max_words: int):
+    def __init__(self, keys: DataFrame, number: int, n_words: int):
         spark = keys.sparkSession
-        self.number = number
-        self.n_words = -(-max(count, 8) * bits_per_key // 64)
-        if self.n_words > max_words:
-            raise ValueError(f"{count} keys need {self.n_words} words, more than max_words={max_words}: "
-                             "split the list by a hash of the key")
-        self.bits = self.n_words * 64
-        at = keys.select(F.explode(F.array(*_positions(F.col("key"), number, self.bits))).alias("at"))
-        word = at.groupBy((F.col("at") / 64).cast("long").alias("id")).agg(
-            F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("word"))
-        self.words = materialize(spark.range(self.n_words).join(word, "id", "left").select(
+        self.number, self.n_words = number, n_words
+        at, mask = self._place(F.col("key"))
+        word = keys.select(at.alias("id"), mask.alias("mask")).groupBy("id").agg(F.bit_or("mask").alias("word"))
+        self.words = materialize(spark.range(n_words).join(word, "id", "left").select(
             "id", F.coalesce("word", F.lit(0)).alias("word")), "bloom")
 
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        """The key's word and its bits there; both from one hash, of other bits."""
+        h = F.xxhash64(key, F.lit(self.number))
+        bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+                for i in range(HASHES)]
+        return F.pmod(F.shiftright(h, 6 * HASHES), F.lit(self.n_words)), reduce(Column.bitwiseOR, bits)
+
     def passes(self, key: Column) -> Column:
         every = F.transform(F.sort_array(F.collect_list(F.struct("id", "word"))), lambda x: x["word"])
         words = self.words.agg(every.alias("words")).scalar()
-        return reduce(Column.__and__, [
-            F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1
-            for p in _positions(key, self.number, self.bits)])
+        at, mask = self._place(key)
+        return F.element_at(words, (at + 1).cast("int")).bitwiseAND(mask) == mask
 
 
 class Cascade:
@@ -70,7 +78,7 @@ class Cascade:
     list holds nothing."""
 
     def __init__(self, universe: DataFrame, listed: DataFrame, bits_per_key: int = 10,
-                 max_words: int = 1 << 20, max_levels: int = 64):
+                 max_words: int = MAX_WORDS, max_levels: int = 64):
         keys = (universe.select("key", F.lit(0).alias("listed"))
                 .union(listed.select("key", F.lit(1).alias("listed")))
                 .where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")))
@@ -80,7 +88,11 @@ class Cascade:
         while (count := sides[0].count()) or not self.levels:
             if len(self.levels) >= max_levels:
                 raise RuntimeError(f"the cascade has not ended after {max_levels} levels")
-            level = Level(sides[0], len(self.levels), count, bits_per_key, max_words)
+            n_words = words_for(count, bits_per_key)
+            if n_words > max_words:
+                raise TooManyWords(f"{count} keys need {n_words} words, more than max_words={max_words}: "
+                                   "split the list by a hash of the key")
+            level = Level(sides[0], len(self.levels), n_words)
             self.levels.append(level)
             wrong = materialize(sides[1].where(level.passes(F.col("key"))), "wrong")
             sides = [wrong, sides[0]]
@@ -90,58 +102,104 @@ class Cascade:
         out = F.lit(len(self.levels) % 2 == 1)
         for level in reversed(self.levels):
             out = F.when(level.passes(key), out).otherwise(F.lit(level.number % 2 == 1))
-        return F.coalesce(out, F.lit(False))
+        return F.when(key.isNull(), F.lit(False)).otherwise(F.coalesce(out, F.lit(False)))
 
 
 # -- URL rules ------------------------------------------------------------
 
-def _shape(rule: str) -> tuple[int, int]:
-    host, slash, path = rule.partition("/")
-    return host.count(".") + 1, len(slash + path)
-
-
-def candidate_keys(host: Column, path: Column, rules: list[str], max_shapes: int = 64) -> Column:
-    """Array of the keys under which a rule may list the URL: its host's last
-    labels and its path's first characters, in the numbers that rules have
-    (the longest key first)."""
-    shapes = sorted({_shape(r) for r in rules})
-    if len(shapes) > max_shapes:
-        raise ValueError(f"the rules have {len(shapes)} shapes, more than max_shapes={max_shapes}")
-    labels = F.size(F.split(host, r"\."))
-    keys = [F.when((labels >= n) & (F.length(path) >= m) & (host != ""),
-                   F.concat(F.substring_index(host, ".", -n), F.substring(path, 1, m))) for n, m in shapes]
-    every = F.array_compact(F.array(*keys)) if keys else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(every), lambda a, b: F.length(b) - F.length(a))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow", id_col: str = "page_id",
-          url_col: str = "url") -> DataFrame:
+def _rules(spark: SparkSession, rules: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(key, blocked, suffix, labels, chars), one row per rule: its host, the host's number of labels and the
+    number of characters of its path."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "verdict string, rule string")
+    host = F.substring_index("key", "/", 1)
+    return materialize(
+        rules.select(F.col("rule").alias("key"), (F.col("verdict") == "block").alias("blocked")).where("key is not null")
+        .groupBy("key").agg(F.coalesce(F.max("blocked"), F.lit(False)).alias("blocked"))
+        .select("key", "blocked", host.alias("suffix"), F.size(F.split(host, r"\.")).alias("labels"),
+                (F.length("key") - F.length(host)).alias("chars")), "rules")
+
+
+def _candidates(pages: DataFrame, hosts: Level, labels: list[int], chars: list[int]) -> DataFrame:
+    """Each page's row without a key, and one for every key under which a rule may list it: the last ``labels``
+    of its host (if a rule may have that host) with the first ``chars`` of its path."""
+    host, path = F.col("host"), F.col("path")
+    fitting = F.filter(F.lit(labels), lambda n: (n <= F.size(F.split(host, r"\."))) & (host != ""))
+    rows = pages.withColumn("n", F.explode(F.array_append(fitting, F.lit(None).cast("int"))))
+    rows = rows.withColumn("suffix", F.call_function("substring_index", host, F.lit("."), -F.col("n")))
+    rows = rows.where(F.col("n").isNull() | hosts.passes(F.col("suffix")))
+    starts = F.filter(F.lit(chars), lambda m: m <= F.length(path))
+    rows = rows.withColumn("m", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(None).cast("int"))).otherwise(starts)))
+    return rows.withColumn("key", F.concat("suffix", path.substr(F.lit(1), F.col("m")))).drop("suffix", "m")
+
+
+def _hits(rows: DataFrame, universe: DataFrame, rules: DataFrame, bits_per_key: int, max_words: int) -> DataFrame:
+    """``rows`` without the keys that are no rule; ``code`` orders a page's rules: by length, then by the number
+    of host labels; its last bit is set for a blocked rule, and it is 0 without a key."""
+    listed = Cascade(universe, rules.select("key"), bits_per_key, max_words)
+    blocked = Cascade(rules.select("key"), rules.where("blocked").select("key"), bits_per_key, max_words)
+    key = F.col("key")
+    code = (F.shiftleft(F.length(key).cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 1))
+            .bitwiseOR(blocked.contains(key).cast("long")))
+    return rows.where(key.isNull() | listed.contains(key)).withColumn("code", F.coalesce(code, F.lit(0))).drop("key", "n")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, default: str = "allow", id_col: str = "page_id",
+          url_col: str = "url", bits_per_key: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
     """(id, host, path, rule, verdict), one row per input row.
 
-    ``rules`` are (verdict, host/path) pairs; a rule fits its host and all
-    subdomains if the path starts with the rule's; the longest rule wins, of two
-    verdicts for one rule ``block``.  A URL that no cascade lists gets
-    ``default``.  NULL urls and urls without ``://`` have empty host and path
-    and fit no rule; NULL ids and repeated rows are kept; other columns are
-    ignored; an empty table gives an empty one.
+    ``rules`` are (verdict, host/path) pairs, or a table of them with columns
+    ``verdict`` and ``rule``, of any number and any shapes.  A rule fits its host
+    and all subdomains if the path starts with the rule's; the longest rule
+    wins, of equally long ones the one whose host has more labels, of two
+    verdicts for one rule ``block``.  A URL that no rule lists gets ``default``.
+    NULL urls and urls without ``://`` have empty host and path and fit no rule,
+    NULL rules fit nothing; NULL ids and repeated rows are kept; other columns
+    are ignored; an empty table gives an empty one.
+
+    One cascade serves as long as its levels have at most ``max_words``.  Beyond
+    that keys are split by a hash into twice as many cascades until all fit; each
+    is applied to its own keys, which are written once, in a job of its own.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    p = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    names = [r for _, r in rules]
-    keys = candidate_keys(F.col("host"), F.col("path"), names)
-    universe = p.select(F.explode(keys).alias("key")).distinct()
-    universe = materialize(universe, "keys")
-
-    def cascade(verdict: str) -> Cascade:
-        listed = [(r,) for v, r in rules if v == verdict]
-        return Cascade(universe, spark.createDataFrame(listed, "key string"))
-
-    allow, block = cascade("allow"), cascade("block")
-    # one membership test for each shape of key, the longest key first
-    tries = [F.get("keys", i) for i in range(len({_shape(r) for r in names}))]
-    hits = [F.when(allow.contains(k) | block.contains(k), k) for k in tries]
-    rule = F.coalesce(*hits, F.lit(None).cast("string"))
-    out = p.withColumn("keys", keys).select(id_col, "host", "path", rule.alias("rule"))
-    return out.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default))
-                          .when(block.contains(F.col("rule")), F.lit("block")).otherwise(F.lit("allow")))
+    p = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    rules = _rules(spark, rules)
+    shapes = rules.agg(F.count("key"), F.collect_set("labels"), F.collect_set("chars")).first()
+    if not shapes[0]:
+        return p.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # only keeps the universe small, so more wrong hosts from a full filter cost time alone
+    hosts = Level(rules.select(F.col("suffix").alias("key")), -1, min(words_for(shapes[0], bits_per_key), max_words))
+    rows = _candidates(p, hosts, sorted(shapes[1]), sorted(shapes[2]))
+    universe = materialize(rows.select("key").where("key is not null").distinct(), "keys")
+    parts = -(-words_for(shapes[0], bits_per_key) // max_words)
+    while True:
+        try:
+            hits = _apply(rows, universe, rules, parts, bits_per_key, max_words)
+            break
+        except TooManyWords:
+            parts *= 2
+    best = hits.groupBy("row", id_col, "host", "path").agg(F.max("code").alias("code"))
+    suffix = F.call_function("substring_index", F.col("host"), F.lit("."),
+                             -F.shiftright("code", 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    start = F.col("path").substr(F.lit(1), F.shiftright("code", 32).cast("int") - F.length(suffix))
+    return best.select(
+        id_col, "host", "path", F.when(F.col("code") > 0, F.concat(suffix, start)).alias("rule"),
+        F.when(F.col("code") == 0, F.lit(default)).when(F.col("code").bitwiseAND(F.lit(1)) == 1, F.lit("block"))
+        .otherwise(F.lit("allow")).alias("verdict"))
+
+
+def _apply(rows: DataFrame, universe: DataFrame, rules: DataFrame, parts: int, bits_per_key: int, max_words: int) -> DataFrame:
+    """:func:`_hits` of all rows, with ``parts`` cascades one after the other."""
+    if parts == 1:
+        return _hits(rows, universe, rules, bits_per_key, max_words)
+
+    def split(df: DataFrame, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int")
+        return materialize(df.withColumn("part", F.when(F.col("key").isNull(), 0).otherwise(part)), name, partition_by="part")
+
+    rules, universe = split(rules, "rules"), split(universe, "keys")
+    rows = split(rows, "candidates")
+    found = [materialize(_hits(*(x.where(F.col("part") == i).drop("part") for x in (rows, universe, rules)),
+                               bits_per_key, max_words), "hits") for i in range(parts)]
+    return reduce(DataFrame.union, found)

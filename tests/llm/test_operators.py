@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
 import pytest
@@ -267,6 +268,49 @@ def test_url_rules_and_cascade(spark):
         url_filter.Cascade(universe, universe, max_words=3)
 
 
+def _judged(url, rules, default="allow"):
+    """(rule, verdict) by trying every rule."""
+    rest = (url or "").partition("://")[2] if "://" in (url or "") else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host):])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = []
+    for verdict, rule in rules:
+        own = rule.partition("/")[0]
+        if host and (host == own or host.endswith("." + own)) and path.startswith(rule[len(own):]):
+            fits.append((len(rule), own.count("."), verdict == "block", rule))
+    return (max(fits)[3], "block" if max(fits)[2] else "allow") if fits else (None, default)
+
+
+@pytest.mark.parametrize("max_words", [1 << 20, 40])
+def test_url_rules_of_many_shapes(spark, max_words):
+    rng = random.Random(7)
+    names = ["a", "bb", "c-c", "é", "org", "com", "x"]
+
+    def some(least, most):
+        host = ".".join(rng.choice(names) for _ in range(rng.randint(least, most)))
+        return host, "/" * rng.randint(0, 1) + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 30)))
+    rules = []
+    for _ in range(300):
+        host, path = some(1, 5)
+        rules.append((rng.choice(["allow", "block"]), host + ("/" + path if path else "")))
+    rules += [("allow", "com/ab"), ("block", "a.com/"), ("allow", "x.org/t"), ("block", "x.org/t"), ("block", "")]
+    assert len({(r.partition("/")[0].count("."), len(r.partition("/")[2])) for _, r in rules}) > 64
+    urls = [None, "", "://", "http://a.com/abz", "http://x.org/tt", "http://.", "http://a..com/", "http://" + "a." * 40000 + "com/" + "ab" * 40000]
+    for _ in range(400):
+        host, path = some(1, 6)
+        rule = rng.choice(rules)[1]
+        urls.append("http://" + rng.choice([host + path, "x." + rule + rng.choice("ab/"), rule, rule.upper(), rule + "?q"]))
+    df = spark.createDataFrame([(i % 300 if i else None, u, "k") for i, u in enumerate(urls)], "page_id long, url string, row string")
+    got = url_filter.judge(df.repartition(3), rules, default="none", max_words=max_words)
+    want = [(i % 300 if i else None, *_judged(u, rules, "none")) for i, u in enumerate(urls)]
+    assert Counter((r["page_id"], r["rule"], r["verdict"]) for r in got.collect()) == Counter(want)
+    if max_words > 40:
+        table = spark.createDataFrame([*rules, ("block", None)], "verdict string, rule string")
+        assert url_filter.judge(df, table, default="none").exceptAll(got).isEmpty()
+        assert {r["verdict"] for r in url_filter.judge(df, [], default="none").collect()} == {"none"}
+
+
 def test_language_and_toxicity(spark, docs, empty):
     rng = random.Random(9)
     en, fr = "the and house dog with river", "être chien avec maison où rivière"
