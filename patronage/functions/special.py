@@ -44,6 +44,17 @@ def lgamma_np(z):
     return _HALF_LOG_2PI + (z + 0.5) * np.log(t) - t + np.log(acc) - np.log(z)
 
 
+def digamma_np(z):
+    """Derivative of ln Gamma for z > 0: eight steps of the recurrence, then the asymptotic series."""
+    z = np.asarray(z, dtype="float64")
+    below = sum(1.0 / (z + i) for i in range(8))
+    y = z + 8.0
+    u = 1.0 / (y * y)
+    # Bernoulli numbers B(2k) / 2k
+    series = u * (1 / 12 - u * (1 / 120 - u * (1 / 252 - u * (1 / 240 - u * (1 / 132)))))
+    return np.log(y) - 0.5 / y - series - below
+
+
 def log_add_exp(a: Column, b: Column) -> Column:
     hi = F.greatest(a, b)
     return hi + F.log1p(F.exp(-F.abs(a - b)))

@@ -11,6 +11,7 @@ sums travel between the driver and the executors.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.money import amount
 from patronage.functions.ordering import quantile_table
-from patronage.functions.special import lgamma, lgamma_np, log_add_exp, scaled_hyp2f1
+from patronage.functions.special import digamma_np, lgamma, lgamma_np, log_add_exp, scaled_hyp2f1
 from patronage.operators.binning import qcut
 from patronage.operators.cleaning import spend_of, spend_scale
 from patronage.session import materialize
@@ -100,63 +101,51 @@ def gamma_gamma_loglik(x: Column, m: Column, p, q, v) -> Column:
             + px * F.log(x.cast("double")) - (px + q) * F.log(x * m + v))
 
 
-def _bfgs(fbatch, x0, h=1e-5, max_iter=300, gtol=1e-8, ftol=1e-13, max_step=5.0):
-    """Quasi-Newton minimiser where ``fbatch(points)`` returns f at many points
-    in ONE Spark job.  Each iteration sends the line-search points together
-    with the central-difference stencil around the full step, so an accepted
-    full step costs a single job; a shorter step costs one more."""
-    x = np.asarray(x0, dtype="float64")
-    d = x.size
-    eye = np.eye(d)
+#: Step lengths that one job of the fit tries at once.
+_STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)
 
-    def stencil(pt):
-        return [pt + s * h * eye[i] for i in range(d) for s in (1.0, -1.0)]
 
-    def grad(vals):
-        return np.array([(vals[2 * i] - vals[2 * i + 1]) / (2 * h) for i in range(d)])
+def _bfgs(values, x0, max_iter=300, gtol=1e-8, ftol=1e-13, flat=1e-4, max_step=5.0):
+    """Quasi-Newton minimiser; ``values(points)`` returns (f, gradient) at many points in ONE Spark job,
+    and an iteration is one job: all step lengths, each with its gradient.
 
-    vals = fbatch([x] + stencil(x))
-    f, g = vals[0], grad(vals[1:])
-    H = eye.copy()
-    steps = [1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4]
-    it = 0
+    Returns (x, f, iterations, converged): the gradient is below ``gtol``, or below ``flat`` where no step
+    lowers f by more than rounding (``ftol``).  Anything else that ends the search is not converged."""
+    x = np.asarray(x0, dtype="float64")
+    eye = np.eye(x.size)
+    f, g = values([x])[0]
+    H, it = eye.copy(), 0
     for it in range(max_iter):
-        if not np.all(np.isfinite(g)) or np.max(np.abs(g)) < gtol:
-            break
+        if not np.all(np.isfinite(g)) or not np.isfinite(f):
+            return x, f, it, False
+        if np.max(np.abs(g)) < gtol:
+            return x, f, it, True
         p = -H @ g
         if g @ p >= 0:
             H, p = eye.copy(), -g
         longest = np.max(np.abs(p))
         if longest > max_step:          # log-parameters: at most e^5 per step
             p = p * (max_step / longest)
-        vals = fbatch([x + s * p for s in steps] + stencil(x + p))
-        chosen = None
-        for s, fv in zip(steps, vals[:len(steps)]):
-            if np.isfinite(fv) and fv <= f + 1e-4 * s * (g @ p):
-                chosen = s
-                break
+        tried = zip(_STEPS, values([x + s * p for s in _STEPS]), strict=True)
+        chosen = next(((s, fv, gv) for s, (fv, gv) in tried
+                       if np.isfinite(fv) and np.all(np.isfinite(gv)) and fv <= f + 1e-4 * s * (g @ p)), None)
         if chosen is None:
-            if np.allclose(H, eye):
-                break
+            if np.array_equal(H, eye):
+                return x, f, it + 1, bool(np.max(np.abs(g)) < flat)
             H = eye.copy()
             continue
-        x_new = x + chosen * p
-        if chosen == 1.0:
-            f_new, g_new = vals[0], grad(vals[len(steps):])
-        else:
-            nv = fbatch([x_new] + stencil(x_new))
-            f_new, g_new = nv[0], grad(nv[1:])
-        sv, yv = x_new - x, g_new - g
+        step, f_new, g_new = chosen
+        sv, yv = step * p, g_new - g
         sy = sv @ yv
         if sy > 1e-12:
             rho = 1.0 / sy
             H = (eye - rho * np.outer(sv, yv)) @ H @ (eye - rho * np.outer(yv, sv)) \
                 + rho * np.outer(sv, sv)
-        converged = abs(f - f_new) <= ftol * max(1.0, abs(f))
-        x, f, g = x_new, f_new, g_new
-        if converged:
-            break
-    return x, f, it + 1
+        lowered = f - f_new
+        x, f, g = x + sv, f_new, g_new
+        if lowered <= ftol * max(1.0, abs(f)) and np.max(np.abs(g)) < flat:
+            return x, f, it + 1, True
+    return x, f, max_iter, False
 
 
 @dataclass
@@ -167,6 +156,7 @@ class BetaGeoParams:
     b: float
     loglik: float = float("nan")
     iterations: int = 0
+    converged: bool = True
 
     def as_tuple(self):
         return (self.r, self.alpha, self.a, self.b)
@@ -179,6 +169,8 @@ class GammaGammaParams:
     v: float
     loglik: float = float("nan")
     iterations: int = 0
+    converged: bool = True
+    left_out: int = 0
 
     def as_tuple(self):
         return (self.p, self.q, self.v)
@@ -206,80 +198,129 @@ def gamma_gamma_loglik_np(x, m, p, q, v):
             + (px - 1.0) * np.log(m) + px * np.log(x) - (px + q) * np.log(x * m + v))
 
 
-def _likelihood_sums(comp: DataFrame, cols: list[str], loglik, points, scale_cols=None):
-    """Sum of weighted log-likelihoods at several parameter points in one job:
-    every task evaluates its rows for all points with numpy and emits one
-    partial sum per point; Spark adds the partials."""
-    with np.errstate(over="ignore"):
-        pts = [np.exp(np.asarray(p, dtype="float64")) for p in points]
+def bgnbd_gradient_np(x, tx, T, r, alpha, a, b):
+    """Derivatives of ``bgnbd_loglik_np`` by r, alpha, a and b."""
+    repeat = x > 0
+    last = b + np.maximum(x, 1.0) - 1.0
+    a3 = -(r + x) * np.log(alpha + T)
+    a4 = np.log(a) - np.log(last) - (r + x) * np.log(alpha + tx)
+    # share of the likelihood of a customer who has left after the last purchase
+    gone = np.where(repeat, np.exp(a4 - np.logaddexp(a3, a4)), 0.0)
+    stays = 1.0 - gone
+    both = digamma_np(a + b) - digamma_np(a + b + x)
+    return (digamma_np(r + x) - digamma_np(r) + np.log(alpha)
+            - stays * np.log(alpha + T) - gone * np.log(alpha + tx),
+            r / alpha - (r + x) * (stays / (alpha + T) + gone / (alpha + tx)),
+            both + gone / a,
+            both + digamma_np(b + x) - digamma_np(b) - gone / last)
+
+
+def gamma_gamma_gradient_np(x, m, p, q, v):
+    """Derivatives of ``gamma_gamma_loglik_np`` by p, q and v."""
+    px, total = p * x, np.log(x * m + v)
+    top = digamma_np(px + q)
+    return (x * (top - digamma_np(px) + np.log(m) + np.log(x) - total),
+            top - digamma_np(q) + np.log(v) - total,
+            q / v - (px + q) / (x * m + v))
+
+
+def _objective(comp, cols, loglik, gradient, n, penalizer, scale_cols=None):
+    """``values(points)`` for :func:`_bfgs` over log-parameters: mean negative log-likelihood, with the
+    penalty, and its gradient.  Every task evaluates its rows at all points with numpy and returns one row of
+    partial sums a point; Spark adds them, so a row a point reaches the driver."""
     scale_cols = scale_cols or {}
 
-    def partial(batches):
-        acc = np.zeros(len(pts))
-        for pdf in batches:
-            args = [pdf[c].to_numpy(dtype="float64") * scale_cols.get(c, 1.0) for c in cols]
-            w = pdf["_w"].to_numpy(dtype="float64")
-            with np.errstate(all="ignore"):
-                for k, theta in enumerate(pts):
-                    acc[k] += float(np.sum(w * loglik(*args, *theta)))
-        yield pd.DataFrame({"k": np.arange(len(pts), dtype="int64"), "s": acc})
-
-    # one row per (task, point): bounded by the partition count, so the
-    # partial sums are added on the driver without another shuffle stage
-    rows = comp.select(*cols, "_w").mapInPandas(partial, "k long, s double").collect()
-    out = [0.0] * len(pts)
-    for row in rows:
-        # Arrow turns NaN into NULL: an undefined likelihood is -inf here
-        out[row["k"]] += row["s"] if row["s"] is not None else float("-inf")
-    return out
-
-
-def _objective(comp, cols, loglik, n, penalizer, scale_cols=None):
-    def fbatch(points):
-        sums = _likelihood_sums(comp, cols, loglik, points, scale_cols)
-        vals = []
-        for pt, s in zip(points, sums):
-            f = -s / n + penalizer * float(np.sum(np.exp(pt) ** 2))
-            vals.append(f if np.isfinite(f) else float("inf"))
-        return vals
-    return fbatch
-
-
-def bgnbd_fit(summary: DataFrame, include_one_time: bool = False,
-              penalizer: float = 0.0) -> BetaGeoParams:
+    def values(points):
+        with np.errstate(over="ignore"):
+            at = [np.exp(np.asarray(p, dtype="float64")) for p in points]
+        d = at[0].size
+
+        def partial(batches):
+            acc = np.zeros((len(at), d + 1))
+            for pdf in batches:
+                args = [pdf[c].to_numpy(dtype="float64") * scale_cols.get(c, 1.0) for c in cols]
+                w = pdf["_w"].to_numpy(dtype="float64")
+                with np.errstate(all="ignore"):
+                    for k, theta in enumerate(at):
+                        acc[k, 0] += np.sum(w * loglik(*args, *theta))
+                        acc[k, 1:] += [np.sum(w * part) for part in gradient(*args, *theta)]
+            # Arrow turns NaN into NULL, which sums leave out: an undefined likelihood is -inf
+            acc[~np.isfinite(acc).all(axis=1)] = -np.inf
+            yield pd.DataFrame({"k": np.arange(len(at), dtype="int64"), **{f"s{i}": acc[:, i] for i in range(d + 1)}})
+
+        sums = [f"s{i}" for i in range(d + 1)]
+        rows = (comp.select(*cols, "_w").mapInPandas(partial, "k long, " + ", ".join(f"{c} double" for c in sums))
+                .groupBy("k").agg(*[F.sum(c).alias(c) for c in sums]).collect())
+        out = [(float("inf"), np.full(d, np.nan))] * len(at)
+        for row in rows:
+            theta, total = at[row["k"]], np.array(row[1:])
+            if np.all(np.isfinite(total)):
+                with np.errstate(over="ignore"):
+                    f = -total[0] / n + penalizer * float(np.sum(theta ** 2))
+                    out[row["k"]] = (float(f), -total[1:] * theta / n + 2.0 * penalizer * theta ** 2)
+        return out
+
+    return values
+
+
+def _ended(name: str, iterations: int, converged: bool, raise_error: bool) -> None:
+    if converged:
+        return
+    said = f"the {name} fit has not converged after {iterations} iterations; its parameters are no maximum"
+    if raise_error:
+        raise RuntimeError(said)
+    warnings.warn(said, RuntimeWarning, stacklevel=3)
+
+
+def bgnbd_fit(summary: DataFrame, include_one_time: bool = False, penalizer: float = 0.0,
+              max_iter: int = 300, raise_error: bool = False) -> BetaGeoParams:
     """H5: maximum-likelihood r, alpha, a, b.
 
     Parity default fits repeat customers only (frequency > 0), as published;
     ``include_one_time=True`` uses every customer (the unbiased fit).  Times
-    are scaled by 10 / max(T) during the fit and alpha is scaled back.
+    are scaled by 10 / max(T) during the fit and alpha is scaled back.  A search
+    that ends elsewhere than at a maximum warns, or raises with ``raise_error``,
+    and ``converged`` says so.  Without customers it raises ``ValueError``.
     """
     data = summary if include_one_time else repeat_customers(summary)
     comp = _compress(data.select("frequency", "recency", "T"), ["frequency", "recency", "T"])
     stats = comp.agg(F.sum("_w").alias("n"), F.max("T").alias("tmax")).first()
+    if not stats["n"]:
+        raise ValueError("no customers to fit")
     n, tmax = float(stats["n"]), float(stats["tmax"])
     scale = 10.0 / tmax
-    fbatch = _objective(comp, ["frequency", "recency", "T"], bgnbd_loglik_np, n, penalizer,
+    values = _objective(comp, ["frequency", "recency", "T"], bgnbd_loglik_np, bgnbd_gradient_np, n, penalizer,
                         {"recency": scale, "T": scale})
-    theta, f, iters = _bfgs(fbatch, np.zeros(4))
+    theta, f, iters, converged = _bfgs(values, np.zeros(4), max_iter)
+    _ended("BG/NBD", iters, converged, raise_error)
     r, al, a, b = np.exp(theta)
-    return BetaGeoParams(float(r), float(al / scale), float(a), float(b), float(-f * n), iters)
-
-
-def gamma_gamma_fit(summary: DataFrame, penalizer: float = 0.0) -> GammaGammaParams:
-    """H6: maximum-likelihood p, q, v on repeat customers with positive spend."""
-    data = repeat_customers(summary).filter(F.col("monetary_value") > 0)
-    comp = _compress(data.select("frequency", "monetary_value"), ["frequency", "monetary_value"])
-    n = float(comp.agg(F.sum("_w")).first()[0])
-    fbatch = _objective(comp, ["frequency", "monetary_value"], gamma_gamma_loglik_np, n, penalizer)
-    theta, f, iters = _bfgs(fbatch, np.zeros(3))
+    return BetaGeoParams(float(r), float(al / scale), float(a), float(b), float(-f * n), iters, converged)
+
+
+def gamma_gamma_fit(summary: DataFrame, penalizer: float = 0.0, max_iter: int = 300,
+                    raise_error: bool = False) -> GammaGammaParams:
+    """H6: maximum-likelihood p, q, v on repeat customers with positive spend; the likelihood has no value for
+    others.  ``left_out`` counts the repeat customers whose spend is not positive (or NULL).  A search that
+    ends elsewhere than at a maximum warns or raises as in :func:`bgnbd_fit`."""
+    comp = _compress(repeat_customers(summary).select("frequency", "monetary_value"), ["frequency", "monetary_value"])
+    fits = F.coalesce(F.col("monetary_value") > 0, F.lit(False))
+    stats = comp.agg(F.sum(F.when(fits, F.col("_w"))), F.sum(F.when(~fits, F.col("_w")))).first()
+    if not stats[0]:
+        raise ValueError("no customers to fit")
+    n = float(stats[0])
+    values = _objective(comp.where(fits), ["frequency", "monetary_value"], gamma_gamma_loglik_np,
+                        gamma_gamma_gradient_np, n, penalizer)
+    theta, f, iters, converged = _bfgs(values, np.zeros(3), max_iter)
+    _ended("Gamma-Gamma", iters, converged, raise_error)
     p, q, v = np.exp(theta)
-    return GammaGammaParams(float(p), float(q), float(v), float(-f * n), iters)
+    return GammaGammaParams(float(p), float(q), float(v), float(-f * n), iters, converged, int(stats[1] or 0))
 
 
 def params_frame(spark, params) -> DataFrame:
     """The fitted parameters as a 1-row DataFrame (for reports / sinks)."""
-    d = {k: float(v) for k, v in vars(params).items()}
-    return spark.createDataFrame([tuple(d.values())], ", ".join(f"{k} double" for k in d))
+    d = {k: v if isinstance(v, bool) else float(v) for k, v in vars(params).items()}
+    return spark.createDataFrame([tuple(d.values())], ", ".join(
+        f"{k} {'boolean' if isinstance(v, bool) else 'double'}" for k, v in d.items()))
 
 
 # ------------------------------------------------------------------ predictions

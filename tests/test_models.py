@@ -1,6 +1,7 @@
 """Parameter recovery, prediction properties, ensemble and ML helpers."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from patronage.operators import clv_prob as P
@@ -18,6 +19,44 @@ def test_bgnbd_and_gamma_gamma_recovery(spark):
         assert abs(got - true) / true < 0.15, gg
 
 
+def test_gradients_are_the_slopes_of_the_likelihoods():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, 200).astype(float)
+    T = rng.uniform(1, 10, 200)
+    tx = np.where(x > 0, T * rng.uniform(0.05, 1, 200), 0.0)
+    m = rng.uniform(0.5, 80, 200)
+    for loglik, gradient, args, theta in (
+            (P.bgnbd_loglik_np, P.bgnbd_gradient_np, (x, tx, T), (0.8, 3.0, 0.6, 2.5)),
+            (P.bgnbd_loglik_np, P.bgnbd_gradient_np, (x, tx, T), (60.0, 900.0, 0.02, 7.0)),
+            (P.gamma_gamma_loglik_np, P.gamma_gamma_gradient_np, (x + 1, m), (6.0, 4.0, 15.0))):
+        for i, slopes in enumerate(gradient(*args, *theta)):
+            h = 1e-5 * theta[i]
+            up, down = ([t + s * (k == i) for k, t in enumerate(theta)] for s in (h, -h))
+            want = (loglik(*args, *up) - loglik(*args, *down)) / (2 * h)
+            assert np.allclose(slopes, want, rtol=1e-5, atol=1e-6 * max(1, np.abs(want).max()))
+
+
+def test_a_fit_says_whether_it_converged(spark):
+    data = simulate_bgnbd(n=3000, seed=2)
+    df = spark.createDataFrame(data)
+    bg = P.bgnbd_fit(df, include_one_time=True)
+    assert bg.converged and bg.iterations > 2
+    with pytest.warns(RuntimeWarning, match="not converged"):
+        assert not P.bgnbd_fit(df, include_one_time=True, max_iter=2).converged
+    with pytest.raises(RuntimeError):
+        P.gamma_gamma_fit(df, max_iter=1, raise_error=True)
+    gg = P.gamma_gamma_fit(df)
+    free = df.limit(1).withColumns({"frequency": F.lit(2).cast(df.schema["frequency"].dataType),
+                                    "monetary_value": F.lit(0.0)})
+    more = P.gamma_gamma_fit(df.union(free).union(free.withColumn("monetary_value", F.lit(None).cast("double"))))
+    assert gg.converged and gg.left_out == 0 and more.left_out == 2
+    assert np.allclose(gg.as_tuple(), more.as_tuple(), rtol=1e-4)
+    row = P.params_frame(spark, more).first()
+    assert row["converged"] is True and row["left_out"] == 2.0
+    with pytest.raises(ValueError):
+        P.bgnbd_fit(df.limit(0))
+
+
 def test_prediction_properties(spark):
     df = spark.createDataFrame(simulate_bgnbd(n=400, seed=11))
     bg = P.PUBLISHED_BGNBD
