@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -118,6 +120,61 @@ def silhouette(labelled: DataFrame, label: str = "Cluster") -> DataFrame:
     return labelled.sparkSession.createDataFrame([(float(score),)], "silhouette double")
 
 
+#: Most rows that :func:`euclidean_silhouette` compares with each other.
+SILHOUETTE_ROWS = 10_000
+_BLOCK = 256
+
+
+def euclidean_silhouette(labelled: DataFrame, cols: Sequence[str] = tuple(f"{c}_z" for c in LOG_COLS), label: str = "Cluster",
+                         id_col: str = "CustomerID", max_rows: int = SILHOUETTE_ROWS) -> DataFrame:
+    """J4 with plain Euclidean distances: (rows, clusters, silhouette), one row.
+
+    The measure needs the distance of every pair, so it is taken over the rows
+    with the smallest md5 of their id, ``max_rows`` at most (all of them in a
+    smaller table).  Those are broadcast (eight bytes a value, so bounded), and
+    every task compares its rows with them in blocks.  A row that is alone in its
+    cluster scores 0, as does one whose distances are all 0.  Rows with a NULL
+    label or coordinate are left out; with fewer than two clusters the silhouette
+    is NULL."""
+    spark = labelled.sparkSession
+    points = labelled.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("label"),
+                             *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    points = points.dropna(subset=points.columns[1:]).withColumn("h", F.md5(F.col("id").cast("string")))
+    # ties of the hash are repeated ids: their rows are ordered by what they hold
+    sample = materialize(points.orderBy("h", *points.columns[1:-1]).limit(max_rows).drop("h", "id"), "silhouette")
+    held = sample.toArrow().to_pandas()
+    names, codes = np.unique(held["label"].to_numpy(dtype=str), return_inverse=True)
+    if len(names) < 2:
+        return spark.createDataFrame([(len(held), len(names), None)], "rows long, clusters long, silhouette double")
+    at = held.drop(columns="label").to_numpy(dtype="float64")
+    shared = spark.sparkContext.broadcast((at, codes, names))
+
+    def score(batches):
+        at, codes, names = shared.value
+        sizes = np.bincount(codes, minlength=len(names))
+        member = np.eye(len(names))[codes]
+        for pdf in batches:
+            own_code = np.searchsorted(names, pdf.pop("label").to_numpy(dtype=str))
+            x = pdf.to_numpy(dtype="float64")
+            for i in range(0, len(x), _BLOCK):
+                block, own = x[i:i + _BLOCK], own_code[i:i + _BLOCK]
+                square = np.zeros((len(block), len(at)))
+                for j in range(at.shape[1]):
+                    square += (block[:, j, None] - at[None, :, j]) ** 2
+                total = np.sqrt(square) @ member
+                here = np.arange(len(block))
+                mean = total / sizes
+                near = total[here, own] / np.maximum(sizes[own] - 1, 1)
+                mean[here, own] = np.inf
+                other = mean.min(axis=1)
+                most = np.maximum(near, other)
+                s = np.where((sizes[own] > 1) & (most > 0), (other - near) / np.where(most > 0, most, 1.0), 0.0)
+                yield pd.DataFrame({"s": s})
+
+    return sample.mapInPandas(score, "s double").agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(len(names)).cast("long").alias("clusters"), F.avg("s").alias("silhouette"))
+
+
 def centres_by(df: DataFrame, group: Column, cols: Sequence[str]) -> DataFrame:
     """Mean of ``cols`` per group as (cluster, c0, c1, ...)."""
     return df.groupBy(group.cast("int").alias("cluster")).agg(

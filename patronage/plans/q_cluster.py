@@ -144,6 +144,24 @@ def j4(spark, sf):
     return K.silhouette(K.kmeans_segments(customers(spark, sf), keep_features=True))
 
 
+@register("J4_euclidean_silhouette", O.compose("""
+WITH p AS (SELECT CAST(c.Cluster AS VARCHAR) AS label, z.CustomerID AS id, z.Recency_log_z AS x, z.Frequency_log_z AS y,
+    z.Monetary_log_z AS m FROM clus c JOIN z ON z.CustomerID = c.CustomerID
+    ORDER BY md5(CAST(z.CustomerID AS VARCHAR)) LIMIT 2000),
+  size AS (SELECT label, count(*) AS n FROM p GROUP BY 1),
+  d AS (SELECT a.id, a.label AS own, b.label, sum(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
+      + (a.m - b.m) * (a.m - b.m))) AS total FROM p a CROSS JOIN p b GROUP BY 1, 2, 3),
+  e AS (SELECT d.id, max(CASE WHEN d.own = d.label THEN n END) AS n,
+      max(CASE WHEN d.own = d.label THEN total / greatest(n - 1, 1) END) AS near,
+      min(CASE WHEN d.own <> d.label THEN total / n END) AS other FROM d JOIN size ON size.label = d.label GROUP BY 1)
+SELECT count(*) AS rows, (SELECT count(*) FROM size) AS clusters,
+  round(avg(CASE WHEN n > 1 AND greatest(near, other) > 0 THEN (other - near) / greatest(near, other) ELSE 0.0 END), 6) AS silhouette
+FROM e""", ["clus", "z"]))
+def j4_euclidean(spark, sf):
+    out = K.euclidean_silhouette(quartile_clusters(spark, sf), max_rows=2000)
+    return out.withColumn("silhouette", F.round("silhouette", 6))
+
+
 @register("J7_best_k")
 def j7(spark, sf):
     return K.best_k(_sweep(spark, sf))

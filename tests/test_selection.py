@@ -114,3 +114,36 @@ def test_merged_duplicate_edges(spark):
     allowed = {r["v"]: r["b"] for r in qcut(df, "v", 4, [1, 2, 3, 4], "b", duplicates="allow").collect()}
     codes = pd.qcut(pd.Series([0.0] * 6 + [1, 2, 3, 4]), 4, labels=False, duplicates="drop") + 1
     assert merged == dict(zip([0.0] * 6 + [1, 2, 3, 4], codes.tolist())) and allowed[4.0] == 4
+
+
+def test_euclidean_silhouette_of_a_sample(spark):
+    import hashlib
+
+    import numpy as np
+
+    from patronage.operators.clustering import euclidean_silhouette
+    rng = np.random.default_rng(4)
+    rows = [(int(i), str("abc"[i % 3]), float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(600, 2)) * 2)]
+    rows += [(1000, "alone", 50.0, 50.0), (1001, None, 0.0, 0.0), (1002, "a", None, 0.0), (1003, "a", 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "CustomerID long, Cluster string, x double, y double").repartition(5)
+
+    def brute(rows):
+        rows = [r for r in rows if None not in r]
+        scores = []
+        for i, (_, own, x, y) in enumerate(rows):
+            by = {}
+            for j, (_, label, u, v) in enumerate(rows):
+                if i != j:
+                    by.setdefault(label, []).append(((x - u) ** 2 + (y - v) ** 2) ** 0.5)
+            near = by.pop(own, None)
+            other = min(sum(d) / len(d) for d in by.values())
+            scores.append(0.0 if near is None else (other - sum(near) / len(near)) / max(other, sum(near) / len(near)))
+        return sum(scores) / len(scores)
+
+    whole = euclidean_silhouette(df, ("x", "y")).first()
+    assert (whole["rows"], whole["clusters"]) == (602, 4) and abs(whole["silhouette"] - brute(rows)) < 1e-9
+    named = sorted((r for r in rows if None not in r), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
+    some = euclidean_silhouette(df, ("x", "y"), max_rows=200).first()
+    assert some["rows"] == 200 and abs(some["silhouette"] - brute(named[:200])) < 1e-9
+    assert euclidean_silhouette(df.where("Cluster = 'a'"), ("x", "y")).first()["silhouette"] is None
+    assert euclidean_silhouette(df.limit(0), ("x", "y")).first()["rows"] == 0
