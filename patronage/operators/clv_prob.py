@@ -102,10 +102,10 @@ def gamma_gamma_loglik(x: Column, m: Column, p, q, v) -> Column:
 
 
 #: Step lengths that one job of the fit tries at once.
-_STEPS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4)
+_STEPS = (1.0, 0.5, 0.25, 0.1, 0.01, 1e-4)
 
 
-def _bfgs(values, x0, max_iter=300, gtol=1e-8, ftol=1e-13, flat=1e-4, max_step=5.0):
+def _bfgs(values, x0, max_iter=300, gtol=1e-6, ftol=1e-13, flat=1e-4, max_step=5.0):
     """Quasi-Newton minimiser; ``values(points)`` returns (f, gradient) at many points in ONE Spark job,
     and an iteration is one job: all step lengths, each with its gradient.
 
