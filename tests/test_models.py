@@ -119,3 +119,25 @@ def test_ml_split_is_deterministic(spark):
     assert sorted(a.collect()) == sorted(b.collect())
     share = a.filter(F.col("b") < 80).count() / 2000
     assert 0.75 < share < 0.85
+
+
+def test_forest_is_grown_in_parts_side_by_side(spark):
+    from patronage.operators import clv_ml as M
+    forest = M.model_presets(10)["Random Forest"]
+    parts = M.forest_parts(forest)
+    assert [p.getNumTrees() for p in parts] == [10] * 10 and len({p.getSeed() for p in parts}) == 10
+    assert all(p.getMaxDepth() == 30 and p.getMaxBins() == 64 for p in parts)
+    assert [p.getNumTrees() for p in M.forest_parts(forest, size=40)] == [40, 40, 20]
+
+    rows = spark.range(60).select("id", *[(F.col("id") * 7 % (5 + i)).cast("double").alias(c) for i, c in enumerate(M.ML_FEATURES)])
+    data = rows.select(F.col("id").alias("CustomerID"), *M.ML_FEATURES,
+                       (F.col("id") % 9 + F.col("Recency")).alias(M.TARGET), (F.col("id") % 5 > 0).alias("is_train")).coalesce(1)
+    metrics, models = M.train_models(data, models=["Random Forest"])
+    forest = models["Random Forest"]
+    assert forest.getNumTrees == 100 and len(forest.parts) == 10
+    assert abs(forest.featureImportances.toArray().sum() - 1) < 1e-9
+    scored = M.assemble(data).orderBy("CustomerID")
+    got = [r["prediction"] for r in forest.transform(scored).orderBy("CustomerID").collect()]
+    each = [[r["p"] for r in p.setPredictionCol("p").transform(scored).orderBy("CustomerID").collect()] for p in forest.parts]
+    assert np.allclose(got, np.mean(each, axis=0))
+    assert metrics.collect()[0]["mae"] >= 0
