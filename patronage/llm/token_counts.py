@@ -4,7 +4,9 @@ Whole texts are encoded in an Arrow UDF that returns lengths only.  Each Arrow
 batch is dealt anew into encoding batches of about ``batch_bytes`` bytes; a
 longer text is cut where a non-space character meets a space.  The vocabulary's
 word pattern lets white space only begin a word there, and special strings hold
-no space, so the pieces' counts add up to the text's.
+no space, so the pieces' counts add up to the text's.  For the same reason a
+piece is the sum of its words, cut at every such place: the library encodes each
+distinct word, and its count is remembered while the task has room for it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SAFE = re.compile(r"[!-~](?= )")
+_CUT = re.compile(r"(?<=[!-~])(?= )")
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,6 +60,29 @@ def balanced_batches(texts, batch_bytes: int) -> Iterator[tuple[list[int], list[
         yield rows, pieces
 
 
+#: About the bytes that remembered counts take in a task, and those of one word beside its characters.
+HELD_BYTES = 64 << 20
+_WORD_BYTES = 160
+
+
+class WordCounts:
+    """Numbers of tokens of texts, by a library's batch encoding of their distinct words."""
+
+    def __init__(self, encode_batch, held_bytes: int = HELD_BYTES):
+        self.encode_batch, self.held_bytes = encode_batch, held_bytes
+        self.known: dict[str, int] = {}
+        self.held = 0
+
+    def __call__(self, pieces: list[str]) -> list[int]:
+        if self.held > self.held_bytes:
+            self.known, self.held = {}, 0
+        words = [_CUT.split(piece) for piece in pieces]
+        new = list(set().union(*words).difference(self.known))
+        self.known.update(zip(new, map(len, self.encode_batch(new)), strict=True))
+        self.held += sum(map(len, new)) + _WORD_BYTES * len(new)
+        return [sum(map(self.known.__getitem__, w)) for w in words]
+
+
 def count_udf(path: str, batch_bytes: int = 1 << 19):
     """Arrow UDF text -> number of tokens (NULL text counts as empty)."""
 
@@ -67,11 +93,11 @@ def count_udf(path: str, batch_bytes: int = 1 << 19):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        counts = WordCounts(lambda words: tokenizer.encode_batch_fast(words, add_special_tokens=False))
         for part in parts:
             out = np.zeros(len(part), dtype=np.int64)
             for rows, pieces in balanced_batches(part.array, batch_bytes):
-                found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-                np.add.at(out, rows, [len(x) for x in found])
+                np.add.at(out, rows, counts(pieces))
             yield pd.Series(out)
 
     return count

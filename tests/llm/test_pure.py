@@ -128,3 +128,24 @@ def test_cut_words():
     assert substring.cut_words("Aa, bb cc dd!", [{"start_word": 1, "end_word": 3}]) == "Aa, dd!"
     assert substring.cut_words("aa bb", [{"start_word": 0, "end_word": 2}]) == ""
     assert substring.cut_words(None, []) is None
+
+
+def test_distinct_words_are_encoded_once_and_add_up():
+    from tokenizers import Tokenizer
+
+    from patronage.llm.token_counts import WordCounts, vocabulary_path
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    texts = ["the cat  the cat the  cat", " lead", "tail ", "", "a\n b\t c   d", "don't I'll we 've x  <|endoftext|> y<|endoftext|>",
+             "été d'été é", "漢字 漢字", "   ", "1 22 333 , . !? 　 z", "the cat the dog"] * 3
+    encoded = []
+
+    def encode(words):
+        encoded.extend(words)
+        return tokenizer.encode_batch_fast(words, add_special_tokens=False)
+
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    counts = WordCounts(encode)
+    assert counts(texts) == want and counts(texts) == want
+    assert len(encoded) == len(set(encoded))
+    tight = WordCounts(encode, held_bytes=0)
+    assert [tight([t])[0] for t in texts] == want and len(tight.known) < 10
