@@ -1,8 +1,8 @@
 """k-means segmentation on Spark MLlib (J1-J7) and cluster reports.
 
-The clustering input is three log features per customer; it is cached once
-and shared by every fit of a k sweep.  Fits, predictions and silhouettes are
-MLlib's distributed implementations.
+The clustering input is three log features per customer; it is written once
+and shared by every fit of a k sweep.  Starting centres and silhouettes are
+MLlib's distributed implementations; one Spark job does an iteration of all fits.
 """
 
 from __future__ import annotations
@@ -53,37 +53,115 @@ def scaled_vectors(customers: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol="features").transform(z)
 
 
-def _fit_best(vectors: DataFrame, k: int, seed: int, n_init: int, max_iter: int, tol: float,
-              parallelism: int = 8):
-    """Best of ``n_init`` k-means starts (seeds seed, seed+1, ...).
+_Z = tuple(f"{c}_z" for c in LOG_COLS)
+_STEP = "fit int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(len(_Z)))
 
-    The starts are independent Spark jobs submitted from a small thread pool
-    (as MLlib's tuning estimators do with ``parallelism``), so the cluster
-    overlaps them; the winner is the lowest cost, ties to the lower seed."""
-    from concurrent.futures import ThreadPoolExecutor
 
-    def fit(s):
-        model = KMeans(k=k, seed=s, maxIter=max_iter, tol=tol, featuresCol="features",
-                       predictionCol="Cluster").fit(vectors)
-        return model.summary.trainingCost, s, model
+def _lloyd_sums(shared, block: int = 512):
+    """Per fit and cluster: rows, squared distances to the nearest centre and sums of the coordinates of a
+    partition.  Squared distances less the point's own length are one matrix product for all fits."""
+
+    def run(batches):
+        fits = shared.value
+        sizes = [len(c) for _, c in fits]
+        ends = np.cumsum(sizes)
+        centres = np.vstack([c for _, c in fits])
+        map_to = np.hstack([-2.0 * centres, (centres * centres).sum(axis=1)[:, None]])
+        held = np.zeros((len(centres), centres.shape[1] + 2))
+        for pdf in batches:
+            points = pdf.to_numpy(dtype="float64")
+            for i in range(0, len(points), block):
+                x = np.hstack([points[i:i + block], np.ones((len(points[i:i + block]), 1))])
+                apart = map_to @ x.T
+                least = np.minimum.reduceat(apart, ends - sizes, axis=0)
+                near = apart == np.repeat(least, sizes, axis=0)
+                if np.count_nonzero(near) > near.shape[1] * len(fits):  # equally near centres: the first one
+                    for end, size in zip(ends, sizes):
+                        part = near[end - size:end]
+                        part &= np.cumsum(part, axis=0) == 1
+                near = near.astype("float64")
+                held[:, :-1] += near @ x
+                held[:, -1] += np.einsum("ij,ij->i", near, apart) + near @ (x[:, :-1] ** 2).sum(axis=1)
+        out = pd.DataFrame({"fit": np.repeat(np.array([f for f, _ in fits], dtype="int32"), sizes),
+                            "cluster": np.concatenate([np.arange(n, dtype="int32") for n in sizes]),
+                            "n": held[:, -2].astype("int64"), "cost": held[:, -1]})
+        yield out.assign(**{f"s{i}": held[:, i] for i in range(held.shape[1] - 2)})
+
+    return run
+
+
+def _fit_all(vectors: DataFrame, starts: Sequence[tuple[int, int]], max_iter: int, tol: float,
+             parallelism: int = 8) -> dict[tuple[int, int], tuple[np.ndarray, float]]:
+    """k-means of every (k, seed) of ``starts`` as {(k, seed): (centres, cost)}.
+
+    MLlib's k-means|| finds the starting centres (fits without iterations, submitted
+    from a small thread pool).  The iterations are MLlib's too, but one Spark job does
+    a step of all fits that still move: a pass over the points gives one row a fit and
+    cluster, so jobs and driver traffic do not multiply with the number of fits.
+    ``vectors`` is a written table with the coordinates and their vector."""
+    from concurrent.futures import ThreadPoolExecutor
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, n_init))) as pool:
-        results = list(pool.map(fit, range(seed, seed + n_init)))
-    cost, _, model = min(results, key=lambda r: (r[0], r[1]))
-    return model, cost
+    def start(fit):
+        k, seed = fit
+        model = KMeans(k=k, seed=seed, maxIter=0, featuresCol="features", predictionCol="Cluster").fit(vectors)
+        return np.array(model.clusterCenters(), dtype="float64")
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(starts)))) as pool:
+        centres = list(pool.map(start, starts))
+    costs = [0.0] * len(starts)
+    moving = list(range(len(starts)))
+    points = vectors.select(*_Z)
+    sc = vectors.sparkSession.sparkContext
+    for _ in range(max_iter):
+        if not moving:
+            break
+        shared = sc.broadcast([(f, centres[f]) for f in moving])
+        sums = points.mapInPandas(_lloyd_sums(shared), _STEP).groupBy("fit", "cluster").agg(
+            *[F.sum(c).alias(c) for c in ("n", "cost", *(f"s{i}" for i in range(len(_Z))))])
+        rows = sums.collect()
+        shared.destroy()
+        for f in moving:
+            costs[f] = 0.0
+        still = set()
+        for f, cluster, n, cost, *total in rows:
+            costs[f] += cost
+            if n:  # an empty cluster keeps its centre
+                new = np.array(total) / n
+                if ((new - centres[f][cluster]) ** 2).sum() > tol * tol:
+                    still.add(f)
+                centres[f][cluster] = new
+        moving = [f for f in moving if f in still]
+    return {fit: (centres[i], costs[i]) for i, fit in enumerate(starts)}
+
+
+def _fit_best(vectors: DataFrame, ks: Sequence[int], seed: int, n_init: int, max_iter: int,
+              tol: float) -> dict[int, tuple[np.ndarray, float]]:
+    """Best of ``n_init`` k-means starts (seeds seed, seed+1, ...) for each k as {k: (centres, cost)}:
+    the lowest cost, ties to the lower seed."""
+    seeds = range(seed, seed + n_init)
+    fits = _fit_all(vectors, [(k, s) for k in ks for s in seeds], max_iter, tol)
+    return {k: fits[k, min(seeds, key=lambda s: (fits[k, s][1], s))] for k in ks}
+
+
+def _labelled(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``vectors`` with the Cluster of the nearest centre."""
+    rows = [(i, *map(float, c)) for i, c in enumerate(centres)]
+    schema = "cluster int, " + ", ".join(f"c{i} double" for i in range(centres.shape[1]))
+    return assign_nearest(vectors, vectors.sparkSession.createDataFrame(rows, schema), _Z)
 
 
 def kmeans_sweep(customers: DataFrame, ks: Sequence[int] = range(2, 11), seed: int = 42,
                  n_init: int = 10, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
     """Within-cluster sum of squares and silhouette for each k (best of
     ``n_init`` starts).  Silhouette is MLlib's squared-Euclidean silhouette."""
-    vectors = materialize(scaled_vectors(customers).select("CustomerID", "features"), "vectors")
+    vectors = materialize(scaled_vectors(customers).select("CustomerID", *_Z, "features"), "vectors")
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="Cluster")
     from concurrent.futures import ThreadPoolExecutor
+    best = _fit_best(vectors, list(ks), seed, n_init, max_iter, tol)
 
     def one(k):
-        model, cost = _fit_best(vectors, k, seed, n_init, max_iter, tol, parallelism=2)
-        return int(k), float(cost), float(evaluator.evaluate(model.transform(vectors)))
+        centres, cost = best[k]
+        return int(k), float(cost), float(evaluator.evaluate(_labelled(vectors, centres)))
 
     with ThreadPoolExecutor(max_workers=3) as pool:
         rows = list(pool.map(one, ks))
@@ -100,8 +178,8 @@ def kmeans_segments(customers: DataFrame, k: int = 4, seed: int = 42, n_init: in
     """J3 + J5: fit (best of ``n_init`` starts), predict, renumber clusters by
     mean Monetary (descending, so ids are stable across runs) and name them."""
     vectors = materialize(scaled_vectors(customers), "vectors")
-    model, _ = _fit_best(vectors, k, seed, n_init, max_iter, tol)
-    pred = model.transform(vectors)
+    centres, _ = _fit_best(vectors, [k], seed, n_init, max_iter, tol)[k]
+    pred = _labelled(vectors, centres)
     order = pred.groupBy("Cluster").agg(F.avg("Monetary").alias("_m"))
     # rank clusters by mean spend: at most k rows, a window over k rows is fine
     from pyspark.sql import Window

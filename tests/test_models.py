@@ -141,3 +141,45 @@ def test_forest_is_grown_in_parts_side_by_side(spark):
     each = [[r["p"] for r in p.setPredictionCol("p").transform(scored).orderBy("CustomerID").collect()] for p in forest.parts]
     assert np.allclose(got, np.mean(each, axis=0))
     assert metrics.collect()[0]["mae"] >= 0
+
+
+def test_k_means_fits_of_a_sweep_share_their_passes(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from patronage.operators import clustering as K
+    from patronage.session import materialize
+    rng = np.random.default_rng(5)
+    pts = np.concatenate([rng.normal(m, 0.4, (60, 3)) for m in (-3.0, 0.0, 2.5)])
+    df = spark.createDataFrame([tuple(map(float, p)) for p in pts], ", ".join(f"{c} double" for c in K._Z))
+    vectors = materialize(VectorAssembler(inputCols=list(K._Z), outputCol="features").transform(df))
+    starts = [(2, 42), (3, 42), (5, 43)]
+    fits = K._fit_all(vectors, starts, 300, 1e-4)
+    for k, seed in starts:
+        want = KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features").fit(vectors)
+        centres, cost = fits[k, seed]
+        assert np.allclose(centres, want.clusterCenters())
+        assert abs(cost - want.summary.trainingCost) < 1e-6 * cost
+    # passes over the points: as many as the slowest fit needs, not the sum over the fits
+    passes = []
+    table, collect = type(vectors), type(vectors).collect
+    try:
+        table.collect = lambda self: passes.append(1) or collect(self)
+        K._fit_all(vectors, starts, 2, 0.0)
+    finally:
+        table.collect = collect
+    assert len(passes) == 2
+
+
+def test_a_point_between_two_centres_counts_once():
+    import pandas as pd
+
+    from patronage.operators.clustering import _lloyd_sums
+
+    class Shared:
+        value = [(7, np.array([[-1.0, 0, 0], [1.0, 0, 0], [9.0, 0, 0]])), (9, np.array([[0.0, 0, 2]]))]
+
+    points = pd.DataFrame([[0.0, 0, 0], [2.0, 0, 0], [0.0, 0, 0]])
+    got = next(iter(_lloyd_sums(Shared, block=2)(iter([points, points]))))
+    assert got[["fit", "cluster", "n"]].to_numpy().tolist() == [[7, 0, 4], [7, 1, 2], [7, 2, 0], [9, 0, 6]]
+    assert np.allclose(got["cost"], [4, 2, 0, 32]) and np.allclose(got["s0"], [0, 4, 0, 4])
