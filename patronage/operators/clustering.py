@@ -57,9 +57,10 @@ _Z = tuple(f"{c}_z" for c in LOG_COLS)
 _STEP = "fit int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(len(_Z)))
 
 
-def _lloyd_sums(shared, block: int = 512):
-    """Per fit and cluster: rows, squared distances to the nearest centre and sums of the coordinates of a
-    partition.  Squared distances less the point's own length are one matrix product for all fits."""
+def _lloyd_sums(shared, block: int = 256):
+    """Per fit and cluster: rows and sums of the coordinates of a partition; the squared distances to the nearest
+    centres are the fit's, given with its last cluster.  Squared distances less the point's own length are one
+    matrix product for all fits."""
 
     def run(batches):
         fits = shared.value
@@ -74,14 +75,17 @@ def _lloyd_sums(shared, block: int = 512):
                 x = np.hstack([points[i:i + block], np.ones((len(points[i:i + block]), 1))])
                 apart = map_to @ x.T
                 least = np.minimum.reduceat(apart, ends - sizes, axis=0)
-                near = apart == np.repeat(least, sizes, axis=0)
-                if np.count_nonzero(near) > near.shape[1] * len(fits):  # equally near centres: the first one
+                near = np.empty_like(apart)
+                for f, (end, size) in enumerate(zip(ends, sizes)):
+                    np.equal(apart[end - size:end], least[f], out=near[end - size:end])
+                sums = near @ x
+                if sums[:, -1].sum() > len(x) * len(fits):  # equally near centres: the first one
                     for end, size in zip(ends, sizes):
                         part = near[end - size:end]
-                        part &= np.cumsum(part, axis=0) == 1
-                near = near.astype("float64")
-                held[:, :-1] += near @ x
-                held[:, -1] += np.einsum("ij,ij->i", near, apart) + near @ (x[:, :-1] ** 2).sum(axis=1)
+                        part *= np.cumsum(part, axis=0) == 1
+                    sums = near @ x
+                held[:, :-1] += sums
+                held[ends - 1, -1] += least.sum(axis=1) + (x[:, :-1] ** 2).sum()
         out = pd.DataFrame({"fit": np.repeat(np.array([f for f, _ in fits], dtype="int32"), sizes),
                             "cluster": np.concatenate([np.arange(n, dtype="int32") for n in sizes]),
                             "n": held[:, -2].astype("int64"), "cost": held[:, -1]})
