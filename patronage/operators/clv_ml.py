@@ -1,4 +1,4 @@
-"""Machine-learning CLV on Spark MLlib.
+"""Machine-learning CLV (J8-J18): linear models on Spark MLlib, trees grown by tasks.
 
 The feature table comes from the single customer group-by; the assembled
 vectors are cached once and shared by every model.  Training and scoring are
@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.operators import trees
 from patronage.operators.binning import tier_cut
 from patronage.session import materialize
 
@@ -129,8 +130,10 @@ def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed:
     n_train = train.count()
     presets = model_presets(n_train, seed)
     chosen = models or list(presets)
+    # tasks grow whole trees of as many rows as may be broadcast; more rows are MLlib's
+    grown = {n: presets[n] for n in chosen if 0 < n_train <= trees.LOCAL_ROWS and trees.grows(presets[n])}
     fits = []
-    for name in chosen:
+    for name in (n for n in chosen if n not in grown):
         est = presets[name].setFeaturesCol("features").setLabelCol(TARGET)
         forest = isinstance(est, RandomForestRegressor)
         fits.extend((name, part) for part in (forest_parts(est) if forest else [est]))
@@ -140,10 +143,11 @@ def train_models(dataset: DataFrame, models: Sequence[str] | None = None, seed:
     # independent estimators: submit their jobs concurrently (MLlib tuning's
     # ``parallelism`` pattern); results are keyed by name, so order is fixed
     from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(fits)))) as pool:
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(fits) + 1))) as pool:
+        growth = pool.submit(trees.grow_models, train, TARGET, grown) if grown else None
         done = list(pool.map(lambda f: f[1].fit(train), fits))
-    fitted = {}
-    for name in chosen:
+        fitted = growth.result() if growth else {}
+    for name in (n for n in chosen if n not in grown):
         found = [m for (n, _), m in zip(fits, done) if n == name]
         fitted[name] = ForestParts(found) if isinstance(presets[name], RandomForestRegressor) else found[0]
     rows = None
