@@ -133,3 +133,12 @@ def test_only_settings_that_tasks_follow_are_grown_by_them():
     for est in (RandomForestRegressor(), GBTRegressor(subsamplingRate=0.5), GBTRegressor(lossType="absolute"),
                 GBTRegressor(minInstancesPerNode=3), GBTRegressor(maxBins=300), LinearRegression()):
         assert not T.grows(est)
+
+
+def test_a_grown_model_scores_every_customer(spark):
+    data = customers(spark, n=300)
+    _, models = M.train_models(data, models=["Gradient Boosting"])
+    got = M.predict_clv(data, model=models["Gradient Boosting"], duplicates="allow").orderBy("CustomerID").collect()
+    want = predictions(models["Gradient Boosting"], M.assemble(data))
+    assert [r["CustomerID"] for r in got] == list(range(300)) and isinstance(models["Gradient Boosting"], T.GrownTrees)
+    assert np.allclose([r["Predicted_CLV_1Year"] for r in got], want * 365 / 90)
