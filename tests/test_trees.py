@@ -142,3 +142,12 @@ def test_a_grown_model_scores_every_customer(spark):
     want = predictions(models["Gradient Boosting"], M.assemble(data))
     assert [r["CustomerID"] for r in got] == list(range(300)) and isinstance(models["Gradient Boosting"], T.GrownTrees)
     assert np.allclose([r["Predicted_CLV_1Year"] for r in got], want * 365 / 90)
+
+
+def test_importances_of_the_best_grown_model(spark):
+    metrics, models = M.train_models(customers(spark, n=300), models=["Gradient Boosting", "Linear Regression"])
+    alone = metrics.where("model = 'Gradient Boosting'")
+    got = M.best_model_importance(spark, alone, models).collect()
+    assert isinstance(models["Gradient Boosting"], T.GrownTrees)
+    assert len(got) == 15 and {r["feature"] for r in got[:2]} == {"TransactionCount", "Day_1_Purchases"}
+    assert abs(models["Gradient Boosting"].featureImportances.toArray().sum() - 1) < 1e-9
