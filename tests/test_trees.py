@@ -151,3 +151,11 @@ def test_importances_of_the_best_grown_model(spark):
     assert isinstance(models["Gradient Boosting"], T.GrownTrees)
     assert len(got) == 15 and {r["feature"] for r in got[:2]} == {"TransactionCount", "Day_1_Purchases"}
     assert abs(models["Gradient Boosting"].featureImportances.toArray().sum() - 1) < 1e-9
+
+
+def test_driver_labels_of_a_grown_forest(spark):
+    from patronage.operators.outputs import driver_label
+    _, models = M.train_models(customers(spark, n=200), models=["Random Forest"])
+    assert isinstance(models["Random Forest"], T.GrownTrees)
+    top = M.feature_importance(models["Random Forest"], top=5).select(driver_label(F.col("feature")).alias("driver"), "feature").collect()
+    assert len(top) == 5 and top[0]["feature"] in ("TransactionCount", "Day_1_Purchases") and all(r["driver"] for r in top[:1])
